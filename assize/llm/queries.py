@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from assize.llm import simhash
+from assize.llm import imatch, mixing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op2_simhash": simhash.op2_simhash,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_imatch": imatch.op6_imatch,
+    "op7_mixing": mixing.op7_mixing,
+    "op10_sharding": sharding.op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": mixing.OP7_SQL,
+}
