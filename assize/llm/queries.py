@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from assize.llm import imatch, mixing, sharding, simhash, toxicity
+from assize.llm import imatch, licenses, mixing, pii, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable] = {
+    "op1_pii": pii.op1_pii,
     "op2_simhash": simhash.op2_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_imatch": imatch.op6_imatch,
     "op7_mixing": mixing.op7_mixing,
+    "op9_licenses": licenses.op9_licenses,
     "op10_sharding": sharding.op10_sharding,
 }
 
