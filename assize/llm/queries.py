@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from assize.llm import imatch, licenses, mixing, pii, sharding, simhash, toxicity
+import corpus_pipeline
+from assize.llm import imatch, licenses, mixing, pieces, pii, quality, sharding, simhash, toxicity, vectors
 
 QUERIES: dict[str, Callable] = {
     "op1_pii": pii.op1_pii,
     "op2_simhash": simhash.op2_simhash,
+    "op3_vectors": vectors.op3_vectors,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality": quality.op5_quality,
     "op6_imatch": imatch.op6_imatch,
     "op7_mixing": mixing.op7_mixing,
+    "op8_pieces": pieces.op8_pieces,
     "op9_licenses": licenses.op9_licenses,
     "op10_sharding": sharding.op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
