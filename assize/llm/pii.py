@@ -164,7 +164,8 @@ def _joined(spans: Column) -> Column:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decided(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
