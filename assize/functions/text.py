@@ -57,7 +57,7 @@ def canonical_name(c: Column) -> Column:
     """An entity name without legal suffixes and punctuation; if only suffixes are left they stay."""
     name = entity_name(c)
     cut = F.coalesce(F.nullif(F.trim(F.regexp_replace(name, SUFFIX_PATTERN, "")), F.lit("")), name)
-    words = F.trim(F.regexp_replace(F.regexp_replace(cut, r"[^\w\s]+", " "), r"\s+", " "))
+    words = F.trim(F.regexp_replace(F.regexp_replace(cut, r"(?U)[^\w\s]+", " "), r"\s+", " "))
     tokens = F.split(F.nullif(words, F.lit("")), " ")
     kept = F.filter(tokens, lambda t: ~t.isin(*SUFFIX_TOKENS))
     return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(tokens), " ")

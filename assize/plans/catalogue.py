@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from assize.plans import entities, rates, series, serving
+from assize.plans import entities, rates, series, serving, streams
 
-_PARTS = (rates, series, entities, serving)
+_PARTS = (rates, series, entities, serving, streams)
 QUERIES = {name: query for part in _PARTS for name, query in part.R.queries.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.R.sql.items()}
