@@ -200,7 +200,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         yield flush()
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
-    plain = F.regexp_replace("word", r"^\W+|\W+$", "")
+    plain = F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "")
     return found.withColumn("word", plain).where(r"word rlike '^[\\p{L}]{2,}$'").groupBy("word").agg(F.sum("n").alias("n"))
 
 
