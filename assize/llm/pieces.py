@@ -14,7 +14,7 @@ a batch are sampled together, one piece of each at a time.
 
 Defined results: a null text has null pieces and decodes to null; an empty text has the pieces of one
 space; repeated rows with one key have the same pieces; an empty table gives an empty table; extra columns
-are ignored by ``encode`` and kept by ``with_pieces``. Texts are encoded whole.
+are ignored by ``encode`` and kept by ``with_pieces``, but for those of its own names. Texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.3
@@ -256,11 +257,11 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def with_pieces(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: bytes | None = None, alpha: float = ALPHA) -> DataFrame:
     """``rows`` with ``piece_ids`` and ``lossless``, whether they decode to the very text; seeds are hashes of the key."""
-    spark = rows.sparkSession
-    shipped = spark.sparkContext.broadcast(model or load())
+    shipped = rows.sparkSession.sparkContext.broadcast(model or load())
+    rows = rows.drop("piece_ids", "lossless", "piece_seed")
     seeded = rows.withColumn("piece_seed", F.xxhash64(F.lit("pieces"), F.col(key_col).cast("string")))
     place = seeded.columns.index(text_col)
-    schema = rows.select("*", F.array().cast("array<int>").alias("piece_ids"), F.lit(True).alias("lossless")).schema
+    schema = T.StructType([*rows.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shipped.value, alpha)
@@ -275,8 +276,8 @@ def with_pieces(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text"
                 listed = ids.tolist()
                 same = [None if x is None else vocabulary.decode(listed[b - n : b]) == x for x, b, n in zip(some, ends.tolist(), sizes.tolist())]
                 missing = np.array([x is None for x in some])
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.concatenate([missing, [False]]) if missing.any() else None)
-                pieces = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                pieces = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)), mask=pa.array(missing))
                 part = batch.slice(start, stop - start)
                 columns = [part.column(k) for k, name in enumerate(part.schema.names) if name != "piece_seed"]
                 yield pa.RecordBatch.from_arrays([*columns, pieces, pa.array(same, pa.bool_())], names=schema.names)
@@ -293,8 +294,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 def decode(rows: DataFrame, ids_col: str = "piece_ids", text_col: str = "text", model: bytes | None = None) -> DataFrame:
     """``rows`` with the text of their pieces in ``text_col``."""
     shipped = rows.sparkSession.sparkContext.broadcast(model or load())
-    schema = rows.drop(text_col).select("*", F.lit("").alias(text_col)).schema
     rows = rows.drop(text_col)
+    schema = T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shipped.value)
