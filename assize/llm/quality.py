@@ -152,10 +152,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> RuleModel:
     """A model of ``labels`` (id, label), fitted to at most ``max_rows`` of them."""
     marked = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    ids = marked.orderBy(F.xxhash64("id"), "id").limit(max_rows).select(F.col("id").alias("label_id"), "label")
-    sample = docs.join(F.broadcast(ids), docs[id_col] == F.col("label_id"))
-    rows = described(sample, [id_col, "label"], text_col).orderBy(F.xxhash64(id_col), *NAMES).collect()
-    return fit(np.array([[float(r[n]) for n in NAMES] for r in rows]).reshape(-1, len(NAMES)), np.array([float(r["label"]) for r in rows]))
+    ids = marked.orderBy(F.xxhash64("id"), "id").limit(max_rows).select(F.col("id").alias("label_id"), F.col("label").alias("label_value"))
+    texts = docs.select(id_col, text_col)
+    sample = texts.join(F.broadcast(ids), texts[id_col] == F.col("label_id"))
+    rows = described(sample, [id_col, "label_value"], text_col).orderBy(F.xxhash64(id_col), *NAMES).collect()
+    return fit(np.array([[float(r[n]) for n in NAMES] for r in rows]).reshape(-1, len(NAMES)), np.array([float(r["label_value"]) for r in rows]))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
