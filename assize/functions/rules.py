@@ -46,24 +46,26 @@ PASSIVE_ROLES = ("RECDO.(A/S)", "AGDO.(A/S)", "INTDO.(A/S)", "BENEF.(A/S)")
 PROVISIONAL = ("LIMINAR", "AD REFERENDUM")
 PROCEDURAL = ("NEGADO SEGUIMENTO", "NAO CONHECIDO", "HOMOLOGADA A DESISTENCIA", "HOMOLOGADO O ACORDO", "PREJUDICADO", "EXTINTO O PROCESSO", "BAIXA SEM RESOLUCAO", "HOMOL A DESISTENCIA")
 SUBSTANTIVE = (
-    "CONCEDIDA A ORDEM", "CONCEDIDA EM PARTE A ORDEM", "DENEGADA A ORDEM", "CONCEDIDA A SEGURANCA", "CONCEDIDA EM PARTE A SEGURANCA", "DENEGADA A SEGURANCA",
-    "CONCEDIDA A SUSPENSAO", "CONCEDIDA EM PARTE A SUSPENSAO", "DENEGADA A SUSPENSAO", "NEGADO PROVIMENTO", "NESSA PARTE DA PROVIMENTO", "NEGOU PROVIMENTO",
-    "DAR PROVIMENTO", "DAR PARCIAL PROVIMENTO", "PROVIDO", "PROCEDENTE",
+    "CONHECIDO E PROVIDO", "CONHECIDO E NEGADO PROVIMENTO", "CONHECIDO EM PARTE E NESSA PARTE PROVIDO", "CONHECIDO EM PARTE E NESSA PARTE NEGADO PROVIMENTO",
+    "CONHECIDO EM PARTE E NESSA PARTE DA PROVIMENTO", "CONCEDIDA A ORDEM", "CONCEDIDA EM PARTE A ORDEM", "CONCEDIDA A ORDEM DE OFICIO", "DENEGADA A ORDEM",
+    "CONCEDIDA A SEGURANCA", "CONCEDIDA EM PARTE A SEGURANCA", "DENEGADA A SEGURANCA", "CONCEDIDA A SUSPENSAO", "CONCEDIDA EM PARTE A SUSPENSAO",
+    "DENEGADA A SUSPENSAO", "PROVIDO EM PARTE", "PARCIALMENTE PROVIDO", "PROVIDO", "NAO PROVIDO", "DESPROVIDO", "NEGADO PROVIMENTO", "NEGOU PROVIMENTO",
+    "DAR PROVIMENTO", "DAR PARCIAL PROVIMENTO", "PROCEDENTE", "IMPROCEDENTE",
 )
 # Movement categories by parts of their descriptions, in order of trial.
 MOVEMENTS = (
-    ("deslocamento", ("deslocamento", "redistribu", "remessa", "remetido", "encaminhado", "prevenção", "prevencao")),
+    ("deslocamento", ("deslocamento", "redistribu", "remessa", "remessa a", "remetido", "encaminhado", "prevenção", "prevencao")),
     ("baixa", ("baixa", "trânsito em julgado", "transito em julgado", "arquivado", "arquivamento")),
-    ("distribuicao", ("distribuí", "distribui", "sorteio", "sorteado")),
+    ("distribuicao", ("distribuí", "distribui", "sorteio", "sorteado", "distribuição", "distribuido")),
     ("vista", ("vista", "devolvidos autos")),
-    ("pauta", ("pauta",)),
+    ("pauta", ("pauta", "incluído em pauta", "retirado de pauta", "incluido em pauta", "retirada de pauta")),
     ("recurso", ("embargos", "agravo", "recurso")),
-    ("decisao", ("julgamento", "julgado", "decisão", "decisao", "provido", "provimento", "negado", "deferido", "procedente", "concedido", "prejudicado", "extinto")),
+    ("decisao", ("julgamento", "julgado", "decisão", "decisao", "provido", "provimento", "improvido", "negado", "deferido", "indeferido", "procedente", "improcedente", "concedido", "prejudicado", "extinto")),
     ("publicacao", ("publicação", "publicacao", "publicado", "diário", "diario", "intimação", "intimacao")),
 )
 # What a movement signals.
 SIGNALS = {
-    "redistribution": ("redistribu",),
+    "redistribution": ("redistribu", "redistribuição", "redistribuicao", "redistribuído", "redistribuido"),
     "review_request": ("pedido de vista", "vista dos autos", "vista ao"),
     "review_return": ("devolvidos autos", "devolução de vista", "devolvido vista", "devolvidos os autos", "devolucao de vista"),
     "agenda_in": ("incluído em pauta", "incluido em pauta", "incluída em pauta", "incluida em pauta", "inclusão em pauta", "inclusao em pauta"),
@@ -84,7 +86,7 @@ PAYMENT_METHODS = {"EM ESPECIE": "cash", "DINHEIRO": "cash", "CHEQUE": "check",
 PAYMENT_CODES = {"0": "cash", "1": "check", "2": "estimated"}
 IN_KIND = (
     ("campaign_material", ("SANTINHO", "ADESIVO", "BANDEIRA", "BANNER", "FAIXA", "PANFLETO", "CAMISETA", "BONE", "BROCHE", "FLYER", "MATERIAL DE CAMPANHA", "MATERIAL DE PROPAGANDA", "PROPAGANDA ELEITORAL", "MATERIAL GRAFICO", "MATERIAL PUBLICITARIO", "PLACA")),
-    ("professional_service", ("SERVICO", "CONSULTORIA", "ASSESSORIA", "ADVOCACIA", "CONTABILIDADE", "CONTABIL", "JURIDICO", "PESQUISA", "MARKETING", "PUBLICIDADE", "HONORARIO", "LOCACAO DE MAO DE OBRA")),
+    ("professional_service", ("SERVICO", "CONSULTORIA", "ASSESSORIA", "ADVOCACIA", "CONTABILIDADE", "CONTABIL", "JURIDICO", "PESQUISA", "MARKETING", "PUBLICIDADE", "PRESTACAO DE SERVICO", "HONORARIO", "LOCACAO DE MAO DE OBRA")),
     ("transport_fuel", ("COMBUSTIVEL", "GASOLINA", "ETANOL", "DIESEL", "TRANSPORTE", "FRETE", "PASSAGEM", "DESLOCAMENTO", "VEICULO", "TAXI", "UBER")),
     ("media_communication", ("RADIO", "TELEVISAO", "TV", "JORNAL", "INSERCAO", "MIDIA", "HORARIO ELEITORAL", "COMUNICACAO", "TELEFONE", "INTERNET", "SITE", "REDE SOCIAL")),
     ("rental_property", ("ALUGUEL", "LOCACAO DE IMOVEL", "LOCACAO DE ESPACO", "CESSAO DE ESPACO", "CESSAO DE IMOVEL", "SALA", "IMOVEL", "COMITE")),
@@ -92,7 +94,7 @@ IN_KIND = (
     ("printing", ("GRAFICA", "IMPRESSAO", "TIPOGRAFIA", "COPIA", "XEROX")),
     ("food_beverage", ("ALIMENTACAO", "ALIMENTO", "REFEICAO", "AGUA", "BEBIDA", "CAFE", "LANCHE", "COMIDA")),
     ("volunteer_work", ("TRABALHO VOLUNTARIO", "CESSAO DE MAO DE OBRA")),
-    ("other_item", ("DOACAO", "ESTIMAVEL EM DINHEIRO", "CONTRIBUICAO", "RECURSO")),
+    ("other_item", ("DOACAO", "ESTIMAVEL EM DINHEIRO", "DOACAO EM BENS", "DOACAO ESTIMADA", "CONTRIBUICAO", "RECURSO")),
 )
 
 
@@ -222,3 +224,96 @@ def match_confidence(strategy: Column) -> Column:
 
 def known_state(c: Column) -> Column:
     return F.upper(F.trim(c)).isin(*STATES)
+
+
+# States by name.
+STATE_NAMES = {
+    "ACRE": "AC", "ALAGOAS": "AL", "AMAPA": "AP", "AMAZONAS": "AM", "BAHIA": "BA", "CEARA": "CE", "DISTRITO FEDERAL": "DF", "ESPIRITO SANTO": "ES", "GOIAS": "GO",
+    "MARANHAO": "MA", "MATO GROSSO": "MT", "MATO GROSSO DO SUL": "MS", "MINAS GERAIS": "MG", "PARA": "PA", "PARAIBA": "PB", "PARANA": "PR", "PERNAMBUCO": "PE",
+    "PIAUI": "PI", "RIO DE JANEIRO": "RJ", "RIO GRANDE DO NORTE": "RN", "RIO GRANDE DO SUL": "RS", "RONDONIA": "RO", "RORAIMA": "RR", "SANTA CATARINA": "SC",
+    "SAO PAULO": "SP", "SERGIPE": "SE", "TOCANTINS": "TO",
+}
+# The federal region of each state.
+FEDERAL_REGION = {
+    "AC": 1, "AM": 1, "AP": 1, "BA": 1, "DF": 1, "GO": 1, "MA": 1, "MG": 6, "MT": 1, "PA": 1, "PI": 1, "RO": 1, "RR": 1, "TO": 1, "ES": 2, "RJ": 2,
+    "MS": 3, "SP": 3, "PR": 4, "RS": 4, "SC": 4, "AL": 5, "CE": 5, "PB": 5, "PE": 5, "RN": 5, "SE": 5,
+}
+# Words of agenda entries.
+AGENDA = {
+    "core": ("sessao plenaria", "sessao administrativa", "sessao virtual", "plenario virtual", "julgamento", "sessao do tse"),
+    "external": ("agu", "pgr", "procurador-geral", "embaixador", "onu", "posse", "homenagem", "seminario", "congresso", "oab", "secretaria-geral"),
+    "private": ("assunto:", "dr.", "dra.", "escritorio", "advogad"),
+    "public_actor": ("agu", "pgr", "procurador-geral", "ministerio", "secretaria", "embaixador", "onu", "oab", "tribunal", "orgao", "governo"),
+    "private_actor": ("dr.", "dra.", "escritorio", "advogad", "banca"),
+    "ceremony": ("posse", "homenagem", "titulo", "cerimonia", "entrega"),
+    "academic": ("seminario", "congresso", "palestra", "simposio"),
+    "admin": ("administrativa", "administrativo", "reuniao interna"),
+    "courtesy": ("cortesia", "visita de cortesia"),
+}
+# Procedural windows of events, and of movements in order of trial.
+EVENT_WINDOWS = {"petition": "distribuicao", "oral_argument": "julgamento", "memorial": "pauta", "amicus_brief": "distribuicao", "procuracao": "distribuicao", "substabelecimento": "distribuicao", "withdrawal": "publicacao"}
+MOVEMENT_WINDOWS = {
+    "DISTRIBUICAO": "distribuicao", "REDISTRIBUICAO": "distribuicao", "DISTRIBUIDO": "distribuicao", "INCLUIDO_EM_PAUTA": "pauta", "PAUTA": "pauta", "RETIRADO_DE_PAUTA": "pauta",
+    "ADIADO": "pauta", "PEDIDO_DE_VISTA": "vista", "VISTA": "vista", "DEVOLVIDO_DA_VISTA": "vista", "JULGAMENTO": "julgamento", "JULGADO": "julgamento",
+    "PROCLAMACAO_DO_RESULTADO": "julgamento", "PUBLICACAO": "publicacao", "PUBLICADO": "publicacao", "TRANSITO_EM_JULGADO": "publicacao",
+}
+
+
+def session_event(description: Column) -> Column:
+    """The kind of session event: a return before a request, then agenda signals, then the movement's category."""
+    category = movement_category(description)
+    return ladder([
+        (signals(description, "review_return"), "devolvido_vista"), (signals(description, "review_request"), "pedido_de_vista"), (signals(description, "agenda_in"), "pauta_inclusion"),
+        (signals(description, "agenda_out"), "pauta_withdrawal"), (category == "pauta", "pauta_inclusion"), (category == "vista", "pedido_de_vista"), (category == "decisao", "julgamento"),
+    ], "outros")
+
+
+def session_kind(description: Column) -> Column:
+    text = F.lower(description)
+    return ladder([(any_of(text, ("virtual",)), "plenario_virtual"), (any_of(text, ("plenário", "pleno", "plenario")), "plenario"), (text.rlike(r"1[ªa]\s*turma|primeira turma"), "turma_1"), (text.rlike(r"2[ªa]\s*turma|segunda turma"), "turma_2")])
+
+
+def procedural_window(event: Column, movement: Column) -> Column:
+    label = F.replace(F.upper(movement), F.lit(" "), F.lit("_"))
+    return ladder([*[(event == k, v) for k, v in EVENT_WINDOWS.items()], *[(F.contains(label, F.lit(k)), v) for k, v in MOVEMENT_WINDOWS.items()]])
+
+
+def representative_role(label: Column) -> Column:
+    return F.when(any_of(F.upper(label), ("PROC",)), "public_attorney").when(any_of(F.upper(label), ("ADV", "DEF")), "counsel_of_record")
+
+
+def state_of(description: Column) -> Column:
+    """A state's code from its code, its name, or a text that names it; longer names first."""
+    label = F.upper(strip_accents(description))
+    names = sorted(STATE_NAMES, key=lambda n: (-len(n), n))
+    return ladder([(label.isin(*STATES), label), *[(label == n, STATE_NAMES[n]) for n in names], *[(F.contains(label, F.lit(n)), STATE_NAMES[n]) for n in names]])
+
+
+def origin_courts(court: Column, state: Column) -> Column:
+    """The state and federal courts an origin may mean, as an array."""
+    code = state_of(state)
+    region = ladder([(code == k, f"trf{v}") for k, v in FEDERAL_REGION.items()])
+    local = F.concat(F.lit("tj"), F.lower(code))
+    name = F.upper(strip_accents(court))
+    both = F.array_compact(F.array(local, region))
+    return F.when(F.contains(name, F.lit("REGIONAL FEDERAL")), F.array_compact(F.array(region))).when(any_of(name, ("JUSTICA ESTADUAL", "TRIBUNAL DE JUSTICA")), F.array_compact(F.array(local))).otherwise(both)
+
+
+def meeting_nature(entry: Column) -> Column:
+    text = F.lower(entry)
+    has = lambda kind: any_of(text, AGENDA[kind])
+    return ladder([
+        (has("core"), "session"), (has("ceremony"), "ceremony"), (has("academic"), "academic_event"), (has("courtesy"), "courtesy_visit"), (has("admin"), "administrative_event"),
+        (any_of(text, ("audiencia",)), "hearing"), (has("private_actor"), "private_meeting"), (any_of(text, ("reuniao",)) & has("public_actor"), "official_meeting"),
+    ], "other")
+
+
+def agenda_category(entry: Column, names_case: Column) -> Column:
+    """The kind of an agenda entry by who takes part; ``names_case`` says whether it refers to a case."""
+    text = F.lower(entry)
+    has = lambda kind: any_of(text, AGENDA[kind])
+    public, private = has("public_actor"), has("private_actor")
+    return ladder([
+        (public & private, "unclear"), (has("core"), "institutional_core"), (public & has("external"), "institutional_external_actor"), (private, "private_advocacy"),
+        (has("private") & names_case, "private_advocacy"), (public, "institutional_external_actor"),
+    ], "unclear")
