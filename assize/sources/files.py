@@ -60,3 +60,54 @@ def merge_increment(current: DataFrame, update: DataFrame, keys: list[str], orde
     both = current.unionByName(update)
     columns = [c for c in both.columns if c not in keys]
     return both.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in columns])
+
+
+def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Write the partitions that ``df`` has and leave all others of the table as they are."""
+    df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+def probe(spark: SparkSession, path: str) -> tuple[str, str, list[str]]:
+    """(encoding, separator, header) of delimited text by its first line, through Spark's own reader."""
+    first = spark.read.option("wholetext", False).text(path).limit(1).select(F.col("value").cast("binary").alias("v")).first()
+    raw = bytes(first["v"]) if first else b""
+    broken = "�" in raw.decode("utf-8", "replace")
+    line = raw.decode("utf-8", "replace")
+    separator = max(";,\t|", key=lambda s: (line.count(s), -";,\t|".index(s)))
+    return ("ISO-8859-1" if broken else "UTF-8"), separator, [h.strip().strip('"') for h in line.split(separator)]
+
+
+def require_header(found: list[str], expected: list[str], source: str) -> None:
+    """Raise if the headers, in snake case, are not the expected ones in order."""
+    if column_labels(found) != column_labels(expected):
+        raise ValueError(f"{source}: the header is {found}, not {expected}")
+
+
+def by_alias(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """Columns under one name each: of a field's aliases the first that the table has; null if it has none."""
+    known = set(df.columns)
+    chosen = {field: next((a for a in names if a in known), None) for field, names in aliases.items()}
+    return df.select(*[(F.col(a) if a else F.lit(None).cast("string")).alias(field) for field, a in chosen.items()])
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256, modified) of every file under a path; each is read by one task, a file at a time."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
+
+
+def sync_plan(found: DataFrame, known: DataFrame) -> DataFrame:
+    """What to do with each file: add new ones, refresh changed ones, skip the rest, and note those that are gone."""
+    old = known.select("file", F.col("sha256").alias("old"))
+    both = found.select("file", "sha256").join(old, "file", "full")
+    action = F.when(F.col("old").isNull(), "add").when(F.col("sha256").isNull(), "gone").when(F.col("old") != F.col("sha256"), "refresh").otherwise("skip")
+    return both.select("file", action.alias("action"))
+
+
+def movements(df: DataFrame, html: str, key: str) -> DataFrame:
+    """Table rows of HTML pages as (key, number, cells): one row a table row, cells without tags."""
+    from assize.functions.text import without_tags
+
+    rows = F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("number", "row")
+    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), without_tags)
+    return df.select(key, rows).select(key, "number", cells.alias("cells"))
