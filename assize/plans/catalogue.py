@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from assize.plans import curated, entities, rates, series, serving, streams
+from assize.plans import curated, entities, rates, series, serving, streams, subjects
 
-_PARTS = (rates, series, entities, serving, streams, curated)
+_PARTS = (rates, series, entities, serving, streams, curated, subjects)
 QUERIES = {name: query for part in _PARTS for name, query in part.R.queries.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.R.sql.items()}
