@@ -72,9 +72,10 @@ def event_window_before_after(spark, folder):
     return sequence.around_events(decisions(spark, folder), "d", "fav", events)
 
 
-@R.add(f"""WITH {VELOCITIES} SELECT cls, y, count(*) AS n, quantile_cont(days, 0.05) AS p5, quantile_cont(days, 0.1) AS p10, quantile_cont(days, 0.5) AS p50, quantile_cont(days, 0.9) AS p90, quantile_cont(days, 0.95) AS p95 FROM vel GROUP BY ALL HAVING count(*) >= 10""")
+@R.add(f"""WITH {VELOCITIES} SELECT cls, y, count(*) AS n, round_even(quantile_cont(days, 0.05), 6)::DOUBLE AS p5, round_even(quantile_cont(days, 0.1), 6)::DOUBLE AS p10, round_even(quantile_cont(days, 0.5), 6)::DOUBLE AS p50, round_even(quantile_cont(days, 0.9), 6)::DOUBLE AS p90, round_even(quantile_cont(days, 0.95), 6)::DOUBLE AS p95 FROM vel GROUP BY ALL HAVING count(*) >= 10""")
 def velocity_percentiles(spark, folder):
-    return sequence.percentiles(velocities(spark, folder), ["cls", "y"], "days", [0.05, 0.1, 0.5, 0.9, 0.95])
+    found = sequence.percentiles(velocities(spark, folder), ["cls", "y"], "days", [0.05, 0.1, 0.5, 0.9, 0.95])
+    return found.select("cls", "y", "n", *[F.bround(c, 6).alias(c) for c in found.columns[3:]])
 
 
 @R.add(f"""WITH {VELOCITIES}, p AS (SELECT cls, y, count(*) AS peers, quantile_cont(days, 0.05) AS lo, quantile_cont(days, 0.5) AS mid, quantile_cont(days, 0.95) AS hi FROM vel GROUP BY ALL HAVING count(*) >= 10)

@@ -206,9 +206,9 @@ def hashed_sample(spark, folder):
     return quality.hashed_sample(read_table(spark, folder, "customer").select("c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey", 10)
 
 
-@R.add("SELECT floor(l_discount * 100)::BIGINT AS bucket, count(*) AS n, quantile_cont(l_extendedprice, 0.5) AS median FROM lineitem GROUP BY ALL")
+@R.add("SELECT floor(l_discount * 100)::BIGINT AS bucket, count(*) AS n, round_even(quantile_cont(l_extendedprice, 0.5), 6)::DOUBLE AS median FROM lineitem GROUP BY ALL")
 def score_histogram(spark, folder):
-    return read_table(spark, folder, "lineitem").groupBy(F.floor(F.col("l_discount") * 100).alias("bucket")).agg(F.count("*").alias("n"), F.percentile("l_extendedprice", F.lit(0.5)).alias("median"))
+    return read_table(spark, folder, "lineitem").groupBy(F.floor(F.col("l_discount") * 100).alias("bucket")).agg(F.count("*").alias("n"), F.bround(F.percentile("l_extendedprice", F.lit(0.5)), 6).alias("median"))
 
 
 @R.add("SELECT l_returnflag, l_linestatus, round_even(sum(l_quantity), 2)::DOUBLE AS sum_qty, round_even(sum(l_extendedprice * (1 - l_discount)), 2)::DOUBLE AS revenue, count(*) AS n FROM lineitem GROUP BY ALL")
