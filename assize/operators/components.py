@@ -17,9 +17,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     are shuffled, so a hub is never gathered in one task. Only two numbers a round reach the driver.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    nodes = pairs.select(F.col("a").alias("node"))
     state = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    loops = cut(nodes.join(state.select(F.explode(F.array("u", "v")).alias("node")), "node", "left_anti").distinct())
+    alone = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
+    loops = cut(alone.join(state.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_anti"))
     mark = _mark(state)
     for _ in range(max_rounds):
         both = state.union(state.select("v", "u")).toDF("u", "v")
