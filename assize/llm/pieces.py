@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from math import log
 
 import numpy as np
@@ -34,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.3
 SHIFT = 100.0
 #: Nodes of lattices kept at most; characters sampled at once.
-KEPT_NODES, CHARS = 1_500_000, 1_000_000
+KEPT_NODES, CHARS = 2_500_000, 1_000_000
 #: The log weight of a character spelled in bytes.
 UNKNOWN = -10.0
 
@@ -126,7 +127,8 @@ class Sampler:
     def clear(self) -> None:
         self.end: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.bound = np.zeros(1 << 16)  # for every edge its node plus the shares up to it
+        self.first = np.zeros(1 << 16, np.int32)  # the first edge of every node
+        self.bound = np.zeros(1 << 16)  # for every edge the shares of its node up to it
         self.source = np.zeros(1 << 16, np.int32)  # the node it comes from; -1 at a unit's start
         self.piece = np.zeros(1 << 16, np.int32)  # its piece, or -1 - (where its bytes are listed)
         self.spelled: list[tuple[int, ...]] = []
@@ -183,9 +185,9 @@ class Sampler:
         up_to[heads + runs - 1] = 1.0
         source = np.where(before[order] == len(codes), -1, before[order] + self.nodes)
         stop = self.edges + len(last)
-        for name, values in (("bound", last + self.nodes + np.minimum(up_to, 1.0)), ("source", source), ("piece", piece[order])):
-            array = _grown(getattr(self, name), stop)
-            array[self.edges : stop] = values
+        for name, start, values in (("bound", self.edges, up_to), ("source", self.edges, source), ("piece", self.edges, piece[order]), ("first", self.nodes, heads + self.edges)):
+            array = _grown(getattr(self, name), start + len(values))
+            array[start : start + len(values)] = values
             setattr(self, name, array)
         self.end.update(zip(units, (ends - 1 + self.nodes).tolist()))
         self.edges, self.nodes = stop, self.nodes + len(codes)
@@ -196,19 +198,24 @@ class Sampler:
             self.clear()
         split = [_UNIT.findall(" " + text) for text in texts]
         counts = [len(units) for units in split]
-        known = self.end
-        if new := list(dict.fromkeys(u for units in split for u in units if u not in known)):
-            self.learn(new)
-        ends = [known[u] for units in split for u in units]
+        every = list(chain.from_iterable(split))
+        ends = list(map(self.end.get, every))
+        if None in ends:
+            self.learn(list(dict.fromkeys(unit for unit, at in zip(every, ends) if at is None)))
+            ends = list(map(self.end.__getitem__, every))
         row = np.repeat(np.arange(len(texts)), counts)
         at = np.array(ends, np.int64)
         # draws are numbered by the unit within its row and the step within the unit
         unit_no = np.arange(len(at), dtype=np.uint64) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.uint64)
         base = _mix(seeds[row] ^ _mix(unit_no))
-        bound, live, steps = self.bound[: self.edges], np.arange(len(at)), []
+        live, steps = np.arange(len(at)), []
         while len(live):
             u = (_mix(base[live] + np.uint64(len(steps) + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(bound, at[live] + u, side="right")
+            edge = self.first[at[live]]
+            behind = np.nonzero(self.bound[edge] <= u)[0]
+            while len(behind):  # the last share of a node is one, above any draw
+                edge[behind] += 1
+                behind = behind[self.bound[edge[behind]] <= u[behind]]
             steps.append((live, edge))
             at[live] = self.source[edge]
             live = live[at[live] >= 0]
