@@ -126,13 +126,31 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return prints.join(names, "fp", "left").select("id", "fp", "component_id")
 
 
+def _text_hash(text_col: str) -> F.Column:
+    return F.xxhash64(F.col(text_col))
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every class in ``found`` (row, root), where ``row`` is that of ``named``: the smallest id, null last."""
+    first = F.min(F.struct(F.col("row.id").isNull().alias("null"), F.col("row.id").alias("id"), F.col("row.text_hash").alias("text_hash")))
+    kept = cut(found.groupBy("root").agg(first.alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")))
+    numbered = docs.withColumn("_text_hash", _text_hash(text_col))
+    rows = numbered.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("_text_hash") == F.col("kept_hash")), "left_semi")
+    repeated = found.groupBy("row").count().where("count > 1").limit(1).count()
+    return (rows.dropDuplicates([id_col, "_text_hash"]) if repeated else rows).drop("_text_hash")
+
+
+def named(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, text): texts under their id and text hash, which together tell rows apart but for equal ones."""
+    return docs.select(F.struct(F.col(id_col).alias("id"), _text_hash(text_col).alias("text_hash")).alias("row"), F.col(text_col).alias("text"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of every class of near-duplicates: that of the smallest id."""
-    found = cut(components(docs, id_col, text_col))
-    kept = found.where("id <=> component_id").select("id").distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["id"]), "left_semi")
-    repeated = found.groupBy("id").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates([id_col]) if repeated else rows
+    """``docs`` with one row of every class of near-duplicates: that of the smallest id, whatever else has this id."""
+    prints = cut(fingerprints(named(docs, id_col, text_col), "row", "text"))
+    roots = connected_components(links(prints.select("fp").distinct()), "a", "b").toDF("fp", "root")
+    found = prints.join(roots, "fp", "left").select(F.col("id").alias("row"), F.coalesce("root", "fp").alias("root"))
+    return keep_first(docs, cut(found), id_col, text_col)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -72,6 +72,14 @@ def test_keep_one(spark, odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Unlike texts under one id stay; a copy without an id takes no other text with it."""
+    unlike = ["one plain text about rivers and the sea", "quite another story of seven old trains", "a third thing that nobody has said before"]
+    rows = [(None, unlike[0]), (None, unlike[1]), (4, unlike[0]), (7, unlike[1]), (7, unlike[2]), (7, unlike[2]), (None, "a lone row that has no id of its own")]
+    kept = sorted(((r["doc_id"] or 0), r["text"]) for r in simhash.keep_one(table(spark, rows)).collect())
+    assert kept == sorted([(4, unlike[0]), (7, unlike[1]), (7, unlike[2]), (0, rows[-1][1])])
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((30, 16))
