@@ -5,7 +5,8 @@ import random
 import numpy as np
 import xxhash
 
-from assize.llm import simhash, vectors
+import corpus_pipeline
+from assize.llm import shingles, simhash, vectors
 
 from .conftest import table
 
@@ -80,6 +81,29 @@ def test_keep_one_of_repeated_ids(spark):
     assert kept == sorted([(4, unlike[0]), (7, unlike[1]), (7, unlike[2]), (0, rows[-1][1])])
 
 
+def test_five_word_copies(spark):
+    """Classes are those of brute force, with small bands expanded and with all bands held to be large."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = rng.sample(vocabulary, 120)
+        for edits in (0, 1, 2, 3, 4, 5):
+            text = list(base)
+            for at in rng.sample(range(120), edits):
+                text[at] = rng.choice(vocabulary)
+            texts.append(" ".join(text))
+    texts += ["same four words here", "Same four  words here", "", "   "]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    want = classes(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    docs = table(spark, list(enumerate(texts)))
+    for limit in (64, 2):
+        roots = {r["row"]["id"]: r["root"] for r in shingles.classes(docs, limit=limit).collect()}
+        assert classes(list(range(len(texts))), lambda a, b: roots[a] == roots[b]) == want
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == sorted(set(want)) and len(kept) < len(texts)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((30, 16))
