@@ -5,7 +5,10 @@ spaces or points) becomes a lattice: every character may stand for itself, for t
 for, for nothing if it is a separator, and a run of one letter may stand for one or two. The Viterbi
 path through the lattice under a character trigram model and the channel's costs is the restored token.
 A plain token has one path only and stays as it is. The model is counted over the words of all rows.
-Restored words, and their beginnings of some lengths, then enter a logistic model fitted to labels.
+A token that may join several words is also read as these: cut at its signs, and by the path through a
+lattice whose separators may end a word. Signs at a token's edge that are used for letters are read both
+as punctuation and as letters. Restored words of all readings, and their beginnings of some lengths, then
+enter a logistic model fitted to labels.
 
 Defined results: null and empty texts score the model's intercept; repeated rows and ties score alike;
 an empty table gives an empty table; without labels every score is 0. Labels are read by id alone;
@@ -46,6 +49,11 @@ COUNTED_AT_ONCE = 300_000
 _PLAIN = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$|^[$@]{2,}|[$@]{2,}$|_+$|^_+")
 _RUN = re.compile(r"(.)\1\1")
+#: Signs, not digits, that are used for letters.
+_SIGNS = "".join(c for c in LEET if not c.isalnum())
+_AT_SIGNS, _AT_OTHERS = re.compile(r"[\W_]+"), re.compile(rf"(?:(?![{re.escape(_SIGNS)}])[\W_])+")
+#: What stands for the end of a word within a lattice; no token has it.
+BREAK = "\n"
 
 
 class CharModel:
@@ -85,8 +93,8 @@ def trigrams(words: Iterable[tuple[str, int]]) -> Counter:
     return grams
 
 
-def edges(token: str) -> list[list[tuple[int, str, float]]]:
-    """The lattice of a token: from every position, (next position, letters, channel cost)."""
+def edges(token: str, breaks: bool = False) -> list[list[tuple[int, str, float]]]:
+    """The lattice of a token: from every position, (next position, letters, channel cost). With ``breaks``, separators may end a word."""
     lattice: list[list[tuple[int, str, float]]] = []
     n = len(token)
     for k, c in enumerate(token):
@@ -94,6 +102,8 @@ def edges(token: str) -> list[list[tuple[int, str, float]]]:
         out += [(k + 1, x, LEET_COST) for x in LEET.get(c, "")]
         if c in SEPARATORS or c == " ":
             out.append((k + 1, "", DROP_COST))
+            if breaks:
+                out.append((k + 1, BREAK, DROP_COST))
         if c.isalnum() or c in LEET:
             stop = k + 1
             while stop < n and token[stop] == c:
@@ -105,15 +115,22 @@ def edges(token: str) -> list[list[tuple[int, str, float]]]:
     return lattice
 
 
-def viterbi(token: str, model: CharModel) -> str:
-    """The likeliest plain form of a token. Ties go to the form that sorts first."""
-    lattice = edges(token)
+def viterbi(token: str, model: CharModel, breaks: bool = False) -> str:
+    """The likeliest plain form of a token, with ``breaks`` of several words. Ties go to the form that sorts first."""
+    lattice = edges(token, breaks)
     best: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
     best[0]["^^"] = (0.0, "")
     for k, out in enumerate(lattice):
         for state, (cost, form) in best[k].items():
             for stop, letters, price in out:
                 total, last = cost + price, state
+                if letters == BREAK:
+                    total += model.cost(state + "$")
+                    letters, last = (BREAK, "^^") if state != "^^" else ("", state)
+                    entry = (total, form + letters)
+                    if (old := best[stop].get(last)) is None or entry < old:
+                        best[stop][last] = entry
+                    continue
                 for x in letters:
                     total += model.cost(last + x)
                     last = last[1] + x
@@ -145,7 +162,37 @@ def tokens(text: str) -> Iterator[str]:
         yield " ".join(alone)
 
 
-#: Letters of a spaced-out token that are decoded as one lattice.
+def _stops(signs: str) -> list[int]:
+    """Where a run of equal signs ends in ``signs``, and 0."""
+    return [0, *(k for k in range(1, len(signs) + 1) if k == len(signs) or signs[k] != signs[k - 1])]
+
+
+def disguised(text: str) -> Iterator[str]:
+    """Further readings of a text's tokens: with signs at their edges that are used for letters."""
+    alone: list[str] = []
+    signed = False
+    for raw in [*text.split(), ""]:
+        token = raw if raw.isalpha() else core(raw)
+        if token and token != raw:
+            at = raw.index(token)
+            before, after = raw[:at], raw[at + len(token) :]
+            before = before[len(before.rstrip(_SIGNS)) :]
+            after = after[: len(after) - len(after.lstrip(_SIGNS))]
+            for a in _stops(before[::-1]):
+                for b in _stops(after):
+                    if a or b:
+                        yield before[len(before) - a :] + token + after[:b]
+        single = token or raw
+        if len(single) == 1 and (token or single in LEET):
+            alone.append(single)
+            signed = signed or not token
+        elif token or not raw:
+            if len(alone) > 2 and signed:
+                yield " ".join(alone)
+            alone, signed = [], False
+
+
+#: Letters of a spaced-out token that are decoded as one lattice. Lattices with word breaks are twice as long and overlap by half.
 LATTICE = 64
 
 
@@ -163,11 +210,35 @@ class Restorer:
             return token
         return "".join(viterbi(token[k : k + LATTICE], self.model) for k in range(0, len(token), LATTICE))
 
+    def words(self, token: str) -> set[str]:
+        """The words that a token may join: its parts between signs, and the likeliest path with word breaks.
+
+        The first and the last of letters set apart may each be a word of one letter.
+        """
+        if token.isalnum():
+            return set()
+        if " " in token:
+            whole = {token[a:b] for a in (0, 2) for b in (len(token), len(token) - 2) if b - a > 3}
+            return {self.restore(x) for x in whole} | {word for x in whole for word in self.broken(x)}
+        parts = {x for by in (_AT_SIGNS, _AT_OTHERS) for x in by.split(token)} - {token}
+        out = {self.restore(x) for x in parts if len(x) > 1}
+        if any(c in SEPARATORS for c in token):
+            out |= self.broken(token)
+        return out - {""}
+
+    def broken(self, token: str) -> set[str]:
+        """The words on the likeliest path with word breaks."""
+        out: set[str] = set()
+        if any(c.isalpha() for c in token):
+            for k in range(0, max(1, len(token) - LATTICE), LATTICE):
+                out.update(viterbi(token[k : k + 2 * LATTICE], self.model, True).split(BREAK))
+        return out - {""}
+
     def names(self, token: str) -> tuple:
         """The features of a token: of the known ones their numbers, or else all names."""
         if (found := self.memo.get(token)) is None:
-            word = self.restore(token)
-            every = [f"={word}", *(f"{word[:k]}*" for k in PREFIXES if len(word) >= k)]
+            words = {self.restore(token), *self.words(token)}
+            every = sorted({x for word in words for x in (f"={word}", *(f"{word[:k]}*" for k in PREFIXES if len(word) >= k))})
             found = tuple(every) if self.known is None else tuple(self.known[x] for x in every if x in self.known)
             if len(self.memo) >= CACHE:
                 self.memo.clear()
@@ -176,7 +247,8 @@ class Restorer:
 
     def features(self, text: str | None) -> set:
         out: set = set()
-        for token in set(tokens((text or "").lower())):
+        lower = (text or "").lower()
+        for token in {*tokens(lower), *disguised(lower)}:
             out.update(self.names(token))
         return out
 

@@ -32,6 +32,20 @@ def test_restored(docs):
     assert list(toxicity.tokens("a i d i o t, x The!! $$$ ok###")) == ["a i d i o t x", "The", "ok"]
 
 
+def test_words_within_tokens(spark):
+    """Every word of a token that joins several is a feature, and signs at edges may be letters."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    restorer = toxicity.Restorer(toxicity.char_model(docs.select("text").unionByName(docs.limit(1).selectExpr("repeat('you are an idiot and an ass ', 200) as text"))))
+    for text in ("you-idiot", "the,idiot", "end.idiot", "so(idiot)", "you-!diot", "!diot", "|diot", "|d!ot!!", "! d i o t", "a i d i o t, x", "i d i o t"):
+        assert "=idiot" in restorer.features(text), text
+    found = {word for k in ("y o u i d i o t", "y.o.u-i.d.i.o.t") for word in restorer.broken(k)}
+    assert {"idiot", "you"} <= found, found
+    assert {"=idiot", "=you"} <= restorer.features("y.o.u-i.d.i.o.t")
+    plain = toxicity.Restorer(toxicity.CharModel(toxicity.trigrams([("ass", 200), ("the", 500), ("an", 300)])))
+    assert "=ass" in plain.features("a$$") and "=ass" in plain.features("a$$!")
+    assert restorer.features("plain words, here.") == restorer.features("plain words here")
+
+
 def test_odd_rows_are_scored(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(1, 0), (5, 1), (6, 0), (8, 0), (None, 1), (3, None)], "id long, label int")
     chars = toxicity.char_model(odd)
