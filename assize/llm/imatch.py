@@ -5,7 +5,8 @@ lexicon, of different sizes so that short and long texts meet one that suits the
 for every subset a text's distinct terms in it are sorted and hashed. Two texts are alike by the share of
 subsets, of those that hold a term of either, in which the hashes are equal.
 
-A term is in at least ``low`` of all texts, so the lexicon has at most (mean distinct terms of a text) /
+Document frequency is counted over distinct texts, so copies do not move a text's terms out of the band.
+A term is in at least ``low`` of these, so the lexicon has at most (mean distinct terms of a text) /
 low entries, whatever the number of texts; its size is still checked before it is broadcast, and beyond
 the check the terms are joined by shuffle.
 
@@ -39,9 +40,11 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term_hash) of the terms in the band of document frequency, counted over all rows."""
-    n = docs.count()
-    hashes = docs.select(F.explode(terms(F.col(text_col))).alias("term")).select(F.xxhash64("term").alias("term_hash"))
+    """(term_hash) of the terms in the band of document frequency, counted over all distinct texts."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    n = texts.select("text_hash").distinct().count()
+    hashes = texts.dropDuplicates(["text_hash"]).select(F.explode(terms(F.col("text"))).alias("term")).select(F.xxhash64("term").alias("term_hash"))
     counts = hashes.groupBy("term_hash").agg(F.count("*").alias("df"))
     return counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term_hash")
 

@@ -117,6 +117,17 @@ def test_imatch(spark, folder, odd, odd_rows, empty):
     assert imatch.with_next(empty).count() == 0 and imatch.fingerprint(empty).count() == 0
 
 
+def test_copies_stay_in_the_band(spark):
+    """A text whose copies are a third of all rows keeps its terms in the lexicon."""
+    words = [f"t{k}" for k in range(200)]
+    others = [" ".join(words[(7 * k + j) % 200] for j in range(10)) for k in range(60)]
+    rows = list(enumerate([others[0]] * 30 + others))
+    found = {r[0] for r in imatch.lexicon(table(spark, rows)).collect()}
+    once = {r[0] for r in imatch.lexicon(table(spark, list(enumerate(others)))).collect()}
+    hot = {r[0] for r in spark.createDataFrame([(w,) for w in others[0].split()], "w string").selectExpr("xxhash64(w)").collect()}
+    assert found == once and hot <= found
+
+
 def test_next_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
     rows = [(k * k, f"text {k}") for k in range(100)]
