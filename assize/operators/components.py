@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assize.operators.skew import HOT_ROWS, meet
 from assize.session import cut
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Map every node of ``edges`` to the smallest node it can reach.
 
     Returns (node, component); nodes are any orderable type. Self-loops keep their node; rows with a
     null end are ignored. Each round points the larger neighbours of every node at its smallest
-    neighbour, then the node and its smaller neighbours likewise; minima are aggregated before they
-    are shuffled, so a hub is never gathered in one task. Only two numbers a round reach the driver.
+    neighbour, then the node and its smaller neighbours likewise. Minima are aggregated before they are
+    shuffled, and the neighbours of a hub learn its minimum where they are, so a hub is never gathered in
+    one task. Only two numbers a round reach the driver.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     state = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -23,10 +25,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     mark = _mark(state)
     for _ in range(max_rounds):
         both = state.union(state.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = _with_least(both, both.where("v > u"), 2 * mark[0], hot_rows).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = cut(large) if mark[0] > hot_rows else large  # both steps read it several times then
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = _with_least(large, large, mark[0], hot_rows)
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         state = cut(after.distinct())
         before, mark = mark, _mark(state)
@@ -42,6 +44,12 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     )
 
 
+def _with_least(every: DataFrame, rows: DataFrame, total: int, hot_rows: int) -> DataFrame:
+    """``rows`` with ``m``, the least neighbour that ``every`` has of their node u."""
+    least = every.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return meet(rows, least.select("u", "m"), "u", least.select("u", "n"), total, hot_rows=hot_rows)
+
+
 def _mark(state: DataFrame) -> tuple:
     row = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]

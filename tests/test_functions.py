@@ -5,7 +5,7 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from assize.functions import dates, rules, stats, text
-from assize.operators import graph, joins, match, sequence
+from assize.operators import graph, joins, match, sequence, skew
 from assize.operators.components import connected_components
 from assize.sources import files
 
@@ -83,6 +83,19 @@ def test_components(spark):
     assert got == {n: find(n) for n in root}
 
 
+def test_hubs_learn_their_minimum_in_place(spark):
+    """Both ends of the order may be hubs; keys above the bar are met through a broadcast."""
+    edges = [(1, k) for k in range(2, 400)] + [(9999, k) for k in range(300, 900)] + [(20_000, 20_001)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", hot_rows=50).collect()}
+    assert got == {k: 1 for k in [*range(1, 900), 9999]} | {20_000: 20_000, 20_001: 20_000}
+    rows = spark.createDataFrame([("a", k) for k in range(30)] + [("b", 1), ("c", 2)], "k string, x int")
+    table = spark.createDataFrame([("a", 7), ("b", 8)], "k string, y int")
+    sizes = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    for how, want in (("inner", 31), ("left", 32)):
+        met = skew.meet(rows, table, "k", sizes, 32, how, 5)
+        assert met.count() == want and met.where("k = 'a' and y = 7").count() == 30
+
+
 def test_greedy_durations(spark):
     import datetime as dt
     import random
