@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assize.operators.components import connected_components
+from assize.operators.skew import meet
 from assize.session import cut
 
 WORDS_PER_SHINGLE = 3
@@ -118,12 +119,12 @@ def links(prints: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row: the smallest id reachable by links of at most three bits."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(links(classes.select("fp")), "a", "b").toDF("fp", "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(names, "fp", "left").select("id", "fp", "component_id")
+    return meet(prints, names, "fp", classes.select("fp", "n"), prints.count()).select("id", "fp", "component_id")
 
 
 def _text_hash(text_col: str) -> F.Column:
@@ -154,6 +155,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its fingerprint and the smallest doc_id of its class; null texts count as empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return components(docs).select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")

@@ -1,8 +1,10 @@
 """Near-duplicates of texts and vectors against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 import corpus_pipeline
@@ -125,16 +127,70 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.where("false")).count() == 0
 
 
-def test_vector_blocks(spark, monkeypatch):
-    """A bucket above the block size gives the same numbers block by block."""
+def brute_links(m, n):
+    """(links, component) of unit rows, each standing for n vectors, by all cosines."""
+    near = (m @ m.T >= 0.9) & ~np.eye(len(m), dtype=bool)
+    return near @ n + n - 1, classes(list(range(len(m))), lambda a, b: near[a, b])
+
+
+def test_vector_blocks(spark):
+    """Buckets above the limit, block by block, give the numbers that small buckets give, and those of brute force."""
     rng = np.random.default_rng(3)
-    centre = rng.standard_normal(16)
-    data = [(k, [float(x) for x in centre + rng.standard_normal(16) * 0.03]) for k in range(120)]
+    centres = rng.standard_normal((3, 16))
+    vectors_ = [centres[k % 3] + rng.standard_normal(16) * (0.03, 0.1, 0.3)[k // 3 % 3] for k in range(300)]
+    data = [(k, [float(x) for x in v]) for k, v in enumerate(vectors_)] + [(300, [float(x) for x in vectors_[0]])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    whole = sorted(map(tuple, vectors.near_duplicates(df).collect()))
-    monkeypatch.setattr(vectors, "BLOCK", 16)
-    assert sorted(map(tuple, vectors.near_duplicates(df).collect())) == whole
-    assert {r[1] for r in whole} == {119}
+    classes_ = df.where("vec_id < 300").selectExpr("vec_id as cid", "1L as n", "size(embedding) as dim", "embedding as v").cache()
+    results = []
+    for limit, block in ((10_000, 4_096), (6, 16), (6, 4_096)):
+        found = vectors.links(classes_, limit=limit, block=block).collect()
+        gained = Counter()
+        for r in found:
+            gained[r["cid"]] += r["links"]
+        results.append(sorted((k, n) for k, n in gained.items() if n))
+    assert results[0] == results[1] == results[2]
+    m = np.array(vectors_)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want, _ = brute_links(m, np.ones(300, int))
+    got = dict(results[0])
+    assert all(got.get(k, 0) <= want[k] for k in range(300)) and sum(got.values()) >= 0.95 * want.sum()
+
+
+@pytest.mark.parametrize("cosine", [0.905, 0.92])
+def test_recall_near_the_threshold(spark, cosine):
+    """Of pairs just above the threshold, among unrelated vectors, nine in ten are found, by the registered query's operator."""
+    rng = np.random.default_rng(int(cosine * 1000))
+    base = rng.standard_normal((700, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal((700, 64))
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    other = cosine * base + np.sqrt(1 - cosine**2) * off
+    data = [(k, [float(x) for x in v]) for k, v in enumerate(np.concatenate([base, other]).astype(np.float32))]
+    found = {r["id"]: r["n_links"] for r in vectors.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()}
+    m = np.array([v for _, v in data])
+    want, _ = brute_links(m / np.linalg.norm(m, axis=1, keepdims=True), np.ones(len(m), int))
+    got = np.array([found[k] for k in range(len(m))])
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
+
+
+def test_shape_follows_the_number_of_classes():
+    near, far = vectors.collision(np.sqrt(0.2), 2.0), vectors.collision(np.sqrt(2), 2.0)
+    for n in (0, 1, 1_000, 50_000, 10**9):
+        tables, projections = vectors.shape(n)
+        assert 1 - (1 - near**projections) ** tables >= 0.93 and n * far**projections <= 2 * vectors.OCCUPANCY
+    assert vectors.shape(50_000) == (33, 13)
+
+
+def test_registered_vectors(spark, folder):
+    """The registered query on the given table against all cosines."""
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    got = {r["vec_id"]: r for r in vectors.op3_vectors(spark, folder).collect()}
+    m = np.array([r["embedding"] for r in rows], float)
+    want, root = brute_links(m / np.linalg.norm(m, axis=1, keepdims=True), np.ones(len(m), int))
+    assert len(got) == len(rows) and sum(r["n_links"] for r in got.values()) >= 0.9 * want.sum()
+    assert all(got[r["vec_id"]]["n_links"] <= n for r, n in zip(rows, want))
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
 def test_extra_columns(spark):
