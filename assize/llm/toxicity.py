@@ -4,22 +4,22 @@ A token that may be disguised (digits and signs among letters, drawn-out letters
 spaces or points) becomes a lattice: every character may stand for itself, for the letters it is used
 for, for nothing if it is a separator, and a run of one letter may stand for one or two. The Viterbi
 path through the lattice under a character trigram model and the channel's costs is the restored token.
-A plain token has one path only and stays as it is. The model is counted over the words of all rows.
+A plain token has one path only and stays as it is. The model is counted over the words of all rows; letters
+beyond the most frequent ones count as one class.
 A token that may join several words is also read as these: cut at its signs, and by the path through a
 lattice whose separators may end a word. Signs at a token's edge that are used for letters are read both
 as punctuation and as letters. Restored words of all readings, and their beginnings of some lengths, then
 enter a logistic model fitted to labels.
 
 Defined results: null and empty texts score the model's intercept; repeated rows and ties score alike;
-an empty table gives an empty table; without labels every score is 0. Labels are read by id alone;
-extra columns are ignored. Very long texts are scored whole.
+an empty table gives an empty table; without labels every score is 0. Labels are read by id alone; equal
+texts of different labels count as toxic; extra columns are ignored. Very long texts and tokens are read whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -40,7 +40,8 @@ LEET_COST, KEEP_SIGN_COST, DROP_COST, COLLAPSE_COST = 0.7, 3.0, 0.5, 0.5
 
 #: Labelled rows a model is fitted to at most; those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 20_000
-MAX_FEATURES = 1_500
+#: Twice the gain in log likelihood that a feature must bring by itself: one in a thousand features without meaning does.
+SIGNIFICANT = 10.83
 PREFIXES = (4, 5, 6, 7, 8)
 CACHE = 200_000
 #: Words counted in one task before partial counts are handed on.
@@ -54,13 +55,21 @@ _SIGNS = "".join(c for c in LEET if not c.isalnum())
 _AT_SIGNS, _AT_OTHERS = re.compile(r"[\W_]+"), re.compile(rf"(?:(?![{re.escape(_SIGNS)}])[\W_])+")
 #: What stands for the end of a word within a lattice; no token has it.
 BREAK = "\n"
+#: What stands for every letter that the model does not tell apart; no token has it.
+RARE = "\t"
+#: Letters that the model tells apart.
+ALPHABET = 120
 
 
 class CharModel:
-    """A character trigram model with word boundaries, interpolated with lower orders."""
+    """A character trigram model with word boundaries, interpolated with lower orders.
+
+    Letters that are not among the model's own count as one class, ``RARE``.
+    """
 
     def __init__(self, trigrams: dict[str, int]):
         self.three = trigrams
+        self.letters = {c for gram in trigrams for c in gram}
         self.two: Counter = Counter()
         self.context: Counter = Counter()
         self.one: Counter = Counter()
@@ -77,10 +86,13 @@ class CharModel:
     def cost(self, gram: str) -> float:
         """Negative log probability of a trigram's last character after its first two."""
         if (found := self.memo.get(gram)) is None:
+            if len(self.memo) >= CACHE:
+                self.memo.clear()
+            whole, gram = gram, "".join(RARE if c not in self.letters and c.isalpha() else c for c in gram)
             p1 = (self.one[gram[2]] + 0.1) / (self.total + 100)
             p2 = (self.two[gram[1:]] + 4 * p1) / (self.two_context[gram[1]] + 4)
             p3 = (self.three.get(gram, 0) + 4 * p2) / (self.context[gram[:2]] + 4)
-            found = self.memo[gram] = -math.log(p3)
+            found = self.memo[whole] = -math.log(p3)
         return found
 
 
@@ -104,41 +116,83 @@ def edges(token: str, breaks: bool = False) -> list[list[tuple[int, str, float]]
             out.append((k + 1, "", DROP_COST))
             if breaks:
                 out.append((k + 1, BREAK, DROP_COST))
-        if c.isalnum() or c in LEET:
+        if (c.isalnum() or c in LEET) and (k == 0 or token[k - 1] != c):
             stop = k + 1
             while stop < n and token[stop] == c:
                 stop += 1
-            if stop - k >= 2 and (k == 0 or token[k - 1] != c):
+            if stop - k >= 2:
                 letters = ([(c, 0.0)] if c.isalpha() else []) + [(x, LEET_COST) for x in LEET.get(c, "")]
                 out += [(stop, x * times, cost + COLLAPSE_COST) for x, cost in letters for times in (1, 2) if stop - k > times]
         lattice.append(out)
     return lattice
 
 
+#: Places of a token after which the paths still open are traced back, to let go of what they share.
+TRACED = 512
+
+
 def viterbi(token: str, model: CharModel, breaks: bool = False) -> str:
-    """The likeliest plain form of a token, with ``breaks`` of several words. Ties go to the form that sorts first."""
+    """The likeliest plain form of a token, with ``breaks`` of several words; of equal paths the one whose steps sort first.
+
+    One pass over the whole token, of any length, with back-pointers. From time to time all open paths are
+    followed back to where they meet: what lies before is decided, is put out and forgotten, so memory is
+    bounded by the stretch that is still open.
+    """
     lattice = edges(token, breaks)
-    best: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
-    best[0]["^^"] = (0.0, "")
+    # at every place: of each state the cost, where it comes from (place and state), and the letters of that step
+    best: list[dict[str, tuple[float, int, str, str]] | None] = [{} for _ in range(len(token) + 1)]
+    best[0]["^^"] = (0.0, -1, "", "")
+    done: list[str] = []
+    decided, ahead = 0, set()
     for k, out in enumerate(lattice):
-        for state, (cost, form) in best[k].items():
+        ahead.discard(k)
+        for state, (cost, *_) in best[k].items():
             for stop, letters, price in out:
                 total, last = cost + price, state
                 if letters == BREAK:
                     total += model.cost(state + "$")
                     letters, last = (BREAK, "^^") if state != "^^" else ("", state)
-                    entry = (total, form + letters)
-                    if (old := best[stop].get(last)) is None or entry < old:
-                        best[stop][last] = entry
-                    continue
-                for x in letters:
-                    total += model.cost(last + x)
-                    last = last[1] + x
-                entry = (total, form + letters)
+                else:
+                    for x in letters:
+                        total += model.cost(last + x)
+                        last = last[1] + x
+                entry = (total, k, state, letters)
                 if (old := best[stop].get(last)) is None or entry < old:
                     best[stop][last] = entry
-    ends = [(cost + model.cost(state + "$"), form) for state, (cost, form) in best[-1].items()]
-    return min(ends)[1]
+                    ahead.add(stop)
+        if k % TRACED == TRACED - 1:
+            heads = {(at, state) for at in ahead for state in best[at]}
+            decided = _decide(best, heads, decided, done)
+    _, state = min((cost + model.cost(state + "$"), state) for state, (cost, *_) in best[-1].items())
+    _follow(best, len(token), state, decided, done)
+    return "".join(done)
+
+
+def _follow(best: list, at: int, state: str, decided: int, done: list[str]) -> None:
+    """Put out the letters of the path from ``decided`` to a state at a place."""
+    steps = []
+    while at > decided:
+        _, before, state_before, letters = best[at][state]
+        steps.append(letters)
+        at, state = before, state_before
+    done.extend(reversed(steps))
+
+
+def _decide(best: list, heads: set, decided: int, done: list[str]) -> int:
+    """Follow all open paths back until they meet; put out and forget what lies before. Returns the place where they meet."""
+    while len(heads) > 1:
+        at, state = max(heads)
+        heads.discard((at, state))
+        if at <= decided:
+            return decided
+        heads.add(best[at][state][1:3])
+    if not heads or (head := heads.pop())[0] <= decided:
+        return decided
+    at, state = head
+    _follow(best, at, state, decided, done)
+    best[decided:at] = [None] * (at - decided)
+    best[at] = {state: best[at][state]}
+    return at
 
 
 def core(token: str) -> str:
@@ -192,10 +246,6 @@ def disguised(text: str) -> Iterator[str]:
             alone, signed = [], False
 
 
-#: Letters of a spaced-out token that are decoded as one lattice. Lattices with word breaks are twice as long and overlap by half.
-LATTICE = 64
-
-
 class Restorer:
     """Restores tokens under a model and names their features; remembers a bounded number of them."""
 
@@ -208,7 +258,7 @@ class Restorer:
             return token
         if not any(c.isalpha() for c in token):
             return token
-        return "".join(viterbi(token[k : k + LATTICE], self.model) for k in range(0, len(token), LATTICE))
+        return viterbi(token, self.model)
 
     def words(self, token: str) -> set[str]:
         """The words that a token may join: its parts between signs, and the likeliest path with word breaks.
@@ -228,11 +278,7 @@ class Restorer:
 
     def broken(self, token: str) -> set[str]:
         """The words on the likeliest path with word breaks."""
-        out: set[str] = set()
-        if any(c.isalpha() for c in token):
-            for k in range(0, max(1, len(token) - LATTICE), LATTICE):
-                out.update(viterbi(token[k : k + 2 * LATTICE], self.model, True).split(BREAK))
-        return out - {""}
+        return set(viterbi(token, self.model, True).split(BREAK)) - {""} if any(c.isalpha() for c in token) else set()
 
     def names(self, token: str) -> tuple:
         """The features of a token: of the known ones their numbers, or else all names."""
@@ -276,17 +322,17 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.withColumn("word", plain).where(r"word rlike '^[\\p{L}]{2,}$'").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def char_model(docs: DataFrame, text_col: str = "text", alphabet: int = 120) -> CharModel:
-    """The trigram model of all rows' words, over the ``alphabet`` most frequent letters; others are left out of it.
+def char_model(docs: DataFrame, text_col: str = "text", alphabet: int = ALPHABET) -> CharModel:
+    """The trigram model of all rows' words. The ``alphabet`` most frequent letters are told apart, all others are one class.
 
-    At most (alphabet + 2) cubed trigrams exist; what reaches the driver does not grow beyond that.
+    At most (alphabet + 3) cubed trigrams exist; what reaches the driver does not grow beyond that.
     """
     words = cut(word_counts(docs, text_col))
     letters = words.select(F.explode(F.split("word", "")).alias("c"), "n").where("c <> ''").groupBy("c").agg(F.sum("n").alias("n"))
-    common = [r[0] for r in letters.orderBy(F.desc("n"), "c").limit(alphabet).collect()]
-    known = words.where(F.translate("word", "".join(common), "") == "")
-    padded = F.concat(F.lit("^^"), "word", F.lit("$"))
-    grams = known.select(padded.alias("p"), "n").select(F.explode(F.expr("transform(sequence(1, length(p) - 2), i -> substring(p, i, 3))")).alias("g"), "n")
+    common = "".join(r[0] for r in letters.orderBy(F.desc("n"), "c").limit(alphabet).collect())
+    known = F.regexp_replace("word", f"[^{common}]", RARE) if common else F.col("word")
+    padded = F.concat(F.lit("^^"), known, F.lit("$"))
+    grams = words.select(padded.alias("p"), "n").select(F.explode(F.expr("transform(sequence(1, length(p) - 2), i -> substring(p, i, 3))")).alias("g"), "n")
     return CharModel({r[0]: r[1] for r in grams.groupBy("g").agg(F.sum("n").alias("n")).toLocalIterator()})
 
 
@@ -315,41 +361,38 @@ def fit_logistic(rows: list[list[int]], y: np.ndarray, size: int, ridge: float =
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS, max_features: int = MAX_FEATURES) -> ToxicModel:
-    """A model of ``labels`` (id, label): chosen features are those that tell the labels apart most surely."""
+def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS, significant: float = SIGNIFICANT) -> ToxicModel:
+    """A model of ``labels`` (id, label): features are those that tell the labels apart beyond chance.
+
+    Equal texts are one example, of the largest of their labels. What reaches the driver is bounded by ``max_rows``.
+    """
     marked = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     ids = marked.orderBy(F.xxhash64(F.col("id")), "id").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(ids), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(ids), "id").groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.max("label").cast("int").alias("label"))
     three = docs.sparkSession.sparkContext.broadcast(chars.three)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(CharModel(three.value))
         for batch in batches:
-            rows = batch.to_pydict()
-            yield pa.RecordBatch.from_pydict({
-                "id": pa.array([hash_text(x) for x in rows["text"]], pa.int64()),
-                "label": pa.array(rows["label"], pa.int32()),
-                "names": pa.array([sorted(restorer.features(x)) for x in rows["text"]], pa.list_(pa.string())),
-            })
-
-    found = cut(sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(describe, "id long, label int, names array<string>").dropDuplicates(["id"]))
+            names = [sorted(restorer.features(x.as_py())) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.list_(pa.string()))], names=["key", "label", "names"])
+
+    found = cut(sample.select("key", "label", "text").mapInArrow(describe, "key string, label int, names array<string>"))
     rows, ones = found.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not rows or not ones or ones == rows:
         return ToxicModel(chars, {}, -40.0 if not ones else 40.0)
-    each = found.select("label", F.explode("names").alias("name")).groupBy("name").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("a >= 3")
+    every = found.select("key", "label", F.explode("names").alias("name"))
+    each = every.groupBy("name").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where("a >= 3")
     expected = F.col("n") * F.lit(ones / rows)
     gain = F.col("a") * F.log(F.col("a") / expected) + F.when(F.col("n") > F.col("a"), (F.col("n") - F.col("a")) * F.log((F.col("n") - F.col("a")) / (F.col("n") - expected))).otherwise(0.0)
-    strong = [r[0] for r in each.where(F.col("a") > 2 * expected).orderBy(F.desc(gain), "name").limit(max_features).collect()]
-    known = {name: k for k, name in enumerate(strong)}
-    listed = F.array(*[F.lit(x) for x in strong]) if strong else F.array().cast("array<string>")
-    kept = found.select("label", F.array_intersect("names", listed).alias("names")).collect()
-    weights, intercept = fit_logistic([[known[x] for x in r["names"]] for r in kept], np.array([r["label"] for r in kept], float), len(strong))
-    return ToxicModel(chars, dict(zip(strong, weights.tolist())), intercept)
-
-
-def hash_text(text: str | None) -> int:
-    return zlib.crc32((text or "").encode()) << 31 | zlib.adler32((text or "").encode()) >> 1
+    strong = cut(each.where((F.col("a") > 2 * expected) & (2 * gain >= significant)).select("name"))
+    names = sorted(r["name"] for r in strong.collect())
+    known = {name: k for k, name in enumerate(names)}
+    held = every.join(strong, "name").groupBy("key").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    kept = sorted((r["key"], r["label"], r["names"] or []) for r in found.select("key", "label").join(held, "key", "left").collect())
+    weights, intercept = fit_logistic([[known[x] for x in names_] for _, _, names_ in kept], np.array([label for _, label, _ in kept], float), len(names))
+    return ToxicModel(chars, dict(zip(names, weights.tolist())), intercept)
 
 
 def scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,6 +423,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its score, whether it was held out, and the prediction at one half."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = scores(docs, trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return found.select(F.col("id").alias("doc_id"), (_remainder("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

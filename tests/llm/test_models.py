@@ -1,9 +1,11 @@
 """Toxicity, quality and pieces: held-out accuracy, restored words, exact round trips."""
 
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assize.llm import pieces, quality, toxicity
 
@@ -32,6 +34,64 @@ def test_restored(docs):
     assert list(toxicity.tokens("a i d i o t, x The!! $$$ ok###")) == ["a i d i o t x", "The", "ok"]
 
 
+def exhaustive(token, model, breaks):
+    """The cheapest form of a token by a walk over all paths of its lattice."""
+    lattice, best = toxicity.edges(token, breaks), [np.inf, ""]
+
+    def walk(k, state, cost, form):
+        if cost > best[0]:
+            return
+        if k == len(token):
+            total = cost + model.cost(state + "$")
+            if total < best[0] - 1e-12:
+                best[:] = [total, form]
+            return
+        for stop, letters, price in lattice[k]:
+            total, last = cost + price, state
+            if letters == toxicity.BREAK:
+                walk(stop, "^^", total + model.cost(state + "$"), form + (letters if state != "^^" else ""))
+                continue
+            for x in letters:
+                total, last = total + model.cost(last + x), last[1] + x
+            walk(stop, last, total, form + letters)
+
+    walk(0, "^^", 0.0, "")
+    return best[1]
+
+
+def test_viterbi_against_all_paths(monkeypatch):
+    """The best path is that of an exhaustive search, however often decided stretches are let go; rare letters are one class."""
+    model = toxicity.CharModel(toxicity.trigrams([("idiot", 50), ("the", 500), ("assess", 30), ("you", 200), (f"h{toxicity.RARE}ll", 80)]))
+    rng = random.Random(1)
+    for traced in (512, 3):
+        monkeypatch.setattr(toxicity, "TRACED", traced)
+        for _ in range(150):
+            token = "".join(rng.choice("id1!0ot.- aas$$5he3ëж") for _ in range(rng.randrange(1, 9)))
+            for breaks in (False, True):
+                assert toxicity.viterbi(token, model, breaks) == exhaustive(token, model, breaks), token
+    assert model.cost("hжl") == model.cost("hël") == model.cost(f"h{toxicity.RARE}l")
+
+
+def test_long_tokens_are_one_lattice():
+    """A token far beyond any block is decoded as one: words at every place come out whole."""
+    model = toxicity.CharModel(toxicity.trigrams([("idiot", 500), ("the", 50), ("you", 50)]))
+    for times in (1, 40, 3000):
+        assert toxicity.viterbi(" ".join("id1ot" * times), model) == "idiot" * times
+        assert toxicity.viterbi("-".join(["1d!ot"] * times), model, True).split(toxicity.BREAK) == ["idiot"] * times
+    assert len(toxicity.viterbi("9" * 100_000 + "a", model)) == 2
+
+
+def test_equal_texts_of_unlike_labels(spark):
+    """Equal texts are one example, toxic if one of them is; order and number of rows change nothing."""
+    rows = [(k, f"plain words number {k} here") for k in range(60)] + [(100 + k, "you are an idiot today") for k in range(10)]
+    labels = [(k, 0) for k in range(60)] + [(100 + k, k % 2) for k in range(10)]
+    docs = table(spark, rows + [(200 + k, f"an idiot said {k}") for k in range(5)])
+    marks = spark.createDataFrame(labels + [(200 + k, 1) for k in range(5)], "id long, label int")
+    chars = toxicity.char_model(docs)
+    one, two = (toxicity.fit(d, marks, chars) for d in (docs, docs.repartition(5).orderBy(F.desc("doc_id"))))
+    assert one.weights == two.weights and one.intercept == two.intercept and one.weights.get("=idiot", 0) > 0
+
+
 def test_words_within_tokens(spark):
     """Every word of a token that joins several is a feature, and signs at edges may be letters."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
