@@ -11,7 +11,8 @@ their running bytes in it, and their slot by counts of arcs. No step gathers row
 
 Defined results: null texts have size one and crc32 zero; null keys are placed by their text's hash;
 repeated rows lie on the same arc, in turn; an empty table gives an empty table; a text larger than a
-shard's load makes that shard larger. Extra columns are ignored by ``place`` and kept by ``apply``.
+shard's load makes that shard larger. Extra columns are ignored by ``place`` and kept by ``apply``, where
+every row goes to a shard of its own, also if others have its id.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assize.llm.names import free
 from assize.session import cut
 
 SHARDS = 8
@@ -100,14 +102,25 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
 
 def apply(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """Write ``docs`` to ``folder``, a subfolder a shard; returns the placement by id."""
+    """Write ``docs`` to ``folder``, a subfolder a shard; returns the placement, row by row that of the files.
+
+    Rows of equal id, size and text are told apart by their turn. The subfolders are named ``shard=``, with
+    underscores at the end of the name if the table has such a column.
+    """
     found = cut(place(docs, id_col, text_col, shards))
-    named = found.groupBy("id").agg(F.min("shard").alias("shard")).withColumnRenamed("id", "shard_key")
-    out = docs.join(named, docs[id_col].eqNullSafe(F.col("shard_key"))).drop("shard_key")
-    out.write.partitionBy("shard").parquet(folder)
+    name, key, size, crc, turn = free(docs, "shard", "shard_id", "shard_size", "shard_crc32", "shard_turn")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select("*", F.col(id_col).alias(key), (F.octet_length(text) + 1).cast("long").alias(size), F.crc32(text.cast("binary")).alias(crc))
+    rows = rows.withColumn(turn, F.row_number().over(W.partitionBy(key, size, crc).orderBy(F.xxhash64(*docs.columns))))
+    placed = found.select("id", F.col("size").alias("n_bytes"), F.col("text_crc32").alias("crc"), "shard", F.row_number().over(W.partitionBy("id", "size", "text_crc32").orderBy("shard", "slot")).alias("nth"))
+    left, right = rows.alias("rows"), placed.select(F.col("id"), "n_bytes", "crc", "nth", F.col("shard").alias("place")).alias("placed")
+    on = F.col(f"rows.{key}").eqNullSafe(F.col("placed.id")) & (F.col(f"rows.{size}") == F.col("placed.n_bytes")) & (F.col(f"rows.{crc}") == F.col("placed.crc")) & (F.col(f"rows.{turn}") == F.col("placed.nth"))
+    out = left.join(right, on).select(*[F.col(f"rows.`{c}`") for c in docs.columns], F.col("placed.place").alias(name))
+    out.write.partitionBy(name).parquet(folder)
     return found
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its shard and slot; the law is ``bytes``, so nothing is said of a grown ring."""
     found = place(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
