@@ -1,6 +1,7 @@
 """Personal data, licenses and fingerprints against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -89,9 +90,55 @@ def test_licenses(spark, docs, odd_rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def brute_labels(text, k=licenses.K):
+    """Method labels by hand: verified k-grams by diagonal, neighbours merged, spans of enough words, the largest of overlapping ones."""
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    found = []
+    for label, texts in licenses.TEMPLATES.items():
+        for t in map(licenses.template_words, texts):
+            at = {}
+            for q in range(len(t) - k + 1):
+                at.setdefault(tuple(t[q : q + k]), []).append(q)
+            by = {}
+            for p in range(len(words) - k + 1):
+                for q in at.get(tuple(words[p : p + k]), []):
+                    by.setdefault(p - q, []).append((p, q))
+            runs, before = [], None
+            for d in sorted(by):
+                if before is None or d - before > licenses.NEIGHBOURS:
+                    runs.append([])
+                runs[-1] += by[d]
+                before = d
+            for run in runs:
+                covered = len({q + j for _, q in run for j in range(k)})
+                first, last = min(p for p, _ in run), max(p for p, _ in run) + k - 1
+                if (covered >= licenses.COVERED * len(t) or covered >= licenses.ENOUGH) and covered >= licenses.DENSE * (last - first + 1):
+                    found.append((label, first, last, covered))
+    return {a[0] for a in found if not any(b[0] != a[0] and b[3] > a[3] and b[1] <= a[2] and b[2] >= a[1] for b in found)}
+
+
+def test_method_labels(spark, docs):
+    """Labels of whole licenses, cut and changed ones among other words, and of the given documents, against a walk by hand."""
+    rng = random.Random(7)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for n, (label, texts) in enumerate(licenses.TEMPLATES.items()):
+        for m, text in enumerate(texts):
+            words = text.split()
+            changed = [w if rng.random() > 0.05 else "other" for w in words if rng.random() > 0.03]
+            rows += [(10_000 + 100 * n + 10 * m + j, f"some words before {x} and some after") for j, x in enumerate((text, " ".join(changed), " ".join(words[: len(words) // 2]), " ".join(sorted(words))))]
+    got = {r["id"]: set(filter(None, r["labels"].split(","))) for r in licenses.scan(table(spark, rows)).collect()}
+    for k, text in rows:
+        base = set(filter(None, brute_places(text)[4].split(",")))
+        assert got[k] == base | brute_labels(text), (k, text[:80])
+    whole = {10_000 + 100 * n + 10 * m: label for n, (label, texts) in enumerate(licenses.TEMPLATES.items()) for m in range(len(texts))}
+    assert all(label in got[k] for k, label in whole.items())
+    assert got[10_000 + 100 * list(licenses.TEMPLATES).index("mit") + 10] == {"mit"}
+
+
 def test_license_diagonals(spark):
     """A copy with a few words changed, put in and left out is still found, and a scrambled one is not."""
-    words = licenses.template_words(licenses.TEMPLATES["bsd"][0])
+    words = licenses.template_words(licenses.TEMPLATES["bsd"][-1])
     changed = [*words[:8], "well", *words[8:14], *words[15:]]
     found = {r["id"]: r["labels"] for r in licenses.scan(table(spark, [(1, "x y z " + " ".join(changed) + " q"), (2, " ".join(sorted(words))), (3, " ".join(words[:6]))])).collect()}
     assert found == {1: "bsd", 2: "", 3: ""}
