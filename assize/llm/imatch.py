@@ -12,8 +12,11 @@ the check the terms are joined by shuffle.
 
 Defined results: null texts count as empty; a text without terms in the lexicon has the hash of all its
 terms as its fingerprint and is like a text of the same fingerprint only; repeated rows and equal texts
-have equal fingerprints; rows of one id are put in order by their text's hash; null ids come first; an
-empty table gives an empty table; extra columns are ignored.
+have equal fingerprints; rows of one id are put in order by their text's hash; ids may be of any type that
+has an order, null ids come first; an empty table gives an empty table; extra columns are ignored.
+
+The next document is found on ids alone, by ranges of them; of the texts only the part that a document
+borrows moves to it. Rows of equal id and text are worked out once.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ RATES = (8, 32, 128, 512)
 SUBSETS = 32
 #: Lexicon entries that are broadcast at most, of 16 bytes.
 BROADCAST_LIMIT = 1_000_000
-#: Ids are cut into ranges of about so many rows, at most MAX_RANGES.
-RANGE_ROWS, MAX_RANGES = 2_000, 4_096
+#: Copies of a row that are written at once.
+COPIES = 1_000
 
 
 def terms(text: Column) -> Column:
@@ -49,40 +52,48 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     return counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term_hash")
 
 
-def _range_of(id_col: Column, bounds: list) -> Column:
-    """The number of bounds that are at most the id, by halving."""
-    size = 1 << max(1, len(bounds)).bit_length()
-    listed = F.array(*[F.lit(b) for b in bounds])
-    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())])
-
-    def halve(at: Column, step: Column) -> Column:
-        probe = at + step
-        return F.when((probe <= len(bounds)) & (F.get(listed, probe - 1) <= id_col), probe).otherwise(at)
-
-    return F.aggregate(steps, F.lit(0), halve) if bounds else F.lit(0)
+def _key(id_col: Column, text_hash: Column) -> Column:
+    """One text for an id, null or not, and a text's hash."""
+    return F.concat_ws(":", F.coalesce(F.concat(F.lit("i"), id_col.cast("string")), F.lit("n")), F.hex(text_hash))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, next_text, part, turn, ghost): every row with the text of the next id, after the last the first.
+def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, rows, n_chars, next_key, before_key, before_chars) of every distinct (id, text), in a circle by ascending id.
 
-    Rows are dealt by ranges of the (numeric) id. The first row of each range also goes to the range before, as a ghost.
+    Ids are sorted by ranges. A range's first and last rows, two a partition, go over the driver to its neighbours.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    count = rows.count()
-    parts = max(1, min(MAX_RANGES, -(-count // RANGE_ROWS)))
-    shares = [k / parts for k in range(1, parts)]
-    bounds = rows.agg(F.percentile_approx("id", shares, 20 * parts).alias("b")).first()["b"] if shares else []
-    parted = rows.withColumn("part", _range_of(F.col("id"), sorted(set(bounds or []))))
-    firsts = sorted((r["part"], r["first"]) for r in parted.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull(), "id"))["id"].alias("first")).collect())
-    before = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
-    spark = docs.sparkSession
-    ghosts = spark.createDataFrame(before, f"first {rows.schema['id'].dataType.simpleString()}, part_before int")
-    # at most MAX_RANGES rows
-    both = parted.join(F.broadcast(ghosts), F.col("id").eqNullSafe(F.col("first")), "left")
-    places = F.array_compact(F.array(F.struct(F.col("part"), F.lit(False).alias("ghost")), F.when(F.col("part_before").isNotNull(), F.struct(F.col("part_before").alias("part"), F.lit(True).alias("ghost")))))
-    dealt = both.select("id", "text", F.explode(places).alias("place")).select("id", "text", "place.part", "place.ghost")
-    order = W.partitionBy("part").orderBy("ghost", F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return dealt.withColumn("turn", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.length(text).alias("n_chars"))
+    known = rows.groupBy("id", "text_hash").agg(F.count("*").alias("rows"), F.first("n_chars").alias("n_chars"))
+    known = known.select(F.struct(F.col("id").isNotNull().alias("set"), F.col("id"), "text_hash").alias("at"), _key(F.col("id"), F.col("text_hash")).alias("key"), "rows", "n_chars")
+    ranged = cut(known.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+    me = F.struct("at", "key", "n_chars")
+    ends = sorted((r["part"], r["first"]["key"], r["last"]["key"], r["last"]["n_chars"]) for r in ranged.groupBy("part").agg(F.min(me).alias("first"), F.max(me).alias("last")).collect())
+    around = [(part, ends[(k + 1) % len(ends)][1], *ends[k - 1][2:]) for k, (part, *_) in enumerate(ends)]
+    edges = docs.sparkSession.createDataFrame(around, "part int, first_after string, last_before string, last_chars int")
+    order = W.partitionBy("part").orderBy("at")
+    linked = ranged.withColumns({"next": F.lead("key").over(order), "before": F.lag(F.struct("key", "n_chars")).over(order)}).join(F.broadcast(edges), "part")
+    before = F.coalesce("before", F.struct(F.col("last_before").alias("key"), F.col("last_chars").alias("n_chars")))
+    return linked.select("key", "rows", "n_chars", F.coalesce("next", "first_after").alias("next_key"), before["key"].alias("before_key"), before["n_chars"].alias("before_chars"))
+
+
+def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, id, copies, n_chars, text, edited, next_key, same) of every distinct row.
+
+    ``edited`` has its last half from the start of the next document. Of several equal rows all but the last have
+    themselves as the next; these are a row of their own here, with ``same`` true. ``copies`` is how many rows it stands for.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    links = cut(successors(docs, id_col, text_col))
+    texts = docs.select(_key(F.col(id_col), F.xxhash64(text)).alias("key"), F.col(id_col).alias("id"), text.alias("text")).dropDuplicates(["key"]).join(links, "key")
+    half = lambda n: F.floor(n / 2).cast("int")
+    lent = texts.select(F.col("before_key").alias("to"), F.substring(F.col("text"), F.lit(1), half(F.col("before_chars"))).alias("borrowed"))
+    met = texts.join(lent, F.col("key") == F.col("to"))
+    own = F.substring(F.col("text"), F.lit(1), F.col("n_chars") - half(F.col("n_chars")))
+    version = lambda borrowed, same, copies: F.struct(F.concat(own, borrowed).alias("edited"), F.lit(same).alias("same"), copies.alias("copies"))
+    itself = F.when(F.col("rows") > 1, version(F.substring(F.col("text"), F.lit(1), half(F.col("n_chars"))), True, F.col("rows") - 1))
+    versions = F.array_compact(F.array(version(F.col("borrowed"), False, F.lit(1).cast("long")), itself))
+    return met.select("key", "id", "n_chars", "text", "next_key", F.explode(versions).alias("v")).select("key", "id", "n_chars", "text", "next_key", "v.edited", "v.same", "v.copies")
 
 
 def _hashes(found: Column, rates: tuple[int, ...], subsets: int) -> Column:
@@ -143,20 +154,24 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("id", _digits(F.col("hashes_0"), F.col("whole_0")).alias("fingerprint"))
 
 
-def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = cut(lexicon(docs))
-    rows = with_next(docs)
-    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.select("id", "part", "turn", "ghost", n.cast("long").alias("n_chars"), "text", F.coalesce(edited, F.lit("")).alias("edited"))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    found = fingerprints(rows, ["text", "edited"], words, ["part", "turn"])
-    order = W.partitionBy("part").orderBy("turn")
-    found = found.withColumn("next_hashes", F.lead("hashes_0").over(order)).withColumn("next_whole", F.lead("whole_0").over(order)).where("not ghost")
-    return found.select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+def likened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
+    words = cut(lexicon(docs, text_col, low, high))
+    rows = edited(docs, id_col, text_col).withColumn("edited_sha256", F.sha2("edited", 256))
+    found = cut(fingerprints(rows, ["text", "edited"], words, ["key", "same"]))
+    after = found.where("not same").select(F.col("key").alias("next_key"), F.col("hashes_0").alias("next_hashes"), F.col("whole_0").alias("next_whole"))
+    met = found.join(after, "next_key")
+    near_next = F.when(F.col("same"), 1.0).otherwise(likeness(F.col("hashes_0"), F.col("next_hashes"), F.col("whole_0"), F.col("next_whole")))
+    told = met.select(
+        "id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "copies",
         _digits(F.col("hashes_0"), F.col("whole_0")).alias("fingerprint"), _digits(F.col("hashes_1"), F.col("whole_1")).alias("edited_fingerprint"),
-        likeness(F.col("hashes_0"), F.col("hashes_1"), F.col("whole_0"), F.col("whole_1")).alias("near_edited"),
-        likeness(F.col("hashes_0"), F.col("next_hashes"), F.col("whole_0"), F.col("next_whole")).alias("near_next"),
+        likeness(F.col("hashes_0"), F.col("hashes_1"), F.col("whole_0"), F.col("whole_1")).alias("near_edited"), near_next.alias("near_next"),
     )
+    left = F.col("copies") - (F.col("turn") - 1) * COPIES
+    many = told.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("copies") / COPIES)))).withColumn("each", F.explode(F.array_repeat(F.lit(True), F.least(left, F.lit(COPIES)).cast("int"))))
+    return many.drop("copies", "turn", "each")
+
+
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its fingerprint, that of its edited text, and their likenesses; null texts count as empty."""
+    return likened(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")

@@ -5,6 +5,10 @@ import random
 import re
 from collections import Counter
 
+import regex
+import xxhash
+from pyspark.sql import functions as F
+
 from assize.llm import boosting, imatch, licenses, pii
 
 from .conftest import table
@@ -159,9 +163,69 @@ def test_imatch(spark, folder, odd, odd_rows, empty):
     assert sum(r["near_edited"] for r in got.values()) > 5 * sum(r["near_next"] for r in got.values())
     strange = imatch.fingerprint(odd).collect()
     assert len({r["fingerprint"] for r in strange if r["id"] in (2, 3, 4)}) == 1
-    following = imatch.with_next(odd)
-    assert following.where("not ghost").count() == len(odd_rows) and following.where("not ghost and next_text is null").count() == 0
-    assert imatch.with_next(empty).count() == 0 and imatch.fingerprint(empty).count() == 0
+    assert imatch.likened(odd).count() == len(odd_rows)
+    assert imatch.likened(empty).count() == 0 and imatch.fingerprint(empty).count() == 0
+
+
+def _long(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _hash(*values, start=42):
+    """Spark's xxhash64 of strings, longs and ints, one after another."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True)
+        start = xxhash.xxh64_intdigest(raw, start)
+    return _long(start)
+
+
+def brute_imatch(texts, low=imatch.LOW, high=imatch.HIGH):
+    """(subset hashes, hash of all terms) of a text, by hand over all texts."""
+    def split(t):
+        return {x for x in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if x}
+
+    distinct = set(texts)
+    df = Counter(_hash(x) for t in distinct for x in split(t))
+    lexicon = {t for t, n in df.items() if max(2.0, low * len(distinct)) <= n <= max(2.0, high * len(distinct))}
+
+    def of(text):
+        found = sorted({_hash(x) for x in split(text)} & lexicon)
+        hashes = []
+        for k in range(imatch.SUBSETS):
+            inside = [t for t in found if _hash((t, 8), (k, 4)) % imatch.RATES[k % len(imatch.RATES)] == 0]
+            hashes.append(_hash(*[(t, 8) for t in inside]) if inside else 0)
+        return hashes, _hash(*sorted(split(text), key=lambda x: x.encode()))
+
+    return of
+
+
+def brute_likeness(a, b):
+    used = [x == y for x, y in zip(a[0], b[0]) if x or y]
+    return sum(used) / len(used) if used else float(a[1] == b[1])
+
+
+def brute_digits(a):
+    return "".join(f"{x & 0xFFFFFFFF:08x}" for x in a[0]) if any(a[0]) else f"{a[1] & (2**64 - 1):016x}"
+
+
+def test_fingerprints_and_likeness(spark, docs):
+    """Every column against I-Match by hand: the given documents, string ids, null ids, repeated rows and ids."""
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    of = brute_imatch([t for _, t in rows])
+    got = {r["id"]: r for r in imatch.likened(docs).collect()}
+    for k, (key, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        mine, other = of(text), of(text[: len(text) - len(text) // 2] + after[: len(text) // 2])
+        assert (got[key]["fingerprint"], got[key]["edited_fingerprint"]) == (brute_digits(mine), brute_digits(other))
+        assert abs(got[key]["near_edited"] - brute_likeness(mine, other)) < 1e-9 and abs(got[key]["near_next"] - brute_likeness(mine, of(after))) < 1e-9
+    names = [(None, "first of all"), (None, "first of all"), ("k10", "same words"), ("k10", "same words"), ("k10", "same words"), ("k2", "ünï çödé 🎉 end"), ("k3", "")]
+    df = spark.createDataFrame(names, "doc_id string, text string").repartition(3)
+    seen = Counter((r["id"], r["n_chars"], r["edited_sha256"]) for r in imatch.likened(df).collect())
+    want = Counter()
+    for k, (key, text) in enumerate(names):
+        half, after = len(text) // 2, names[(k + 1) % len(names)][1]
+        want[key, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert seen == want
 
 
 def test_copies_stay_in_the_band(spark):
@@ -175,8 +239,8 @@ def test_copies_stay_in_the_band(spark):
     assert found == once and hot <= found
 
 
-def test_next_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
-    rows = [(k * k, f"text {k}") for k in range(100)]
-    got = {r["id"]: r["next_text"] for r in imatch.with_next(table(spark, rows)).where("not ghost").collect()}
-    assert got == {k * k: f"text {(k + 1) % 100}" for k in range(100)}
+def test_next_over_many_ranges(spark):
+    rows = [(k * k, f"text {k}") for k in range(3000)]
+    got = {r["key"]: r["next_key"] for r in imatch.successors(table(spark, rows).repartition(7)).collect()}
+    keys = {r["id"]: r["key"] for r in table(spark, rows).select("doc_id", imatch._key(F.col("doc_id"), F.xxhash64("text")).alias("key")).withColumnRenamed("doc_id", "id").collect()}
+    assert got == {keys[k * k]: keys[((k + 1) % 3000) ** 2] for k in range(3000)}
