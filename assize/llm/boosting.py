@@ -96,12 +96,21 @@ def fit(counts: list[tuple[tuple, int, int]], names: list[str], trees: int = 20,
     return Boosted(intercept, tuple(grown), rate)
 
 
-def threshold(model: Boosted, counts: list[tuple[tuple, int, int]], names: list[str], precision: float) -> float:
-    """The lowest probability from which on rows are positive in a share of ``precision`` at least; above one if there is none."""
-    scored = sorted(((model.probability(dict(zip(names, values))), n, ones) for values, n, ones in counts), reverse=True)
+def cross_fitted(folds: list[list[tuple[tuple, int, int]]], names: list[str]) -> list[tuple[tuple, float, int, int]]:
+    """(feature values, probability, rows, positive rows) of every fold under the model of all other folds."""
+    out = []
+    for k, held in enumerate(folds):
+        model = fit([c for j, fold in enumerate(folds) if j != k for c in fold], names)
+        out += [(values, model.probability(dict(zip(names, values))), n, ones) for values, n, ones in held]
+    return out
+
+
+def threshold(scored: list[tuple[float, int, int]], precision: float) -> float:
+    """Of (probability, rows, positive rows): the lowest probability from which on rows are positive in a share of ``precision``, one more row that is not counted in; above one if there is none."""
+    scored = sorted(scored, reverse=True)
     best, seen, hit = 1.1, 0, 0
     for k, (p, n, ones) in enumerate(scored):
         seen, hit = seen + n, hit + ones
-        if (k + 1 == len(scored) or scored[k + 1][0] < p) and hit >= precision * seen:
+        if (k + 1 == len(scored) or scored[k + 1][0] < p) and hit >= precision * (seen + 1):
             best = p
     return best
