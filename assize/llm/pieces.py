@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assize.llm.names import free
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.3
 SHIFT = 100.0
@@ -263,19 +265,22 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def with_pieces(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: bytes | None = None, alpha: float = ALPHA) -> DataFrame:
-    """``rows`` with ``piece_ids`` and ``lossless``, whether they decode to the very text; seeds are hashes of the key."""
+    """``rows`` with ``piece_ids`` and ``lossless``, whether they decode to the very text; seeds are hashes of the key.
+
+    If the table has columns of these names, the new ones have underscores at the end of theirs.
+    """
     shipped = rows.sparkSession.sparkContext.broadcast(model or load())
-    rows = rows.drop("piece_ids", "lossless", "piece_seed")
-    seeded = rows.withColumn("piece_seed", F.xxhash64(F.lit("pieces"), F.col(key_col).cast("string")))
+    ids_name, same_name, seed_name = free(rows, "piece_ids", "lossless", "piece_seed")
+    seeded = rows.withColumn(seed_name, F.xxhash64(F.lit("pieces"), F.col(key_col).cast("string")))
     place = seeded.columns.index(text_col)
-    schema = T.StructType([*rows.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(ids_name, T.ArrayType(T.IntegerType())), T.StructField(same_name, T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shipped.value, alpha)
         sampler = Sampler(vocabulary)
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            seeds = np.asarray(batch.column("piece_seed")).view(np.uint64)
+            seeds = np.asarray(batch.column(seed_name)).view(np.uint64)
             for start, stop in _parts(texts):
                 some = texts[start:stop]
                 ids, sizes = sampler.sample([x or "" for x in some], seeds[start:stop])
@@ -286,7 +291,7 @@ def with_pieces(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text"
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 pieces = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)), mask=pa.array(missing))
                 part = batch.slice(start, stop - start)
-                columns = [part.column(k) for k, name in enumerate(part.schema.names) if name != "piece_seed"]
+                columns = [part.column(k) for k, name in enumerate(part.schema.names) if name != seed_name]
                 yield pa.RecordBatch.from_arrays([*columns, pieces, pa.array(same, pa.bool_())], names=schema.names)
 
     return seeded.mapInArrow(run, schema)
@@ -314,5 +319,6 @@ def decode(rows: DataFrame, ids_col: str = "piece_ids", text_col: str = "text",
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its sampled pieces, their number, and whether they decode to the text; null texts have null pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return with_pieces(docs).select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", "lossless")

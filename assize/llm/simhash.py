@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assize.llm.names import free
 from assize.operators.components import connected_components
 from assize.operators.skew import meet
 from assize.session import cut
@@ -134,11 +135,12 @@ def _text_hash(text_col: str) -> F.Column:
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of every class in ``found`` (row, root), where ``row`` is that of ``named``: the smallest id, null last."""
     first = F.min(F.struct(F.col("row.id").isNull().alias("null"), F.col("row.id").alias("id"), F.col("row.text_hash").alias("text_hash")))
-    kept = cut(found.groupBy("root").agg(first.alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")))
-    numbered = docs.withColumn("_text_hash", _text_hash(text_col))
-    rows = numbered.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("_text_hash") == F.col("kept_hash")), "left_semi")
+    kept = cut(found.groupBy("root").agg(first.alias("first")).select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("hash")))
+    (digest,) = free(docs, "text_hash")
+    numbered = docs.withColumn(digest, _text_hash(text_col)).alias("docs")
+    rows = numbered.join(kept.alias("kept"), F.col(f"docs.{id_col}").eqNullSafe(F.col("kept.id")) & (F.col(f"docs.{digest}") == F.col("kept.hash")), "left_semi")
     repeated = found.groupBy("row").count().where("count > 1").limit(1).count()
-    return (rows.dropDuplicates([id_col, "_text_hash"]) if repeated else rows).drop("_text_hash")
+    return (rows.dropDuplicates([id_col, digest]) if repeated else rows).select(*docs.columns)
 
 
 def named(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

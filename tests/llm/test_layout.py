@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assize.llm import mixing, queries, sharding
@@ -138,8 +139,6 @@ def brute_ring(rows, shards, slack=sharding.SLACK, arcs=sharding.ARCS, nodes=sha
 
 def test_ring_against_a_walk(spark):
     """Shards and slots of every row are those of a walk round the ring, shard by shard and row by row."""
-    from pyspark.sql import functions as F
-
     rows = [(k, "x" * (k * 37 % 500)) for k in range(2500)]
     docs = table(spark, rows)
     spots = docs.select(F.col("doc_id").alias("id"), (F.length("text") + 1).alias("size"), F.xxhash64(F.lit("ring"), F.col("doc_id").cast("string")).alias("spot"))
@@ -171,3 +170,13 @@ def test_pipeline_on_odd_rows(spark, odd, empty, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, folder).count() > 0
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, odd, folder):
+    """A column named as an operator's own comes through every stage as it was."""
+    names = ["piece_ids", "lossless", "piece_seed", "mix_size", "mix_times", "mix_copy", "mix_turn", "pii_id", "pii_hash", "pii_spans", "_text_hash", "kept_id", "first"]
+    docs = odd.select("*", *[F.lit(n).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder).cache()
+        assert set(docs.columns) - {"text"} <= set(out.columns), name
+        assert out.count() and all(r[n] == n for r in out.select(*names).collect() for n in names), name
