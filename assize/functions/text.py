@@ -143,8 +143,14 @@ def subjects(c: Column) -> Column:
 
 
 def party_names(c: Column) -> Column:
-    """The sides of ``A x B`` or ``A vs. B``."""
-    return split_distinct(c, r"(?i)\s+(?:x|vs\.?)\s+")
+    """The sides of ``A x B`` or ``A vs. B``; of spellings that differ in case only, the first."""
+    return first_of_each(split_distinct(c, r"(?i)\s+(?:x|vs\.?)\s+"))
+
+
+def first_of_each(names: Column) -> Column:
+    """The names of an array without those that an earlier one equals but for case."""
+    upper = F.transform(names, lambda x: F.upper(x))
+    return F.filter(names, lambda x, k: F.array_position(upper, F.upper(x)) == k + 1)
 
 
 def name_list(c: Column) -> Column:

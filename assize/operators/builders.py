@@ -64,9 +64,13 @@ def assert_unique(df: DataFrame, key: str) -> DataFrame:
 
 
 def evidence(alerts: DataFrame, events: DataFrame, groups: DataFrame, event: str, group: list[str]) -> DataFrame:
-    """Each alert with its event and its group's figures as one JSON text."""
-    joined = alerts.join(events, event).join(groups, group, "left")
-    return joined.select(event, F.to_json(F.struct(*sorted(joined.columns))).alias("bundle"))
+    """Each alert with its event and its group's figures."""
+    return alerts.join(events, event).join(groups, group, "left")
+
+
+def as_json(df: DataFrame, key: str) -> DataFrame:
+    """(key, bundle): every row as one JSON text of its columns in order of name."""
+    return df.select(key, F.to_json(F.struct(*sorted(df.columns))).alias("bundle"))
 
 
 def every_nth(df: DataFrame, order: list[str], step: int, by: str) -> DataFrame:
@@ -74,48 +78,53 @@ def every_nth(df: DataFrame, order: list[str], step: int, by: str) -> DataFrame:
     return df.withColumn("_turn", F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1).where(F.col("_turn") % step == 0).drop("_turn")
 
 
-def _isolation(values: np.ndarray, trees: int, size: int, seed: int) -> np.ndarray:
-    """Mean depth at which random cuts set each row apart, as a score between 0 and 1: higher is rarer."""
+def _isolation(values: np.ndarray, fitted: np.ndarray, trees: int, size: int, seed: int) -> np.ndarray:
+    """How soon random cuts, drawn on ``fitted``, set each row of ``values`` apart, as a score between 0 and 1: higher is rarer."""
     rng = np.random.default_rng(seed)
-    n = len(values)
-    size = min(size, n)
-    depth = np.zeros(n)
+    size = min(size, len(fitted))
+    depth = np.zeros(len(values))
     expected = lambda m: 2 * (np.log(max(m - 1, 1)) + 0.5772156649) - 2 * (m - 1) / m if m > 2 else float(m == 2)
 
     def walk(sample: np.ndarray, rows: np.ndarray, level: int) -> None:
-        spread = [k for k in range(values.shape[1]) if len(sample) > 1 and values[sample, k].min() < values[sample, k].max()]
+        spread = [k for k in range(fitted.shape[1]) if len(sample) > 1 and fitted[sample, k].min() < fitted[sample, k].max()]
         if not spread or level >= np.ceil(np.log2(max(size, 2))):
             depth[rows] += level + expected(len(sample))
             return
         k = int(rng.choice(spread))
-        cut = rng.uniform(values[sample, k].min(), values[sample, k].max())
+        cut = rng.uniform(fitted[sample, k].min(), fitted[sample, k].max())
         for low in (True, False):
-            pick = lambda ids: ids[(values[ids, k] < cut) == low]  # noqa: B023, E731
-            if len(pick(rows)):
-                walk(pick(sample), pick(rows), level + 1)
+            # every branch is grown, whether rows come to it or not: the forest is the same for all parts
+            walk(sample[(fitted[sample, k] < cut) == low], rows[(values[rows, k] < cut) == low], level + 1)
 
     for _ in range(trees):
-        walk(rng.choice(n, size, replace=False), np.arange(n), 0)
+        walk(rng.choice(len(fitted), size, replace=False), np.arange(len(values)), 0)
     return 2.0 ** (-depth / trees / max(expected(size), 1e-9))
 
 
-def isolation_rarity(df: DataFrame, key: str, group: list[str], fields: list[str], least: int = 30, trees: int = 100, size: int = 256, seed: int = 42, rows_a_task: int = 50_000) -> DataFrame:
-    """An isolation forest per group over the fields' relative frequencies: (key, group, rarity), rarity scaled to 0..1 in its part.
+def isolation_rarity(df: DataFrame, key: str, group: list[str], fields: list[str], least: int = 30, trees: int = 100, size: int = 256, seed: int = 42, fit_rows: int = 4_096, rows_a_task: int = 50_000) -> DataFrame:
+    """An isolation forest per group over the fields' relative frequencies: (key, group, rarity), rarity scaled to 0..1 in its group.
 
-    Groups below ``least`` rows are left out. A group of more than ``rows_a_task`` rows is dealt at random into
-    equal parts, each with a forest of its own, so none is held whole by one task.
+    Groups below ``least`` rows are left out. A group's forest is fitted on the ``fit_rows`` rows with the
+    smallest hash of their key, at most, and scores all its rows; a large group is dealt over tasks that each
+    grow the same forest.
     """
     w = W.partitionBy(*group)
     rows = df.withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= least)
     shares = [(F.count("*").over(W.partitionBy(*group, f)) / F.col("_n")).alias(f"_s{k}") for k, f in enumerate(fields)]
-    part = F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / rows_a_task).cast("long")).alias("_part")
-    encoded = rows.select(key, *group, "_n", *shares, part)
-    schema = df.select(key, *group).schema.simpleString()[7:-1] + ",rarity:double"
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        raw = _isolation(pdf[[f"_s{k}" for k in range(len(fields))]].to_numpy(float), trees, size, seed)
-        spread = raw.max() - raw.min()
-        return pdf[[key, *group]].assign(rarity=np.round((raw - raw.min()) / spread if spread > 0 else np.zeros(len(raw)), 6))
-
-    return encoded.groupBy(*group, "_part").applyInPandas(score, ", ".join(x.replace(":", " ") for x in schema.split(",")))
+    names = [f"_s{k}" for k in range(len(fields))]
+    parts = F.ceil(F.col("_n") / rows_a_task).cast("int")
+    encoded = rows.select(key, *group, parts.alias("_parts"), *shares)
+    dealt = encoded.withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
+    turn = F.row_number().over(w.orderBy(F.xxhash64(key), key))
+    fitted = encoded.withColumn("_turn", turn).where(F.col("_turn") <= fit_rows)
+    fitted = fitted.select(*[F.col(c).alias(f"{c}_") for c in group], "_turn", *[F.col(n).alias(f"{n}_") for n in names], F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part_"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(key, *group).schema) + ", raw double"
+
+    def score(pdf: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("_turn")
+        return pdf[[key, *group]].assign(raw=_isolation(pdf[names].to_numpy(float), sample[[f"{n}_" for n in names]].to_numpy(float), trees, size, seed))
+
+    scored = dealt.groupBy(*group, "_part").cogroup(fitted.groupBy(*[f"{c}_" for c in group], "_part_")).applyInPandas(score, schema)
+    ends = {"_lo": F.min("raw").over(w), "_hi": F.max("raw").over(w)}
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("raw") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    return scored.withColumns(ends).select(key, *group, F.round(scaled, 6).alias("rarity"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,14 +12,18 @@ ALL = "*"
 
 
 def flow_cube(df: DataFrame, dims: list[str], period: str, kind: str, day: str) -> DataFrame:
-    """Rows and days for every subset of ``dims``, each period or all, each kind or all, in one pass of grouping sets.
+    """Rows and days for every subset of ``dims``, each period or all, each kind or all.
 
-    A dimension that is not filtered reads ``*``. Null kinds take part where the kind is not filtered.
+    A dimension that is not filtered reads ``*``. Null kinds take part where the kind is not filtered. Rows are
+    summed by day first; the grouping sets keep the day, so its count needs no distinct over raw rows.
     """
     named = df.select(*[F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in dims], F.col(period).cast("string").alias(period), F.col(kind).cast("string").alias(kind), F.col(day).alias("day"))
     keys = [*dims, period, kind]
+    summed = named.groupBy(*keys, "day").agg(F.count("*").alias("n"))
+    sets = [[*some, "day"] for size in range(len(keys) + 1) for some in combinations(keys, size)]
     flags = [F.grouping(k).alias(f"_{k}") for k in keys]
-    cube = named.cube(*keys).agg(*flags, F.count("*").alias("events"), F.count_distinct("day").alias("active_days"))
+    daily = summed.groupingSets([[F.col(c) for c in s] for s in sets], *keys, "day").agg(*flags, F.sum("n").alias("n"))
+    cube = daily.groupBy(*keys, *[f"_{k}" for k in keys]).agg(F.sum("n").alias("events"), F.count("day").alias("active_days"))
     return cube.where(f"_{kind} = 1 or {kind} is not null").select(*[F.when(F.col(f"_{k}") == 1, ALL).otherwise(F.col(k)).alias(k) for k in keys], "events", "active_days")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assize.session import cut
@@ -73,6 +74,19 @@ def entity_scores(edges: DataFrame, most_signals: int = 10) -> DataFrame:
     return out.withColumn("score", F.bround(F.greatest(mean, F.lit(0.0)) * F.least("signals", F.lit(most_signals)), 6))
 
 
+def evidence_bundles(edges: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
+    """Per destination of ``least`` signals or more: their number and kinds, the first ``most`` sources, a tier, and whether it needs review.
+
+    Sources are ranked before they are gathered, so a list holds ``most`` at the longest.
+    """
+    sums = edges.groupBy("dst", "src", "strength").agg(F.count("*").alias("n"), F.bool_or("truncated").alias("cut"))
+    rows = sums.groupBy("dst").agg(F.sum("n").alias("signals"), F.count_distinct("strength").alias("kinds"), F.bool_or(F.col("cut") | (F.col("strength") == "fuzzy")).alias("needs_review")).where(F.col("signals") >= least)
+    turn = F.row_number().over(W.partitionBy("dst").orderBy("src"))
+    sources = sums.select("dst", "src").distinct().withColumn("turn", turn).where(F.col("turn") <= most).groupBy("dst").agg(F.array_join(F.transform(F.array_sort(F.collect_list("src")), lambda x: x.cast("string")), ",").alias("sources"))
+    tier = F.when(F.col("signals") >= 20, "high").when(F.col("signals") >= 5, "medium").otherwise("low")
+    return rows.join(sources, "dst").select("dst", "signals", "kinds", "sources", tier.alias("tier"), "needs_review")
+
+
 def neighbours(edges: DataFrame, node, limit: int = 500) -> DataFrame:
     """The nodes one step away in either direction, in order of id; at most ``limit``, as the feature asks."""
     near = edges.where((F.col("src") == node) | (F.col("dst") == node)).select(F.when(F.col("src") == node, F.col("dst")).otherwise(F.col("src")).alias("node"))

@@ -19,19 +19,20 @@ def first_wins(df: DataFrame, by: list[str], order: list[Column | str]) -> DataF
 
 
 def within_days(left: DataFrame, right: DataFrame, by: list[str], left_date: str, right_date: str, days: int = 60) -> DataFrame:
-    """Each left row with the right rows of its key in the ``days`` after it; unmatched left rows stay.
+    """Each left row with the right rows of its key in the ``days`` after it; unmatched left rows stay, once.
 
-    Both sides are bucketed by spans of ``days``: a match lies in the left row's span or the next, so a hot
-    key is split by time and never meets itself as a whole.
+    Dates are cut into spans of ``days``: a match lies in the left row's span or the next, so every right row
+    takes part in two spans, a hot key is split by time, and one outer join does it all.
     """
     span = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / days)
-    spans = left.select("*", F.explode(F.sequence(span(left_date), span(left_date) + 1)).alias("_span"))
-    other = right.withColumn("_span", span(right_date))
+    spans = left.withColumn("_span", span(left_date))
+    values = [c for c in right.columns if c not in by]
+    other = right.select(*[F.col(c).alias(f"_{c}") for c in by], *values, F.explode(F.array(span(right_date), span(right_date) - 1)).alias("_at"))
     gap = F.datediff(F.col(right_date), F.col(left_date))
-    met = spans.join(other, [*by, "_span"]).withColumn("gap_days", gap).where((F.col("gap_days") > 0) & (F.col("gap_days") <= days)).drop("_span")
-    keys = left.columns
-    missing = left.join(met.select(*keys).distinct(), keys, "left_anti")
-    return met.unionByName(missing, allowMissingColumns=True)
+    same = (F.col("_span") == F.col("_at")) & (gap > 0) & (gap <= days)
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return spans.join(other, same, "left").withColumn("gap_days", gap).select(*left.columns, *values, "gap_days")
 
 
 def gap_bucket(days: Column) -> Column:
@@ -39,12 +40,12 @@ def gap_bucket(days: Column) -> Column:
     return F.when(days.isNull(), "none").when(days <= 7, "d07").when(days <= 14, "d14").when(days <= 30, "d30").when(days <= 60, "d60").otherwise("none")
 
 
-def not_followed(df: DataFrame, by: list[str], date: str, this: Column, that: Column, days: int = 90) -> DataFrame:
+def not_followed(df: DataFrame, by: list[str], date: str, this: Column, that: Column, days: int = 90, ties: list[str] | None = None) -> DataFrame:
     """Rows of one kind that no row of another kind of the same key follows within ``days``.
 
-    The next such row is found by one window over the key, so nothing is joined.
+    Rows of equal time are put in order by ``ties``. The next such row is found by one window over the key, so nothing is joined.
     """
-    ahead = W.partitionBy(*by).orderBy(F.col(date).desc()).rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy(*by).orderBy(*[F.col(c).desc() for c in (date, *(ties or []))]).rowsBetween(W.unboundedPreceding, -1)
     following = F.last(F.when(that, F.col(date)), ignorenulls=True).over(ahead)
     rows = df.withColumn("next_other", following)
     return rows.where(this & (F.col("next_other").isNull() | (F.datediff("next_other", date) > days)))

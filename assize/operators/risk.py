@@ -2,38 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assize.functions.rules import group_status
 
 
-def rarity(df: DataFrame, key: str, group: list[str], member: str, dims: list[str], noise: float = 0.40, least: int = 5, most: int = 5000, loo_rows: int = 10, conclusive: int = 10) -> DataFrame:
+def rarity(
+    df: DataFrame, key: str, group: list[str], member: str, dims: list[str], stratum: str | None = None, by_stratum: str | None = None, suppressed: dict[str, Column] | None = None,
+    noise: float = 0.40, least: int = 5, most: int = 5000, loo_rows: int = 10, conclusive: int = 10, least_stratum: int = 5,
+) -> DataFrame:
     """Mean rarity of every row's values within its group.
 
     A value's rarity is one less its share of the group; where the group has two members and ``loo_rows`` rows,
-    the row's own member's rows are left out of it. Shares of ``noise`` or more are left out of the mean unless
-    all are. Shares come from counts by window, so no distribution is collected. A few rows behind a score, or
-    a single dimension, make it inconclusive.
+    the row's own member's rows are left out of it, and with them its distributions. The dimension ``by_stratum``
+    is held against the rows of the same ``stratum`` if these are ``least_stratum``, else against the group; the
+    pair of both counts as a dimension of its own. Dimensions that a rule of procedure explains (``suppressed``:
+    a condition each) are left out, as are shares of ``noise`` or more unless all are. A few rows behind a score,
+    or a single dimension, make it inconclusive.
+
+    Rows are counted by their combination of values; all shares come from these counts, and one join hands the
+    scores back.
     """
-    g, gm = W.partitionBy(*group), W.partitionBy(*group, member)
-    members = F.size(F.collect_set(member).over(g))
-    rows = df.withColumns({"group_n": F.count("*").over(g), "own_n": F.count("*").over(gm), "members": members})
-    rows = rows.where(group_status(F.col("group_n"), least, most) == "valid")
+    values = list(dict.fromkeys([*dims, *([stratum] if stratum else []), *([by_stratum] if by_stratum else [])]))
+    rules = {d: F.coalesce(c, F.lit(False)).alias(f"no_{d}") for d, c in (suppressed or {}).items()}
+    rows = df.select(key, *group, member, *values, *rules.values())
+    kinds = [*group, member, *values, *[f"no_{d}" for d in rules]]
+    cells = rows.groupBy(*kinds).agg(F.count("*").alias("n"))
+    total = lambda *by: F.sum("n").over(W.partitionBy(*by))
+    first = (F.row_number().over(W.partitionBy(*group, member).orderBy("n")) == 1).cast("int")
+    cells = cells.withColumns({"group_n": total(*group), "own_n": total(*group, member), "_first": first}).withColumn("members", F.sum("_first").over(W.partitionBy(*group)))
+    cells = cells.where(group_status(F.col("group_n"), least, most) == "valid")
     without = (F.col("members") >= 2) & (F.col("group_n") >= loo_rows)
-    base = F.when(without, F.col("group_n") - F.col("own_n")).otherwise(F.col("group_n"))
-    rows = rows.withColumn("base_n", base)
-    for d in dims:
-        rows = rows.withColumns({f"all_{d}": F.count("*").over(W.partitionBy(*group, d)), f"own_{d}": F.count("*").over(W.partitionBy(*group, member, d))})
-    share = lambda d: F.when(F.col(d).isNotNull(), F.when(without, F.col(f"all_{d}") - F.col(f"own_{d}")).otherwise(F.col(f"all_{d}")) / F.col("base_n"))
-    shares = F.array_compact(F.array(*[share(d) for d in dims]))
-    rows = rows.withColumn("shares", shares)
+    rest = lambda every, own: F.when(without, F.col(every) - F.col(own)).otherwise(F.col(every))
+    cells = cells.withColumn("base_n", rest("group_n", "own_n"))
+    sets = {d: [d] for d in dims} | ({"_stratum": [stratum], "_pair": [stratum, by_stratum]} if stratum else {})
+    for name, by in sets.items():
+        cells = cells.withColumns({f"all_{name}": total(*group, *by), f"own_{name}": total(*group, member, *by)})
+    shown = [F.when(F.col(d).isNotNull() & ~F.col(f"no_{d}") if d in rules else F.col(d).isNotNull(), rest(f"all_{d}", f"own_{d}") / F.col("base_n")) for d in dims if d != by_stratum]
+    if stratum:
+        enough = rest("all__stratum", "own__stratum") >= least_stratum
+        share = F.when(enough, rest("all__pair", "own__pair") / rest("all__stratum", "own__stratum")).otherwise(rest(f"all_{by_stratum}", f"own_{by_stratum}") / F.col("base_n"))
+        known = F.col(by_stratum).isNotNull() & (~F.col(f"no_{by_stratum}") if by_stratum in rules else F.lit(True))
+        shown += [F.when(known, share), F.when(known & F.col(stratum).isNotNull(), share)]
+    cells = cells.withColumn("shares", F.array_compact(F.array(*shown)))
     sharp = F.filter("shares", lambda p: p < noise)
     used = F.when(F.size(sharp) > 0, sharp).otherwise(F.col("shares"))
     score = 1 - F.aggregate(used, F.lit(0.0), lambda s, p: s + p) / F.size(used)
     kind = F.when((F.col("base_n") < conclusive) | (F.size(used) < 2), "inconclusive").otherwise("atypical")
-    return rows.where(F.size("shares") > 0).select(key, *group, member, "group_n", "base_n", F.size(used).alias("dims_used"), F.bround(score, 6).alias("score"), kind.alias("kind"))
+    scored = cells.where(F.size("shares") > 0).select(*[F.col(c).alias(f"c_{c}") for c in kinds], "group_n", "base_n", F.size(used).alias("dims_used"), F.bround(score, 6).alias("score"), kind.alias("kind"))
+    same = F.lit(True)
+    for c in kinds:
+        same = same & F.col(c).eqNullSafe(F.col(f"c_{c}"))
+    return rows.join(scored, same).select(key, *group, member, "group_n", "base_n", "dims_used", "score", "kind")
 
 
 def alerts(scores: DataFrame, bar: float = 0.75) -> DataFrame:

@@ -108,13 +108,20 @@ def changes(df: DataFrame, by: list[str], order: list[str], member: str) -> Data
     return rows.where(F.col(member).isNotNull() & F.col("previous").isNotNull() & (F.col(member) != F.col("previous")))
 
 
-def after_change(df: DataFrame, by: list[str], order: list[str], member: str, value: str) -> DataFrame:
-    """For each change of member: rows and rate of the new member from there to the key's end."""
-    w = W.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("seq", F.row_number().over(w))
-    turned = changes(rows, by, order, member).select(*by, F.col("seq").alias("from_seq"), F.col(member).alias("new_member"), "previous")
-    after = turned.join(rows, by).where((F.col("seq") >= F.col("from_seq")) & (F.col(member) == F.col("new_member")))
-    return after.groupBy(*by, "from_seq", "new_member", "previous").agg(F.count(value).alias("n"), F.bround(F.avg(value), 6).alias("rate"))
+def after_change(df: DataFrame, by: list[str], order: list[str], member: str, value: str, least: int = 3, flag_delta: float = 0.15) -> DataFrame:
+    """For each change of member: rows and rate of the new member from there to the key's end, against all it decides anywhere.
+
+    Counts run from the back of each (key, member), so nothing is joined with its own history.
+    """
+    rows = df.withColumn("seq", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    back = W.partitionBy(*by, member).orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
+    summed = rows.withColumns({"_n": F.count(value).over(back), "_s": F.sum(value).over(back)})
+    turned = changes(summed, by, order, member)
+    base = df.where(F.col(value).isNotNull()).groupBy(F.col(member).alias("new_member")).agg(F.avg(value).alias("_base"))
+    out = turned.select(*by, F.col("seq").alias("from_seq"), F.col(member).alias("new_member"), "previous", F.col("_n").alias("n"), (F.col("_s") / F.when(F.col("_n") > 0, F.col("_n"))).alias("_rate")).join(base, "new_member", "left")
+    delta = F.bround(F.col("_rate") - F.col("_base"), 6)
+    flag = F.coalesce((delta > flag_delta) & (F.col("n") >= least), F.lit(False))
+    return out.select(*by, "from_seq", "new_member", "previous", "n", F.bround("_rate", 6).alias("rate"), delta.alias("delta"), flag.alias("red_flag"))
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, points: list[float], least: int = 10) -> DataFrame:
@@ -134,22 +141,17 @@ def percentile_flags(df: DataFrame, by: list[str], value: str, low: float = 0.05
 
 
 def greedy_durations(df: DataFrame, by: list[str], order: list[str], date: str, opens, closes) -> DataFrame:
-    """Days between each opening row and the next closing row that no earlier opening has taken, per key.
+    """Days between each opening row and the next closing row that no earlier opening has taken, per key, first in first out.
 
-    Openings and closings are each numbered; a fold over the key's rows in order holds the openings that wait,
-    first in first out.
+    Running counts tell all: a closing is in vain if it brings the closings further above the openings than ever
+    before; of those that are not, the r-th takes the r-th opening.
     """
-    rows = df.where(opens | closes).select(*by, F.col(date).cast("date").alias("day"), opens.alias("is_open"), F.struct(*order).alias("at"))
-    series = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "day", "is_open"))).alias("series"))
-    nothing = F.struct(F.array().cast("array<date>").alias("waiting"), F.array().cast("array<struct<opened:date,closed:date>>").alias("done"))
-
-    def step(state, x):
-        waiting, done = state["waiting"], state["done"]
-        met = ~x["is_open"] & (F.size(waiting) > 0)
-        queue = F.when(x["is_open"], F.concat(waiting, F.array(x["day"]))).when(met, F.slice(waiting, 2, F.greatest(F.size(waiting) - 1, F.lit(1)))).otherwise(waiting)
-        queue = F.when(met & (F.size(waiting) == 1), F.array().cast("array<date>")).otherwise(queue)
-        more = F.when(met, F.concat(done, F.array(F.struct(F.get(waiting, F.lit(0)).alias("opened"), x["day"].alias("closed"))))).otherwise(done)
-        return F.struct(queue.alias("waiting"), more.alias("done"))
-
-    folded = series.select(*by, F.posexplode(F.aggregate("series", nothing, step)["done"]).alias("number", "d"))
-    return folded.select(*by, "number", "d.opened", "d.closed", F.datediff("d.closed", "d.opened").alias("days"))
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = df.where(opens | closes).select(*by, *[c for c in order if c not in by], F.col(date).cast("date").alias("day"), opens.alias("is_open"))
+    counted = rows.withColumns({"opened_n": F.sum(F.col("is_open").cast("int")).over(w), "closed_n": F.sum((~F.col("is_open")).cast("int")).over(w)})
+    vain = counted.withColumn("vain", F.greatest(F.max(F.col("closed_n") - F.col("opened_n")).over(w), F.lit(0)))
+    before = F.coalesce(F.lag("vain").over(W.partitionBy(*by).orderBy(*order)), F.lit(0))
+    told = vain.withColumn("met", ~F.col("is_open") & (F.col("vain") == before))
+    openings = told.where("is_open").select(*by, F.col("opened_n").alias("r"), F.col("day").alias("opened"))
+    closings = told.where("met").select(*by, (F.col("closed_n") - F.col("vain")).alias("r"), F.col("day").alias("closed"))
+    return openings.join(closings, [*by, "r"]).select(*by, (F.col("r") - 1).cast("int").alias("number"), "opened", "closed", F.datediff("closed", "opened").alias("days"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assize.functions import rules, text
-from assize.operators import builders, rates
+from assize.functions import rules, stats, text
+from assize.operators import builders, joins, rates
 from assize.plans.bindings import DECISIONS, Registry, decisions
-from assize.plans.rates import rarity_alerts
+from assize.plans.rates import _RARITY, rarity_alerts
 from assize.session import read_table
 
 R = Registry()
@@ -53,12 +53,14 @@ def conflicting_keys(spark, folder):
     return builders.conflicting_keys(read_table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
 
 
-@R.add()
+@R.add(f"""WITH al AS (SELECT * FROM ({_RARITY}) WHERE score >= 0.75), {DECISIONS}, g AS (SELECT theme, y, count(*) FILTER (outcome = 'favorable') AS favorable, count(*) FILTER (outcome = 'unfavorable') AS unfavorable FROM dec GROUP BY ALL)
+SELECT al.event_id, score, kind, theme, y, outcome, d, favorable, unfavorable, round_even((favorable + 1.0) / (favorable + unfavorable + 2.0), 6)::DOUBLE AS smoothed_rate, CASE WHEN favorable + unfavorable > 0 THEN round_even(favorable / (favorable + unfavorable), 6) END::DOUBLE AS raw_rate
+FROM al JOIN (SELECT event_id, outcome, d FROM dec) e ON e.event_id = al.event_id LEFT JOIN g USING (theme, y)""")
 def evidence_bundle(spark, folder):
-    """Alerts, events and group rates as JSON; the text of a JSON object is Spark's own."""
+    """Alerts with their events and group rates."""
     rows = decisions(spark, folder)
-    groups = rates.smoothed(rows, ["cls", "theme", "y"], "outcome").drop("n", "status")
-    return builders.evidence(rarity_alerts(spark, folder).select("event_id", "score", "kind", "cls", "theme", "y"), rows.select("event_id", "outcome", "d"), groups, "event_id", ["cls", "theme", "y"])
+    groups = rates.smoothed(rows, ["theme", "y"], "outcome").drop("n", "status")
+    return builders.evidence(rarity_alerts(spark, folder).select("event_id", "score", "kind", "theme", "y"), rows.select("event_id", "outcome", "d"), groups, "event_id", ["theme", "y"])
 
 
 @R.add("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS t FROM documents) WHERE t % 10 = 0")
@@ -68,7 +70,7 @@ def systematic_sample(spark, folder):
 
 @R.add()
 def isolation_rarity(spark, folder):
-    return builders.isolation_rarity(decisions(spark, folder), "event_id", ["cls", "y"], ["outcome", "member", "theme"], trees=25)
+    return builders.isolation_rarity(decisions(spark, folder), "event_id", ["cls", "y"], ["outcome", "member", "theme"])
 
 
 MOVES = "['Redistribuído por prevenção', 'Pedido de vista do Ministro', 'Devolvidos autos com vista', 'Incluído em pauta virtual', 'Retirado de pauta', 'Trânsito em julgado', 'Embargos opostos', 'Publicado acórdão', 'Plenário: julgamento', 'Sessão da Primeira Turma']"
@@ -102,19 +104,27 @@ def resource_classify(spark, folder):
     return read_table(spark, folder, "part").select("p_partkey", kind["category"].alias("category"), kind["subtype"].alias("subtype"))
 
 
-@R.add(f"""WITH {DECISIONS}, s AS (SELECT * FROM dec WHERE fav IS NOT NULL), m AS (SELECT member, count(*) AS n, avg(fav) AS r FROM s GROUP BY ALL), a AS (SELECT avg(fav) AS b FROM s), x AS (SELECT member, n, round_even(r - b, 6)::DOUBLE AS delta, n AS nn, b FROM m, a)
-SELECT member, n, delta, delta > 0.02 AND n >= 3 AS red_flag FROM x""")
+@R.add(f"""WITH {DECISIONS}, s AS (SELECT * FROM dec WHERE fav IS NOT NULL), a AS (SELECT avg(fav) AS p0 FROM s), g AS (SELECT member, cls, y, count(*) AS n, avg(fav) AS r FROM s GROUP BY ALL),
+z AS (SELECT *, least(p0 + 0.15, 0.999) AS p1 FROM g, a), t AS (SELECT *, greatest(-8.0, least(8.0, (p0 + 1.6448536269514729 * sqrt(p0 * (1 - p0) / n) - p1) / sqrt(p1 * (1 - p1) / n))) AS x FROM z),
+c AS (SELECT *, 0.5 - exp(-x * x / 2) / sqrt(2 * pi()) * list_sum([sign(x) * exp((2 * k + 1) * ln(greatest(abs(x), 1e-12)) + k * ln(2.0) + lgamma(k + 1) - lgamma(2 * k + 2)) for k in range(0, 120)]) AS power FROM t)
+SELECT member, cls, y, n, round_even(r - p0, 6)::DOUBLE AS delta, round_even(power, 4)::DOUBLE AS power, CASE WHEN power >= 0.8 THEN 'high' WHEN power >= 0.5 THEN 'moderate' ELSE 'low' END AS confidence, round_even(r - p0, 6) > 0.15 AND n >= 3 AS red_flag FROM c""")
 def red_flag_power(spark, folder):
+    """Rates of members by class and year against the overall rate, and how surely so many rows would show a rise of 0.15."""
     rows = decisions(spark, folder).where("fav is not null")
-    every = W.partitionBy(F.lit(0))  # a row a member
-    out = rows.groupBy("member").agg(F.count("*").alias("n"), F.sum("fav").alias("f"))
-    delta = F.bround(F.col("f") / F.col("n") - F.sum("f").over(every) / F.sum("n").over(every), 6)
-    return out.select("member", "n", delta.alias("delta"), ((delta > 0.02) & (F.col("n") >= 3)).alias("red_flag"))
+    every = W.partitionBy(F.lit(0))  # a row a group
+    out = rows.groupBy("member", "cls", "y").agg(F.count("*").alias("n"), F.sum("fav").alias("f")).withColumn("p0", F.sum("f").over(every) / F.sum("n").over(every))
+    out = out.withColumn("exact", stats.proportion_power(F.col("n"), F.col("p0"))).withColumn("delta", F.bround(F.col("f") / F.col("n") - F.col("p0"), 6))
+    return out.select("member", "cls", "y", "n", "delta", F.bround("exact", 4).alias("power"), stats.power_label(F.col("exact")).alias("confidence"), ((F.col("delta") > 0.15) & (F.col("n") >= 3)).alias("red_flag"))
 
 
-@R.add("SELECT o_orderpriority AS basis, count(DISTINCT o_custkey) AS donors FROM orders GROUP BY ALL")
+@R.add("""WITH p AS (SELECT l_orderkey AS source_id, p_partkey AS target_id, 0 AS turn, 'part' AS basis FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT l_orderkey, p_partkey, 1, 'supplier' FROM lineitem JOIN part ON l_suppkey = p_partkey UNION ALL SELECT o_orderkey, p_partkey, 2, 'customer' FROM orders JOIN part ON o_custkey = p_partkey)
+SELECT source_id, target_id, arg_min(basis, turn) AS basis FROM p GROUP BY ALL""")
 def donors_by_path(spark, folder):
-    return read_table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("basis")).agg(F.count_distinct("o_custkey").alias("donors"))
+    """Orders to parts by three keys in turn, each pair under the first that joins it."""
+    lines = read_table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("source_id"), "l_partkey", "l_suppkey")
+    orders = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("source_id"), "o_custkey")
+    target = read_table(spark, folder, "part").select(F.col("p_partkey").alias("target_id"), F.col("p_partkey").alias("k"))
+    return joins.multi_path([("part", lines, ["l_partkey"]), ("supplier", lines, ["l_suppkey"]), ("customer", orders, ["o_custkey"])], target, "k")
 
 
 @R.add("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'cpf' WHEN 1 THEN 'cnpj' WHEN 2 THEN 'masked' ELSE 'unknown' END AS kind, CASE WHEN c_custkey % 4 = 0 THEN '12345678901' WHEN c_custkey % 4 = 1 THEN '12345678000199' WHEN c_custkey % 4 = 2 THEN '123' ELSE NULL END AS digits FROM customer")

@@ -13,12 +13,12 @@ from assize.session import read_table
 R = Registry()
 
 LINKS = "lk AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS hub FROM lineitem)"
-PAIRS = f"""{LINKS}, sm AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY hub) AS n FROM lk) WHERE n BETWEEN 2 AND 24),
-pr AS (SELECT a.member AS a, b.member AS b, count(*) AS shared FROM sm a JOIN sm b USING (hub) WHERE a.member < b.member GROUP BY ALL HAVING count(*) >= 38)"""
+PAIRS = f"""{LINKS}, sm AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY hub) AS n FROM lk) WHERE n BETWEEN 2 AND 50),
+pr AS (SELECT a.member AS a, b.member AS b, count(*) AS shared FROM sm a JOIN sm b USING (hub) WHERE a.member < b.member GROUP BY ALL HAVING count(*) >= 2)"""
 
 
 def _pairs(spark, folder):
-    return joins.shared_pairs(supply_links(spark, folder), "member", "hub", 38, 24)
+    return joins.shared_pairs(supply_links(spark, folder), "member", "hub", 2, 50)
 
 
 @R.add(f"WITH {PAIRS} SELECT * FROM pr")
@@ -56,17 +56,17 @@ def bounded_bfs(spark, folder):
     return graph.bounded_search(seeds, _walk(spark, folder), 3).select("seed", "node", "degree")
 
 
-@R.add("""WITH sd AS (SELECT s_suppkey AS seed, s_nationkey AS key FROM supplier WHERE s_suppkey % 10 = 0), br AS (SELECT c_nationkey AS key, c_custkey AS unit FROM customer WHERE c_acctbal > 9000), gr AS (SELECT c_custkey AS unit, c_custkey % 40 AS g FROM customer), me AS (SELECT DISTINCT o_custkey AS unit, o_orderpriority AS entity FROM orders),
+@R.add("""WITH sd AS (SELECT s_suppkey AS seed, s_nationkey AS key FROM supplier), br AS (SELECT c_nationkey AS key, c_custkey AS unit FROM customer), gr AS (SELECT c_custkey AS unit, c_custkey % 40 AS g FROM customer), me AS (SELECT DISTINCT o_custkey AS unit, o_orderpriority AS entity FROM orders),
 di AS (SELECT DISTINCT seed, unit FROM sd JOIN br USING (key)), mt AS (SELECT DISTINCT seed, g FROM di JOIN gr USING (unit)), gz AS (SELECT g, count(DISTINCT unit) AS size FROM gr GROUP BY g), ga AS (SELECT seed, sum(size) AS reach FROM mt JOIN gz USING (g) GROUP BY seed),
-wi AS (SELECT DISTINCT seed, unit FROM mt JOIN ga USING (seed) JOIN gr USING (g) WHERE reach <= 150), re AS (SELECT seed, unit, 1 AS degree FROM di UNION ALL SELECT seed, unit, 2 FROM wi WHERE (seed, unit) NOT IN (SELECT seed, unit FROM di))
-SELECT seed, entity, min(degree)::INT AS degree, coalesce(any_value(reach) > 150, false) AS truncated FROM re JOIN me USING (unit) LEFT JOIN ga USING (seed) GROUP BY seed, entity""")
+wi AS (SELECT DISTINCT seed, unit FROM mt JOIN ga USING (seed) JOIN gr USING (g) WHERE reach <= 5000), re AS (SELECT seed, unit, 1 AS degree FROM di UNION ALL SELECT seed, unit, 2 FROM wi WHERE (seed, unit) NOT IN (SELECT seed, unit FROM di))
+SELECT seed, entity, min(degree)::INT AS degree, coalesce(any_value(reach) > 5000, false) AS truncated FROM re JOIN me USING (unit) LEFT JOIN ga USING (seed) GROUP BY seed, entity""")
 def bridge_expand_with_breaker(spark, folder):
-    seeds = read_table(spark, folder, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("seed"), F.col("s_nationkey").alias("key"))
+    seeds = read_table(spark, folder, "supplier").select(F.col("s_suppkey").alias("seed"), F.col("s_nationkey").alias("key"))
     customers = read_table(spark, folder, "customer")
-    bridge = customers.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("unit"))
+    bridge = customers.select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("unit"))
     groups = customers.select(F.col("c_custkey").alias("unit"), (F.col("c_custkey") % 40).alias("group"))
     members = read_table(spark, folder, "orders").select(F.col("o_custkey").alias("unit"), F.col("o_orderpriority").alias("entity")).distinct()
-    return graph.expand_with_breaker(seeds, bridge, groups, members, 150)
+    return graph.expand_with_breaker(seeds, bridge, groups, members)
 
 
 EDGES = """eg AS (SELECT l_suppkey AS dst, CASE l_linenumber % 5 WHEN 0 THEN 'deterministic' WHEN 1 THEN 'exact' WHEN 2 THEN 'statistical' WHEN 3 THEN 'inferred' ELSE 'fuzzy' END AS strength, l_quantity > 45 AS truncated, l_partkey % 3 > 0 AS has_id, l_partkey AS src FROM lineitem)"""
@@ -93,9 +93,7 @@ def neighbours(spark, folder):
 @R.add(f"""WITH {EDGES}, b AS (SELECT dst, count(*) AS signals, count(DISTINCT strength) AS kinds, list_sort(list(DISTINCT src))[1:50] AS sources, bool_or(truncated) AS t, bool_or(strength = 'fuzzy') AS f FROM eg GROUP BY dst)
 SELECT dst, signals, kinds, array_to_string(sources, ',') AS sources, CASE WHEN signals >= 20 THEN 'high' WHEN signals >= 5 THEN 'medium' ELSE 'low' END AS tier, t OR f AS needs_review FROM b WHERE signals >= 2""")
 def evidence_bundles(spark, folder):
-    rows = _edges(spark, folder).groupBy("dst").agg(F.count("*").alias("signals"), F.count_distinct("strength").alias("kinds"), F.slice(F.array_sort(F.collect_set("src")), 1, 50).alias("s"), F.bool_or(F.col("truncated") | (F.col("strength") == "fuzzy")).alias("needs_review"))
-    tier = F.when(F.col("signals") >= 20, "high").when(F.col("signals") >= 5, "medium").otherwise("low")
-    return rows.where("signals >= 2").select("dst", "signals", "kinds", F.array_join("s", ",").alias("sources"), tier.alias("tier"), "needs_review")
+    return graph.evidence_bundles(_edges(spark, folder))
 
 
 @R.add("""SELECT s_suppkey, strip_accents(upper(regexp_replace(trim(s_name), '\\s+', ' ', 'g'))) AS name, 'sup-' || substr(sha256(s_name), 1, 16) AS id FROM supplier""")
@@ -160,10 +158,9 @@ def token_block_candidates(spark, folder):
     return match.candidates(_asked(spark, folder), _index(spark, folder))
 
 
-@R.add(f"""WITH {INDEX}, p AS (SELECT cq.id, ix.id AS target, levenshtein(cq.canonical, ix.name) AS edits FROM cq JOIN ix ON substr(ix.name, 1, 3) = substr(cq.canonical, 1, 3) WHERE levenshtein(cq.canonical, ix.name) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY edits, target) AS k FROM p) SELECT id, target, edits::INT AS edits FROM r WHERE k = 1""")
+@R.add(f"""WITH {INDEX}, p AS (SELECT cq.id, ix.id AS target, levenshtein(cq.canonical, ix.name) AS edits FROM cq JOIN ix ON abs(length(ix.name) - length(cq.canonical)) <= 2 WHERE levenshtein(cq.canonical, ix.name) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY edits, target) AS k FROM p) SELECT id, target, edits::INT AS edits FROM r WHERE k = 1""")
 def levenshtein_best(spark, folder):
-    q, t = _asked(spark, folder).select("id", F.col("canonical").alias("q")), _index(spark, folder).select(F.col("id").alias("target"), F.col("canonical").alias("t"))
-    near = q.join(t, F.substring("q", 1, 3) == F.substring("t", 1, 3)).withColumn("edits", F.levenshtein("q", "t", 2)).where("edits >= 0")
+    near = match.within_edits(_asked(spark, folder), _index(spark, folder))
     return near.groupBy("id").agg(F.min_by(F.struct("target", "edits"), F.struct("edits", "target")).alias("m")).select("id", "m.target", "m.edits")
 
 

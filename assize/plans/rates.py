@@ -9,7 +9,7 @@ from assize.plans.bindings import DECISIONS, Registry, decisions
 from assize.session import read_table
 
 R = Registry()
-CHI2 = "CASE WHEN df < 1 THEN NULL ELSE CASE WHEN chi2 >= list_extract([10.828,13.816,16.266,18.467,20.515,22.458,24.322,26.125,27.877,29.588,31.264,32.909,34.528,36.123,37.697,39.252,40.790,42.312,43.820,45.315,46.797,48.268,49.728,51.179,52.620,54.052,55.476,56.892,58.301,59.703], df::INT) THEN 0.001 WHEN chi2 >= list_extract([6.635,9.210,11.345,13.277,15.086,16.812,18.475,20.090,21.666,23.209,24.725,26.217,27.688,29.141,30.578,32.000,33.409,34.805,36.191,37.566,38.932,40.289,41.638,42.980,44.314,45.642,46.963,48.278,49.588,50.892], df::INT) THEN 0.01 WHEN chi2 >= list_extract([3.841,5.991,7.815,9.488,11.070,12.592,14.067,15.507,16.919,18.307,19.675,21.026,22.362,23.685,24.996,26.296,27.587,28.869,30.144,31.410,32.671,33.924,35.172,36.415,37.652,38.885,40.113,41.337,42.557,43.773], df::INT) THEN 0.05 ELSE 1.0 END END::DOUBLE AS p_bracket"
+CHI2 = "CASE WHEN df < 1 THEN NULL ELSE CASE WHEN chi2 >= list_extract([10.828,13.816,16.266,18.467,20.515,22.458,24.322,26.125,27.877,29.588,31.264,32.910,34.528,36.123,37.697,39.252,40.790,42.312,43.820,45.315,46.797,48.268,49.728,51.179,52.620,54.052,55.476,56.892,58.301,59.703], df::INT) THEN 0.001 WHEN chi2 >= list_extract([6.635,9.210,11.345,13.277,15.086,16.812,18.475,20.090,21.666,23.209,24.725,26.217,27.688,29.141,30.578,31.999,33.409,34.805,36.191,37.566,38.932,40.289,41.638,42.980,44.314,45.642,46.963,48.278,49.588,50.892], df::INT) THEN 0.01 WHEN chi2 >= list_extract([3.841,5.991,7.815,9.488,11.070,12.592,14.067,15.507,16.919,18.307,19.675,21.026,22.362,23.685,24.996,26.296,27.587,28.869,30.144,31.410,32.671,33.924,35.172,36.415,37.652,38.885,40.113,41.337,42.557,43.773], df::INT) THEN 0.05 ELSE 1.0 END END::DOUBLE AS p_bracket"
 
 
 @R.add(f"""WITH {DECISIONS}, g AS (SELECT cls, theme, y, count(*) AS n, count(*) FILTER (outcome = 'favorable') AS favorable, count(*) FILTER (outcome = 'unfavorable') AS unfavorable FROM dec GROUP BY ALL)
@@ -39,20 +39,21 @@ def stratified_baseline_fallback(spark, folder):
     return rates.stratified(decisions(spark, folder), ["cls", "theme", "member"], ["cls", "theme"], "outcome")
 
 
-_RARITY = f"""WITH {DECISIONS}, w AS (SELECT *, count(*) OVER g AS group_n, count(*) OVER (PARTITION BY cls, theme, y, member) AS own_n,
-  count(*) OVER (PARTITION BY cls, theme, y, outcome) AS ao, count(*) OVER (PARTITION BY cls, theme, y, member, outcome) AS oo FROM dec WINDOW g AS (PARTITION BY cls, theme, y)),
-m AS (SELECT cls, theme, y, count(DISTINCT member) AS members FROM dec GROUP BY ALL), b AS (SELECT w.*, (members >= 2 AND group_n >= 10) AS wo FROM w JOIN m USING (cls, theme, y) WHERE group_n BETWEEN 5 AND 5000),
-s AS (SELECT *, CASE WHEN wo THEN group_n - own_n ELSE group_n END AS base_n FROM b),
-p AS (SELECT *, (CASE WHEN wo THEN ao - oo ELSE ao END) / base_n AS p1, (CASE WHEN wo THEN 0 ELSE own_n END) / base_n AS p2 FROM s),
-q AS (SELECT *, CASE WHEN p1 < 0.4 OR p2 < 0.4 THEN (p1 < 0.4)::INT + (p2 < 0.4)::INT ELSE 2 END AS dims_used,
-  CASE WHEN p1 < 0.4 OR p2 < 0.4 THEN (CASE WHEN p1 < 0.4 THEN p1 ELSE 0 END + CASE WHEN p2 < 0.4 THEN p2 ELSE 0 END) ELSE p1 + p2 END AS t FROM p)
-SELECT event_id, cls, theme, y, member, group_n, base_n, dims_used, round_even(1 - t / dims_used, 6)::DOUBLE AS score, CASE WHEN base_n < 10 OR dims_used < 2 THEN 'inconclusive' ELSE 'atypical' END AS kind FROM q"""
+_RARITY = f"""WITH {DECISIONS}, dh AS (SELECT *, month(d) <= 6 AS half FROM dec), w AS (SELECT *, count(*) OVER (PARTITION BY theme, y) AS group_n, count(*) OVER (PARTITION BY theme, y, member) AS own_n,
+  count(*) OVER (PARTITION BY theme, y, half) AS ah, count(*) OVER (PARTITION BY theme, y, member, half) AS oh, count(*) OVER (PARTITION BY theme, y, outcome) AS ao, count(*) OVER (PARTITION BY theme, y, member, outcome) AS oo,
+  count(*) OVER (PARTITION BY theme, y, cls) AS ac, count(*) OVER (PARTITION BY theme, y, member, cls) AS oc, count(*) OVER (PARTITION BY theme, y, cls, outcome) AS ap, count(*) OVER (PARTITION BY theme, y, member, cls, outcome) AS op FROM dh),
+m AS (SELECT theme, y, count(DISTINCT member) AS members FROM dec GROUP BY ALL), b AS (SELECT w.*, (members >= 2 AND group_n >= 10) AS wo FROM w JOIN m USING (theme, y) WHERE group_n BETWEEN 5 AND 5000),
+s AS (SELECT *, CASE WHEN wo THEN group_n - own_n ELSE group_n END AS base_n, CASE WHEN wo THEN ac - oc ELSE ac END AS cn FROM b),
+p AS (SELECT *, CASE WHEN NOT (cls = '1-URGENT') THEN (CASE WHEN wo THEN ah - oh ELSE ah END) / base_n END AS p1, CASE WHEN cn >= 5 THEN (CASE WHEN wo THEN ap - op ELSE ap END) / cn ELSE (CASE WHEN wo THEN ao - oo ELSE ao END) / base_n END AS p2 FROM s),
+l AS (SELECT *, list_filter([p1, p2, p2], lambda x: x IS NOT NULL) AS every FROM p), q AS (SELECT *, CASE WHEN len(list_filter(every, lambda x: x < 0.4)) > 0 THEN list_filter(every, lambda x: x < 0.4) ELSE every END AS used FROM l)
+SELECT event_id, theme, y, member, group_n::BIGINT AS group_n, base_n::BIGINT AS base_n, len(used)::INT AS dims_used, round_even(1 - list_sum(used) / len(used), 6)::DOUBLE AS score, CASE WHEN base_n < 10 OR len(used) < 2 THEN 'inconclusive' ELSE 'atypical' END AS kind FROM q"""
 
 
 @R.add(_RARITY)
 def rarity_scores(spark, folder):
-    rows = decisions(spark, folder).withColumn("who", F.col("member"))
-    return risk.rarity(rows, "event_id", ["cls", "theme", "y"], "member", ["outcome", "who"])
+    """Outcomes against those of their class in the group, and the half of the year, which a rule explains for urgent cases."""
+    rows = decisions(spark, folder).withColumn("half", F.month("d") <= 6)
+    return risk.rarity(rows, "event_id", ["theme", "y"], "member", ["half", "outcome"], "cls", "outcome", {"half": F.col("cls") == "1-URGENT"})
 
 
 @R.add(f"SELECT * FROM ({_RARITY}) WHERE score >= 0.75")

@@ -99,7 +99,9 @@ def member_change_detection(spark, folder):
 
 
 @R.add(f"""WITH {FIRST}, t AS (SELECT case_id, seq AS from_seq, holder AS new_member, previous FROM ch WHERE holder IS NOT NULL AND previous IS NOT NULL AND holder <> previous)
-SELECT t.case_id, from_seq::INT AS from_seq, new_member, t.previous, count(fav) AS n, round_even(avg(fav), 6)::DOUBLE AS rate FROM t JOIN ch ON ch.case_id = t.case_id AND ch.seq >= t.from_seq AND ch.holder = t.new_member GROUP BY ALL""")
+, bs AS (SELECT holder AS new_member, avg(fav) AS base FROM x WHERE fav IS NOT NULL GROUP BY ALL),
+g AS (SELECT t.case_id, from_seq::INT AS from_seq, new_member, t.previous, count(fav) AS n, avg(fav) AS r FROM t JOIN ch ON ch.case_id = t.case_id AND ch.seq >= t.from_seq AND ch.holder = t.new_member GROUP BY ALL)
+SELECT case_id, from_seq, new_member, previous, n, round_even(r, 6)::DOUBLE AS rate, round_even(r - base, 6)::DOUBLE AS delta, coalesce(round_even(r - base, 6) > 0.15 AND n >= 3, false) AS red_flag FROM g LEFT JOIN bs USING (new_member)""")
 def rate_after_change(spark, folder):
     return sequence.after_change(_holders(spark, folder), ["case_id"], ["d", "event_id"], "holder", "fav")
 
@@ -107,11 +109,14 @@ def rate_after_change(spark, folder):
 @R.add("""WITH e AS (SELECT user_id, event_id, ts, event_type, min(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_other FROM events)
 SELECT user_id, event_id, CAST(ts AS DATE) AS day, CAST(next_other AS DATE) AS next_day FROM e WHERE event_type = 'error' AND (next_other IS NULL OR date_diff('day', CAST(ts AS DATE), CAST(next_other AS DATE)) > 2)""")
 def stalled_not_followed(spark, folder):
-    rows = joins.not_followed(read_table(spark, folder, "events"), ["user_id"], "ts", F.col("event_type") == "error", F.col("event_type") == "purchase", 2)
+    rows = joins.not_followed(read_table(spark, folder, "events"), ["user_id"], "ts", F.col("event_type") == "error", F.col("event_type") == "purchase", 2, ["event_id"])
     return rows.select("user_id", "event_id", F.to_date("ts").alias("day"), F.to_date("next_other").alias("next_day"))
 
 
-@R.add()
+@R.add("""WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(ts AS DATE) AS d, event_type = 'view' AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('view', 'purchase')),
+q AS (SELECT user_id, 0::BIGINT AS k, []::DATE[] AS waiting, NULL::DATE AS opened, NULL::DATE AS closed, -1::BIGINT AS number FROM e GROUP BY user_id
+  UNION ALL SELECT q.user_id, e.k, CASE WHEN o THEN list_append(waiting, d) ELSE waiting[2:] END, CASE WHEN NOT o AND len(waiting) > 0 THEN waiting[1] END, CASE WHEN NOT o AND len(waiting) > 0 THEN d END, number + CASE WHEN NOT o AND len(waiting) > 0 THEN 1 ELSE 0 END FROM q JOIN e ON e.user_id = q.user_id AND e.k = q.k + 1)
+SELECT user_id, number::INT AS number, opened, closed, date_diff('day', opened, closed)::INT AS days FROM q WHERE opened IS NOT NULL""")
 def greedy_pair_durations(spark, folder):
     kind = F.col("event_type")
     return sequence.greedy_durations(read_table(spark, folder, "events"), ["user_id"], ["ts", "event_id"], "ts", kind == "view", kind == "purchase")

@@ -68,11 +68,11 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
 
 
 def probe(spark: SparkSession, path: str) -> tuple[str, str, list[str]]:
-    """(encoding, separator, header) of delimited text by its first line, through Spark's own reader."""
-    first = spark.read.option("wholetext", False).text(path).limit(1).select(F.col("value").cast("binary").alias("v")).first()
-    raw = bytes(first["v"]) if first else b""
-    broken = "�" in raw.decode("utf-8", "replace")
-    line = raw.decode("utf-8", "replace")
+    """(encoding, separator, header) of delimited text: UTF-8 if all its lines are, else Latin-1."""
+    lines = spark.read.text(path)
+    broken = bool(lines.where(~F.is_valid_utf8("value")).limit(1).count())
+    first = lines.limit(1).select(F.col("value").cast("binary").alias("v")).first()
+    line = (bytes(first["v"]) if first else b"").decode("latin-1" if broken else "utf-8")
     separator = max(";,\t|", key=lambda s: (line.count(s), -";,\t|".index(s)))
     return ("ISO-8859-1" if broken else "UTF-8"), separator, [h.strip().strip('"') for h in line.split(separator)]
 

@@ -36,7 +36,7 @@ def test_greedy_likeness(spark):
 
 
 def test_lists_and_entries(spark):
-    assert values(spark, ["Ana x Bia vs. ana"], text.party_names(F.col("v"))) == [["Ana", "Bia", "ana"]]
+    assert values(spark, ["Ana x Bia vs. ana"], text.party_names(F.col("v"))) == [["Ana", "Bia"]]
     found = values(spark, ["RECTE.(S): ANA ADV.(A/S): BIA"], text.role_entries(F.col("v")))[0]
     assert [(e["label"], e["content"]) for e in found] == [("RECTE.(S)", "ANA"), ("ADV.(A/S)", "BIA")]
     assert text.column_labels(["Data Decisão", "Data decisao"]) == ["data_decisao", "data_decisao_2"]
@@ -146,3 +146,54 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     got = {(r["event_type"], r["start"], r["events"]) for r in spark.table("tumbled").collect()}
     want = {(r["event_type"], r["start"], r["events"]) for r in events.tumbling(table, "ts", ["event_type"], "value").collect()}
     assert got == want
+
+
+def test_rows_with_nulls_match_once(spark):
+    """A matched row with a null in any column comes once; one without a date stays unmatched."""
+    left = spark.createDataFrame([(1, "2024-01-01", None), (1, "2024-03-01", "x"), (2, None, None), (None, "2024-01-01", "y")], "k int, d string, note string").withColumn("d", F.to_date("d"))
+    right = spark.createDataFrame([(1, "2024-01-05", None), (1, "2024-01-31", "b"), (1, "2024-06-01", "c"), (None, "2024-01-02", "d")], "k int, later string, r string").withColumn("later", F.to_date("later"))
+    got = sorted((str(r["k"]), str(r["note"]), r["gap_days"] or 0) for r in joins.within_days(left, right, ["k"], "d", "later", 30).collect())
+    assert got == sorted([("1", "None", 4), ("1", "None", 30), ("1", "x", 0), ("2", "None", 0), ("None", "y", 0)])
+
+
+def test_ties_in_time_are_told_apart(spark):
+    rows = [(1, 1, 10, "stop"), (1, 2, 10, "go"), (2, 1, 10, "go"), (2, 2, 10, "stop")]
+    df = spark.createDataFrame(rows, "u int, k int, t int, kind string").withColumn("d", F.date_add(F.to_date(F.lit("2024-01-01")), F.col("t")))
+    for partitions in (1, 3):
+        out = joins.not_followed(df.repartition(partitions), ["u"], "d", F.col("kind") == "stop", F.col("kind") == "go", 5, ["k"]).collect()
+        assert [(r["u"], r["k"]) for r in out] == [(2, 2)]
+
+
+def test_candidates_are_limited_by_their_number(spark):
+    """Frequent tokens with a small intersection give candidates; a query whose candidates are too many has none."""
+    names = [(k, f"SILVA RARE{k % 40}") for k in range(200)] + [(k, f"SOUZA RARE{k % 40}") for k in range(200, 400)] + [(900, "SILVA SOUZA")]
+    index = match.prepared(spark.createDataFrame(names, "i int, n string"), "i", "n")
+    asked = match.prepared(spark.createDataFrame([(1, "SILVA SOUZA"), (2, "SILVA XAVIER"), (3, "SILVA RARE7")], "i int, n string"), "i", "n")
+    got = {}
+    for r in match.candidates(asked, index, most=20).collect():
+        got.setdefault(r["id"], set()).add(r["target"])
+    assert got == {1: {900}, 3: {7, 47, 87, 127, 167}}
+
+
+def test_edits_anywhere(spark):
+    index = match.prepared(spark.createDataFrame([(1, "MARIA"), (2, "MARINA SOUZA"), (3, "AB")], "i int, n string"), "i", "n")
+    asked = match.prepared(spark.createDataFrame([(1, "XARIA"), (2, "ARINA SOUSA"), (3, "MARIA"), (4, "ZZ"), (5, "B")], "i int, n string"), "i", "n")
+    assert {(r["id"], r["target"], r["edits"]) for r in match.within_edits(asked, index).collect()} == {(1, 1, 1), (2, 2, 2), (3, 1, 0), (4, 3, 2), (5, 3, 1)}
+
+
+def test_forest_is_one_for_a_group(spark):
+    """A group dealt over many tasks scores as it does in one; the scale is the group's."""
+    import random
+
+    from assize.operators import builders
+
+    rng = random.Random(2)
+    rows = [(k, "g" if k % 3 else "h", rng.choice("aaaabc"), rng.choice("xxy"), rng.choice("ppppppq")) for k in range(600)]
+    df = spark.createDataFrame(rows, "k int, g string, a string, b string, c string")
+    whole, parts = (sorted(map(tuple, builders.isolation_rarity(df, "k", ["g"], ["a", "b", "c"], trees=20, rows_a_task=n).collect())) for n in (50_000, 60))
+    assert whole == parts and len(whole) == 600
+    for g in "gh":
+        mine = [r[2] for r in whole if r[1] == g]
+        assert (min(mine), max(mine)) == (0.0, 1.0)
+    common, odd = ([r[2] for r in whole if rows[r[0]][2:] == x] for x in (("a", "x", "p"), ("b", "y", "q")))
+    assert max(common) < min(odd)

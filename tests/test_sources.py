@@ -14,6 +14,11 @@ def test_probe_and_contract(spark, tmp_path):
         files.require_header(header, ["Nome"], "a")
 
 
+def test_latin1_body_under_a_plain_header(spark, tmp_path):
+    (tmp_path / "b.csv").write_bytes("Nome;Orgao\n".encode() + b"x;y\n" * 2000 + "José;São\n".encode("latin-1"))
+    assert files.probe(spark, str(tmp_path / "b.csv")) == ("ISO-8859-1", ";", ["Nome", "Orgao"])
+
+
 def test_aliases(spark):
     df = spark.createDataFrame([("1", "2")], "valor string, cnpj string")
     assert files.by_alias(df, {"amount": ["vr", "valor"], "name": ["nome"]}).first().asDict() == {"amount": "1", "name": None}
