@@ -292,7 +292,7 @@ def state_of(description: Column) -> Column:
 def origin_courts(court: Column, state: Column) -> Column:
     """The state and federal courts an origin may mean, as an array."""
     code = state_of(state)
-    region = ladder([(code == k, f"trf{v}") for k, v in FEDERAL_REGION.items()])
+    region = F.create_map(*[F.lit(x) for k, v in FEDERAL_REGION.items() for x in (k, f"trf{v}")])[code]
     local = F.concat(F.lit("tj"), F.lower(code))
     name = F.upper(strip_accents(court))
     both = F.array_compact(F.array(local, region))

@@ -122,7 +122,8 @@ def isolation_rarity(df: DataFrame, key: str, group: list[str], fields: list[str
 
     def score(pdf: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values("_turn")
-        return pdf[[key, *group]].assign(raw=_isolation(pdf[names].to_numpy(float), sample[[f"{n}_" for n in names]].to_numpy(float), trees, size, seed))
+        looks, which = np.unique(pdf[names].to_numpy(float), axis=0, return_inverse=True)
+        return pdf[[key, *group]].assign(raw=_isolation(looks, sample[[f"{n}_" for n in names]].to_numpy(float), trees, size, seed)[which.ravel()])
 
     scored = dealt.groupBy(*group, "_part").cogroup(fitted.groupBy(*[f"{c}_" for c in group], "_part_")).applyInPandas(score, schema)
     ends = {"_lo": F.min("raw").over(w), "_hi": F.max("raw").over(w)}

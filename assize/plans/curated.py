@@ -73,37 +73,6 @@ def isolation_rarity(spark, folder):
     return builders.isolation_rarity(decisions(spark, folder), "event_id", ["cls", "y"], ["outcome", "member", "theme"])
 
 
-MOVES = "['Redistribuído por prevenção', 'Pedido de vista do Ministro', 'Devolvidos autos com vista', 'Incluído em pauta virtual', 'Retirado de pauta', 'Trânsito em julgado', 'Embargos opostos', 'Publicado acórdão', 'Plenário: julgamento', 'Sessão da Primeira Turma']"
-
-
-@R.add(f"""WITH m AS (SELECT event_id, event_id % 10 AS k FROM events) SELECT event_id, (['deslocamento', 'vista', 'vista', 'pauta', 'pauta', 'baixa', 'recurso', 'publicacao', 'decisao', 'outros'])[k + 1] AS category, (['outros', 'pedido_de_vista', 'devolvido_vista', 'pauta_inclusion', 'pauta_withdrawal', 'outros', 'outros', 'outros', 'julgamento', 'outros'])[k + 1] AS session_event,
-(CASE k WHEN 3 THEN 'plenario_virtual' WHEN 8 THEN 'plenario' WHEN 9 THEN 'turma_1' END) AS session_kind, k = 0 AS is_redistribution FROM m""")
-def movement_classify(spark, folder):
-    texts = ["Redistribuído por prevenção", "Pedido de vista do Ministro", "Devolvidos autos com vista", "Incluído em pauta virtual", "Retirado de pauta", "Trânsito em julgado", "Embargos opostos", "Publicado acórdão", "Plenário: julgamento", "Sessão da Primeira Turma"]
-    said = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % 10).cast("int"))
-    return read_table(spark, folder, "events").select("event_id", rules.movement_category(said).alias("category"), rules.session_event(said).alias("session_event"), rules.session_kind(said).alias("session_kind"), rules.signals(said, "redistribution").alias("is_redistribution"))
-
-
-@R.add("""SELECT c_custkey, (['SP', 'MS', 'MT', NULL, 'PA'])[c_custkey % 5 + 1] AS state, (['tjsp,trf3', 'tjms,trf3', 'trf1', '', 'tjpa'])[c_custkey % 5 + 1] AS courts FROM customer""")
-def origin_mapping(spark, folder):
-    pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("c_custkey") % 5).cast("int"))
-    state, court = pick("São Paulo", "Estado de Mato Grosso do Sul", "MT", "Lua", "PARÁ"), pick("", "", "Tribunal Regional Federal", "", "Tribunal de Justiça")
-    return read_table(spark, folder, "customer").select("c_custkey", rules.state_of(state).alias("state"), F.array_join(rules.origin_courts(court, state), ",").alias("courts"))
-
-
-@R.add("""SELECT event_id, (['session', 'ceremony', 'hearing', 'private_meeting', 'official_meeting', 'other'])[event_id % 6 + 1] AS nature, (['institutional_core', 'unclear', 'unclear', 'private_advocacy', 'institutional_external_actor', 'unclear'])[event_id % 6 + 1] AS category FROM events""")
-def agenda_classify(spark, folder):
-    said = F.get(F.array(*[F.lit(x) for x in ("Sessao plenaria", "Cerimonia de abertura", "Audiencia publica", "Dr. Silva", "Reuniao com o governo", "Almoco")]), (F.col("event_id") % 6).cast("int"))
-    return read_table(spark, folder, "events").select("event_id", rules.meeting_nature(said).alias("nature"), rules.agenda_category(said, F.lit(False)).alias("category"))
-
-
-@R.add("""SELECT p_partkey, (['in_kind', 'payment_method', 'source_type', 'empty', 'unknown'])[p_partkey % 5 + 1] AS category, (['transport_fuel', 'cash', 'party_fund', 'null_marker', 'unclassified'])[p_partkey % 5 + 1] AS subtype FROM part""")
-def resource_classify(spark, folder):
-    said = F.get(F.array(*[F.lit(x) for x in ("Combustível e táxi", "Em espécie", "Fundo Partidário", "#nulo", "xyz")]), (F.col("p_partkey") % 5).cast("int"))
-    kind = rules.resource(said)
-    return read_table(spark, folder, "part").select("p_partkey", kind["category"].alias("category"), kind["subtype"].alias("subtype"))
-
-
 @R.add(f"""WITH {DECISIONS}, s AS (SELECT * FROM dec WHERE fav IS NOT NULL), a AS (SELECT avg(fav) AS p0 FROM s), g AS (SELECT member, cls, y, count(*) AS n, avg(fav) AS r FROM s GROUP BY ALL),
 z AS (SELECT *, least(p0 + 0.15, 0.999) AS p1 FROM g, a), t AS (SELECT *, greatest(-8.0, least(8.0, (p0 + 1.6448536269514729 * sqrt(p0 * (1 - p0) / n) - p1) / sqrt(p1 * (1 - p1) / n))) AS x FROM z),
 c AS (SELECT *, 0.5 - exp(-x * x / 2) / sqrt(2 * pi()) * list_sum([sign(x) * exp((2 * k + 1) * ln(greatest(abs(x), 1e-12)) + k * ln(2.0) + lgamma(k + 1) - lgamma(2 * k + 2)) for k in range(0, 120)]) AS power FROM t)

@@ -147,17 +147,6 @@ def like_search(spark, folder):
     return read_table(spark, folder, "part").where(F.contains(F.lower("p_name"), F.lit("ring"))).select("p_partkey", "p_name")
 
 
-TERMS = "['Provido em parte', 'Negado provimento', 'Liminar indeferida', 'Prejudicado', 'Homologada a desistência', 'Julgamento - NEGADO SEGUIMENTO', 'Determinada a diligência']"
-
-
-@R.add(f"""WITH t AS (SELECT o_orderkey, ({TERMS})[o_orderkey % 7 + 1] AS progress FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 4) THEN 'favorable' WHEN o_orderkey % 7 IN (1, 2, 5) THEN 'unfavorable' WHEN o_orderkey % 7 = 3 THEN 'neutral' END AS outcome,
-CASE o_orderkey % 7 WHEN 0 THEN 'substantive' WHEN 1 THEN 'substantive' WHEN 2 THEN 'provisional' WHEN 6 THEN 'unknown' ELSE 'procedural' END AS materiality FROM t""")
-def outcome_classify(spark, folder):
-    terms = ["Provido em parte", "Negado provimento", "Liminar indeferida", "Prejudicado", "Homologada a desistência", "Julgamento - NEGADO SEGUIMENTO", "Determinada a diligência"]
-    progress = F.get(F.array(*[F.lit(t) for t in terms]), (F.col("o_orderkey") % 7).cast("int"))
-    return read_table(spark, folder, "orders").select("o_orderkey", rules.outcome(progress).alias("outcome"), rules.materiality(progress).alias("materiality"))
-
-
 @R.add("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE round_even(o_totalprice, 2) END::DOUBLE AS amount, strftime(o_orderdate, '%Y-%m') AS month_key FROM orders""")
 def date_multi_parse(spark, folder):
     d, kind = F.col("o_orderdate"), F.col("o_orderkey") % 5
