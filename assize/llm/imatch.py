@@ -58,7 +58,7 @@ def _key(id_col: Column, text_hash: Column) -> Column:
 
 
 def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, rows, n_chars, next_key, before_key, before_chars) of every distinct (id, text), in a circle by ascending id.
+    """(key, id, rows, n_chars, next_key, before_key, before_chars) of every distinct (id, text), in a circle by ascending id.
 
     Ids are sorted by ranges. A range's first and last rows, two a partition, go over the driver to its neighbours.
     """
@@ -74,7 +74,7 @@ def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = W.partitionBy("part").orderBy("at")
     linked = ranged.withColumns({"next": F.lead("key").over(order), "before": F.lag(F.struct("key", "n_chars")).over(order)}).join(F.broadcast(edges), "part")
     before = F.coalesce("before", F.struct(F.col("last_before").alias("key"), F.col("last_chars").alias("n_chars")))
-    return linked.select("key", "rows", "n_chars", F.coalesce("next", "first_after").alias("next_key"), before["key"].alias("before_key"), before["n_chars"].alias("before_chars"))
+    return linked.select("key", F.col("at.id").alias("id"), "rows", "n_chars", F.coalesce("next", "first_after").alias("next_key"), before["key"].alias("before_key"), before["n_chars"].alias("before_chars"))
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +85,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     links = cut(successors(docs, id_col, text_col))
-    texts = docs.select(_key(F.col(id_col), F.xxhash64(text)).alias("key"), F.col(id_col).alias("id"), text.alias("text")).dropDuplicates(["key"]).join(links, "key")
+    # of the same columns wherever it is read, so the texts are shuffled once
+    texts = docs.select(_key(F.col(id_col), F.xxhash64(text)).alias("key"), text.alias("text")).dropDuplicates(["key"]).join(links, "key")
     half = lambda n: F.floor(n / 2).cast("int")
     lent = texts.select(F.col("before_key").alias("to"), F.substring(F.col("text"), F.lit(1), half(F.col("before_chars"))).alias("borrowed"))
     met = texts.join(lent, F.col("key") == F.col("to"))
