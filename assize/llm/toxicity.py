@@ -43,7 +43,7 @@ MAX_TRAINING_ROWS = 20_000
 #: Twice the gain in log likelihood that a feature must bring by itself: one in a thousand features without meaning does.
 SIGNIFICANT = 10.83
 PREFIXES = (4, 5, 6, 7, 8)
-CACHE = 200_000
+CACHE = 100_000
 #: Words counted in one task before partial counts are handed on.
 COUNTED_AT_ONCE = 300_000
 
@@ -251,7 +251,9 @@ class Restorer:
 
     def __init__(self, model: CharModel, known: dict[str, int] | None = None):
         self.model, self.known = model, known
-        self.memo: dict[str, tuple] = {}
+        #: How the beginnings start that are features: a word that starts otherwise has none.
+        self.heads = {x[: PREFIXES[0]] for x in known if x.endswith("*")} if known is not None else set()
+        self.memo: dict[str, tuple[tuple, bool]] = {}
 
     def restore(self, token: str) -> str:
         if _PLAIN.fullmatch(token) and not _RUN.search(token):
@@ -280,25 +282,61 @@ class Restorer:
         """The words on the likeliest path with word breaks."""
         return set(viterbi(token, self.model, True).split(BREAK)) - {""} if any(c.isalpha() for c in token) else set()
 
-    def names(self, token: str) -> tuple:
+    def names(self, token: str) -> set:
         """The features of a token: of the known ones their numbers, or else all names."""
-        if (found := self.memo.get(token)) is None:
-            words = {self.restore(token), *self.words(token)}
-            every = sorted({x for word in words for x in (f"={word}", *(f"{word[:k]}*" for k in PREFIXES if len(word) >= k))})
-            found = tuple(every) if self.known is None else tuple(self.known[x] for x in every if x in self.known)
+        return {x for word in {self.restore(token), *self.words(token)} for x in self.named(word)}
+
+    def named(self, word: str) -> list:
+        """The features of one plain word."""
+        if self.known is None:
+            return [f"={word}", *(f"{word[:k]}*" for k in PREFIXES if len(word) >= k)]
+        out = [self.known[x]] if (x := f"={word}") in self.known else []
+        if word[: PREFIXES[0]] in self.heads:
+            out += [self.known[x] for k in PREFIXES if len(word) >= k and (x := f"{word[:k]}*") in self.known]
+        return out
+
+    def of(self, raw: str) -> tuple[tuple, int]:
+        """The features of all readings of what stands between two spaces, and whether it may be a letter set apart (1), is nothing (2), or neither (0)."""
+        if (found := self.memo.get(raw)) is None:
+            if len(raw) > 1 and raw.isalpha():
+                found = tuple(self.names(raw) if _RUN.search(raw) else self.named(raw)), 0
+            else:
+                token = core(raw)
+                alone = 1 if len(token) == 1 or (not token and len(raw) == 1 and raw in LEET) else 0 if token else 2
+                found = tuple({x for token in {*tokens(raw), *disguised(raw)} for x in self.names(token)}), alone
             if len(self.memo) >= CACHE:
                 self.memo.clear()
-            self.memo[token] = found
+            self.memo[raw] = found
         return found
 
     def features(self, text: str | None) -> set:
         out: set = set()
         lower = (text or "").lower()
-        for token in {*tokens(lower), *disguised(lower)}:
-            out.update(self.names(token))
+        raws = lower.split()
+        odd: dict[str, int] = {}
+        for raw in set(raws):
+            names, alone = self.of(raw)
+            if names:
+                out.update(names)
+            if alone:
+                odd[raw] = alone
+        if odd and _in_a_row(odd.get(raw, 0) for raw in raws):
+            for token in {*tokens(lower), *disguised(lower)}:
+                if " " in token:
+                    out.update(self.names(token))
         return out
 
 
+def _in_a_row(kinds: Iterable[int]) -> bool:
+    """Whether three letters set apart come in a row; what is nothing does not break it."""
+    run = 0
+    for kind in kinds:
+        run = run + 1 if kind == 1 else run if kind == 2 else 0
+        if run > 2:
+            return True
+    return False
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all rows: words of letters alone, which have one reading only."""
 
