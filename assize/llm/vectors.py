@@ -42,7 +42,9 @@ OCCUPANCY = 8
 SEED = 17
 #: Buckets of more classes than this are compared by blocks.
 LIMIT = 128
-BLOCK = 4_096
+BLOCK = 1_024
+#: Candidates checked together, on average.
+PAIRS = 2_048
 #: Rows of a block compared at once.
 TILE = 512
 #: Cosines this near the threshold are taken again in a fixed order of summation.
@@ -157,7 +159,7 @@ def _large_keys(table: pa.Table) -> list[frozenset]:
 
 
 def _verified(cosine: float):
-    """Checks the candidates of one small bucket on the vectors that came to it."""
+    """Checks the candidates of some small buckets on the vectors that came to them."""
 
     def run(pairs: pa.Table, rows: pa.Table) -> pa.Table:
         ids, n, large = rows.column("cid").to_numpy(), rows.column("n").to_numpy(), _large_keys(rows)
@@ -229,8 +231,11 @@ def links(classes: DataFrame, cosine: float = COSINE, width: float = WIDTH, limi
     # a class has at most one large bucket a table
     large = many.groupBy("cid").agg(F.array_sort(F.collect_set("key")).alias("large"))
     known = classes.join(large, "cid", "left")
-    members = pairs.select(F.col("key").alias("bucket"), F.explode(F.array("a", "b")).alias("cid")).distinct().join(known, "cid")
-    small = pairs.groupBy("key").cogroup(members.groupBy("bucket")).applyInArrow(_verified(cosine), _OUT)
+    # whole buckets, some together, so that a vector comes once for all candidates it has in them
+    chunks = -(-pairs.count() // PAIRS) or 1
+    chunk = F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int")
+    members = pairs.select(chunk.alias("together"), F.explode(F.array("a", "b")).alias("cid")).distinct().join(known, "cid")
+    small = pairs.groupBy(chunk.alias("chunk")).cogroup(members.groupBy("together")).applyInArrow(_verified(cosine), _OUT)
     placed = many.join(known, "cid").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("low"), F.greatest(k, F.col("block")).alias("high")))
     dealt = placed.select("key", "cid", "n", "dim", "v", "large", "block", F.explode(both).alias("p")).select("*", "p.low", "p.high").drop("p")
