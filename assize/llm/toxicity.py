@@ -413,8 +413,11 @@ def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "doc
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(CharModel(three.value))
         for batch in batches:
-            names = [sorted(restorer.features(x.as_py())) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.list_(pa.string()))], names=["key", "label", "names"])
+            # few texts at a time: their features are many
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                names = [sorted(restorer.features(x.as_py())) for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.list_(pa.string()))], names=["key", "label", "names"])
 
     found = cut(sample.select("key", "label", "text").mapInArrow(describe, "key string, label int, names array<string>"))
     rows, ones = found.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
