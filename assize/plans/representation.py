@@ -47,16 +47,16 @@ def amicus_network(spark, folder):
 
 
 @R.add("""WITH e AS (SELECT o_custkey AS client, o_orderkey // 8 AS c, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS f, o_orderpriority = '5-LOW' AS passive FROM orders), v AS (SELECT client, c, CASE WHEN passive THEN 1 - f ELSE f END AS fav FROM e),
-m AS (SELECT DISTINCT l_suppkey, o_custkey AS client FROM lineitem JOIN orders ON l_orderkey = o_orderkey), k AS (SELECT c_custkey AS client FROM customer WHERE c_acctbal > 9000),
-n AS (SELECT l_suppkey, count(*) AS clients, count(*) FILTER (client IN (SELECT client FROM k)) AS flagged FROM m GROUP BY ALL), r AS (SELECT l_suppkey, avg(fav) AS o, avg(fav) FILTER (client IN (SELECT client FROM k)) AS f, count(DISTINCT c) FILTER (client IN (SELECT client FROM k)) AS cases FROM m JOIN v USING (client) GROUP BY ALL)
-SELECT l_suppkey, clients, flagged, round_even(f, 6)::DOUBLE AS flagged_rate, round_even(o, 6)::DOUBLE AS overall_rate, coalesce(f > o + 0.15 AND cases >= 3, false) AS stands_out FROM n LEFT JOIN r USING (l_suppkey) WHERE flagged > 0""")
+m AS (SELECT DISTINCT l_partkey, o_custkey AS client FROM lineitem JOIN orders ON l_orderkey = o_orderkey), k AS (SELECT c_custkey AS client FROM customer WHERE c_acctbal > 9000),
+n AS (SELECT l_partkey, count(*) AS clients, count(*) FILTER (client IN (SELECT client FROM k)) AS flagged FROM m GROUP BY ALL), r AS (SELECT l_partkey, avg(fav) AS o, avg(fav) FILTER (client IN (SELECT client FROM k)) AS f, count(DISTINCT c) FILTER (client IN (SELECT client FROM k)) AS cases FROM m JOIN v USING (client) GROUP BY ALL)
+SELECT l_partkey, clients, flagged, round_even(f, 6)::DOUBLE AS flagged_rate, round_even(o, 6)::DOUBLE AS overall_rate, coalesce(f > o + 0.15 AND cases >= 3, false) AS stands_out FROM n LEFT JOIN r USING (l_partkey) WHERE flagged > 0""")
 def client_profiles(spark, folder):
     orders = read_table(spark, folder, "orders")
     won = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0)
     entries = orders.select(F.col("o_custkey").alias("client"), F.floor(F.col("o_orderkey") / 8).alias("c"), representation.favourable(won, F.col("o_orderpriority") == "5-LOW").alias("fav"))
-    clients = read_table(spark, folder, "lineitem").join(orders, F.expr("l_orderkey = o_orderkey")).select("l_suppkey", F.col("o_custkey").alias("client"))
+    clients = read_table(spark, folder, "lineitem").join(orders, F.expr("l_orderkey = o_orderkey")).select("l_partkey", F.col("o_custkey").alias("client"))
     flagged = read_table(spark, folder, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("client"))
-    return representation.client_profiles(clients, entries, flagged, "l_suppkey", "client", "c", "fav")
+    return representation.client_profiles(clients, entries, flagged, "l_partkey", "client", "c", "fav")
 
 
 @R.add("""WITH d AS (SELECT l_suppkey, year(l_shipdate)::INT AS y, l_extendedprice AS p, l_linenumber AS a, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS b FROM lineitem), r AS (SELECT min(y) AS since FROM (SELECT DISTINCT y FROM d ORDER BY y DESC LIMIT 2)), o AS (SELECT * FROM d WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)),

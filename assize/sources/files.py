@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,52 @@ def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
+def read_positional(spark: SparkSession, path: str, names: list[str], least: int, separator: str = ";", encoding: str = "UTF-8") -> DataFrame:
+    """Delimited text without a header, columns by position, all as cleaned text; rows of fewer than ``least`` fields are left out.
+
+    Only rows that do not have as many fields as names are counted, outside their quotes; a field that a row lacks is null.
+    """
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
+    reader = spark.read.schema(schema).option("header", False).option("sep", separator).option("encoding", encoding).option("quote", '"').option("escape", '"')
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    bare = F.regexp_replace("_corrupt", '"[^"]*"', "")
+    fields = F.size(F.split(bare, re.escape(separator), -1))
+    return rows.where(F.col("_corrupt").isNull() | (fields >= least)).select(*[clean_cell(F.col(n)).alias(n) for n in names])
+
+
+def keep_members(rows: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """Rows of which any column is among its targets (value), once each; which sides are broadcast is left to their sizes."""
+    kept, hit = rows, F.lit(False)
+    for n, (column, values) in enumerate(targets.items()):
+        known = values.where("value is not null").select(F.col("value").alias(f"_target{n}")).distinct()
+        kept = kept.join(known, F.col(column) == F.col(f"_target{n}"), "left")
+        hit = hit | F.col(f"_target{n}").isNotNull()
+    return kept.where(hit).select(*rows.columns)
+
+
+def read_lookup(spark: SparkSession, path: str, separator: str = ";", encoding: str = "UTF-8") -> DataFrame:
+    """(code, description) of a two-column file without a header; blank codes are left out, of a code told twice the last line wins."""
+    rows = read_positional(spark, path, ["code", "description"], 2, separator, encoding).where("code is not null")
+    turn = rows.withColumn("_turn", F.monotonically_increasing_id())
+    return turn.groupBy("code").agg(F.max_by("description", "_turn").alias("description"))
+
+
+def write_clean_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header in which every text stands in quotes and no number does."""
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c, F.lit("")), '"', '""'), F.lit('"'))
+    cells = [quoted(F.col(c)) if c in texts else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    header = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    # A line without quotes or escapes of the writer's own: the one column is the line, its name the header.
+    writer = df.select(F.concat_ws(",", *cells).alias(header)).write.mode("overwrite").option("header", True)
+    writer.option("quote", "").option("sep", "\u0001").option("escapeQuotes", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path)
+
+
+def append_audit(df: DataFrame, path: str) -> None:
+    """Audit records as JSON lines added to those there are; earlier ones are never written again."""
+    write_json_lines(df, path, mode="append")
+
+
 def union_sources(parts: list[tuple[str, DataFrame, dict[str, str]]]) -> DataFrame:
     """Sources of other column names as one table, each row with its source; a missing column is null."""
     targets = list(dict.fromkeys(t for _, _, names in parts for t in names.values()))

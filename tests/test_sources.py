@@ -60,3 +60,31 @@ def test_union_and_json(spark, tmp_path):
     assert files.read_json_lines(spark, str(tmp_path / "j"), "x string").first()["x"] == "a"
     files.write_table(two, str(tmp_path / "p"), ["y"])
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
+
+
+def test_positional_rows_and_members(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('1;a;"x;y";\n2;b\n3;c;z\n4;d;;w\n', encoding="utf-8")
+    rows = files.read_positional(spark, str(tmp_path / "p.csv"), ["k", "name", "note", "more"], 3)
+    assert sorted(map(tuple, rows.collect())) == [("1", "a", "x;y", None), ("3", "c", "z", None), ("4", "d", None, "w")]
+    value = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    kept = files.keep_members(rows, {"k": value("1", "1", None), "name": value("a", "d")})
+    assert sorted(r.k for r in kept.collect()) == ["1", "4"]
+
+
+def test_lookup_last_line_wins(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("01;First\n02; Second \n;none\n01;Last\nalone\n", encoding="utf-8")
+    assert dict(map(tuple, files.read_lookup(spark, str(tmp_path / "l.csv")).collect())) == {"01": "Last", "02": "Second"}
+
+
+def test_clean_csv_quotes_texts_only(spark, tmp_path):
+    path = str(tmp_path / "c")
+    files.write_clean_csv(spark.createDataFrame([(1, ' a,"b" ', 0.5), (2, None, None)], "k int, t string, v double").coalesce(1), path)
+    (part,) = (tmp_path / "c").glob("*.csv")
+    assert part.read_text().splitlines() == ['"k","t","v"', '1," a,""b"" ",0.5', '2,"",']
+
+
+def test_audit_records_are_added(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    for n in (1, 2):
+        files.append_audit(spark.createDataFrame([("f.csv", n)], "file string, rows int"), path)
+    assert sorted(r.rows for r in spark.read.json(path).collect()) == [1, 2]
