@@ -16,7 +16,7 @@ def distribution(df: DataFrame, by: list[str], value: str, n: str | None = None,
 def edge_activity(edges: DataFrame, events: DataFrame, edge: str, case: str, side: str, member: str, kind: str, date: str) -> DataFrame:
     """Per edge: events, their kinds, first and last day and the days between, and how many other edges stand on its side of the case.
 
-    An edge without a member is no companion. Companions are the side's members less the edge's own: two counts,
+    An edge without a member is no companion, but has all members of its side for companions. They are the side's members less the edge's own: two counts,
     no pairs, so a crowded side is no larger than its rows.
     """
     seen = events.groupBy(edge).agg(F.count("*").alias("events"), F.min(date).alias("first_day"), F.max(date).alias("last_day"))
