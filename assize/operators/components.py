@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from assize.operators.skew import HOT_ROWS, meet
 from assize.session import cut
 
+#: Edges a task takes, and tasks at least; what a round shuffles is small long before the edges' own table is.
+TASK_ROWS, LEAST_TASKS = 50_000, 8
+
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Map every node of ``edges`` to the smallest node it can reach.
@@ -16,7 +19,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     null end are ignored. Each round points the larger neighbours of every node at its smallest
     neighbour, then the node and its smaller neighbours likewise. Minima are aggregated before they are
     shuffled, and the neighbours of a hub learn its minimum where they are, so a hub is never gathered in
-    one task. Only two numbers a round reach the driver.
+    one task. Only two numbers a round reach the driver. Tasks are as many as the edges left ask for: a graph
+    of few edges is not spread over as many partitions as the tables that it comes from.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     state = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -24,18 +28,22 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     loops = cut(alone.join(state.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_anti"))
     mark = _mark(state)
     for _ in range(max_rounds):
+        tasks = max(LEAST_TASKS, mark[0] // TASK_ROWS)
+        state = state.coalesce(tasks)
         both = state.union(state.select("v", "u")).toDF("u", "v")
-        large = _with_least(both, both.where("v > u"), 2 * mark[0], hot_rows).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = _with_least(both, both.where("v > u"), 2 * mark[0], hot_rows).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = large.coalesce(tasks).distinct().coalesce(tasks)
         large = cut(large) if mark[0] > hot_rows else large  # both steps read it several times then
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_least(large, large, mark[0], hot_rows)
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        state = cut(after.distinct())
+        state = cut(after.coalesce(tasks).distinct().coalesce(tasks))
         before, mark = mark, _mark(state)
         if mark == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    state = state.coalesce(max(LEAST_TASKS, mark[0] // TASK_ROWS))
     roots = state.select(F.col("v").alias("node")).distinct()
     return (
         state.select(F.col("u").alias("node"), F.col("v").alias("component"))
