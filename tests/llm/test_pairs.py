@@ -106,6 +106,46 @@ def test_five_word_copies(spark):
     assert kept == sorted(set(want)) and len(kept) < len(texts)
 
 
+def test_large_bands_of_several_classes(spark, monkeypatch):
+    """A cloud of copies edited more and less, two close families and a crowd that shares a passage: classes are those of brute force."""
+    monkeypatch.setattr(shingles, "BLOCK", 100)
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(5000)]
+
+    def edited(base, edits):
+        text = list(base)
+        for at in rng.sample(range(len(base)), edits):
+            text[at] = rng.choice(vocabulary)
+        return text
+
+    base = rng.sample(vocabulary, 150)
+    sibling = edited(base, 7)
+    texts = [edited(base, rng.randrange(12)) for _ in range(250)] + [edited(sibling, rng.randrange(3)) for _ in range(100)]
+    passage = rng.sample(vocabulary, 90)
+    texts += [passage + rng.sample(vocabulary, 40) for _ in range(150)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    want = classes(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    docs = table(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+    roots = {r["row"]["id"]: r["root"] for r in shingles.classes(docs, limit=16).collect()}
+    assert classes(list(range(len(texts))), lambda a, b: roots[a] == roots[b]) == want
+    assert 150 < len(set(want)) < 400
+
+
+def test_sketches_miss_few_pairs():
+    """Pairs of similarity 0.8 share a band and pass the sketch, at every size of sets."""
+    rng = np.random.default_rng(3)
+    for size in (6, 40, 150, 1000):
+        missed = 0
+        for _ in range(300):
+            drawn = rng.integers(0, 1 << 63, size * 2, np.uint64) * np.uint64(2)
+            both = int(np.ceil(0.8 * size))
+            half = both + (size - both) // 2
+            keys, bits = shingles.sketch([np.sort(drawn[:half]), np.sort(np.concatenate([drawn[:both], drawn[half:size]]))])
+            alike = shingles.BINS - np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum(dtype=int)
+            missed += not ((keys[0] == keys[1]).any() and shingles._likely(0.8, alike))
+        assert missed <= 3
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((30, 16))
