@@ -11,8 +11,10 @@ A document's quality weight is the smoothed share of good ones among the labelle
 which is told by its numbers of words and of letters a word; without labels all weights are one half.
 
 Prefix sums run in two steps: rows are binned by their key, bins are summed and the sums accumulated, and
-only within a bin rows are put in order. The number of bins grows with the table, so a source that holds
-most rows spreads over many tasks.
+only within a bin rows are put in order. The share of keys below a key is known from the weights and how many rows have
+each, so bins hold as many rows as others whatever the weights; their number grows with the table, so a source that
+holds most rows spreads over many tasks. Rows of equal id and text share a key, and so a bin. The sources themselves are
+put in order in one task, a row each.
 
 Defined results: null and empty texts have size zero, are never taken and keep taken = 0; a null source
 is a source of its own, the last; keys are drawn by id and text, so rows that share an id or have none have
@@ -24,6 +26,8 @@ by ``apply``. No text is cut.
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +41,8 @@ MOST = 3.0
 BIN_ROWS = 20_000
 FILLS = 4
 SEED = "mix"
+#: Cells a doubling of the key in which the share of keys is drawn as a line, and the powers of two between which keys lie.
+CELLS, LOWEST, HIGHEST = 32, -50, 24
 
 
 def _kind(size: Column, n_chars: Column) -> Column:
@@ -47,7 +53,7 @@ def _kind(size: Column, n_chars: Column) -> Column:
 
 
 def _described(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size, n_chars, key): sizes in words, and the keys of the sampling."""
+    """(id, source, size, n_chars, weight, key): sizes in words, and the keys of the sampling."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long")
     seeded = F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text)
@@ -61,7 +67,19 @@ def _described(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col:
         rows = rows.join(F.broadcast(shares), "kind", "left")
         weight = F.coalesce("share", F.lit(0.5))
     u = (F.conv(F.substring("digest", 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    return rows.select("id", "source", "size", "n_chars", (-F.log(u) / weight).alias("key"))
+    return rows.select("id", "source", "size", "n_chars", weight.alias("weight"), (-F.log(u) / weight).alias("key"))
+
+
+def _bin(masses: list[tuple[float, int]], bins: int) -> Column:
+    """The bin of a key: the share of keys below it, where ``masses`` (weight, rows) tell how keys are spread, times ``bins``."""
+    total = sum(n for _, n in masses)
+    edges = [2.0 ** (k / CELLS) for k in range(LOWEST * CELLS, HIGHEST * CELLS + 1)]
+    below = [sum(n * (1 - exp(-w * x)) for w, n in masses) / total for x in edges] if total else [0.0] * len(edges)
+    cell = F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), F.floor(F.log2("key") * CELLS) - LOWEST * CELLS)).cast("int")
+    at = lambda values, k: F.element_at(F.lit(values), cell + k)
+    low, high = at(below, 1), at(below, 2)
+    share = low + (high - low) * (F.col("key") - at(edges, 1)) / (at(edges, 2) - at(edges, 1))
+    return F.floor(F.greatest(low, F.least(high, share)) * F.lit(bins - 1e-6))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -112,7 +130,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """(id, source, size, source_size, target, epochs, times, taken) of every row. ``labels`` (id, label) mark good documents with 1."""
     keyed = cut(_described(docs, labels, id_col, text_col, source_col))
     bins = max(64, -(-keyed.count() // bin_rows))
-    rows = cut(keyed.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins)))
+    # a weight is that of a kind, of which there are 320 at most
+    masses = [(r["weight"], r["n"]) for r in keyed.groupBy("weight").agg(F.count("*").alias("n")).collect()]
+    rows = cut(keyed.select("id", "source", "size", "n_chars", "key", _bin(masses, bins).alias("bin")))
     totals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     totals = cut(totals.withColumn("epochs", epochs.cast("int")).withColumn("gap", F.col("target") - F.col("epochs") * F.col("source_size")))

@@ -53,6 +53,8 @@ GENERATORS = {
 #: The share of candidates that pass their rule, among those a threshold selects.
 PRECISION = 0.9
 FOLDS = 2
+#: Combinations of features told apart at most.
+COMBINATIONS = 50_000
 FEATURES = ["kind", "groups", "marks", "head", "left", "right", "cue", "long"]
 _AROUND = 24
 
@@ -155,6 +157,19 @@ def candidates(docs: DataFrame, keys: list[str], text_col: str = "text") -> Data
     return described.select("row", *keys, "kind", "base", "valid", "passes", "fold", "start", "stop", *[f"f_{n}" for n in FEATURES])
 
 
+def _combinations(proposed: DataFrame, names: list[str], most: int = COMBINATIONS) -> DataFrame:
+    """(fold, names, n, ones): how often each combination of features occurs, and passes.
+
+    Those that hold less than one in ``most`` of the candidates are merged by kind, fold and their second feature, the
+    others being put to their least value; so no more than ``most`` and those merged reach the driver, whatever the corpus.
+    """
+    counted = cut(proposed.groupBy("fold", *names).agg(F.count("*").alias("n"), F.count_if("passes").alias("ones")))
+    total, *least = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), *[F.coalesce(F.min(n), F.lit(0)) for n in names]).first()
+    rare = F.col("n") < total / most
+    merged = [F.when(rare & F.lit(k > 1), F.lit(low)).otherwise(F.col(n)).alias(n) for k, (n, low) in enumerate(zip(names, least))]
+    return counted.select("fold", *merged, "n", "ones").groupBy("fold", *names).agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+
+
 def decided(docs: DataFrame, keys: list[str], text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """(keys, row, spans): an array of (start, order, stop, kind, base, reach) a row, sorted; base spans and what the model adds.
 
@@ -163,8 +178,7 @@ def decided(docs: DataFrame, keys: list[str], text_col: str = "text", precision:
     found = cut(candidates(docs, keys, text_col))
     names = [f"f_{n}" for n in FEATURES]
     proposed = found.where("not base")
-    counted = proposed.groupBy("fold", *names).agg(F.count("*").alias("n"), F.count_if("passes").alias("ones")).collect()
-    # at most the product of the features' values, some ten thousand
+    counted = _combinations(proposed, names).collect()
     folds = [[(tuple(r[n] for n in names), r["n"], r["ones"]) for r in counted if r["fold"] == k] for k in range(FOLDS)]
     chosen = proposed.where("false")
     rank = F.create_map(*[F.lit(x) for pair in enumerate((*KINDS, *MORE_KINDS)) for x in (pair[1], pair[0])])

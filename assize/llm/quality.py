@@ -6,7 +6,8 @@ most of them out; the rest are compiled into one Spark expression, so scoring ru
 
 Defined results: null texts count as empty, and empty texts have a score like any other; repeated rows and
 ties score alike; an empty table gives an empty table; without labels of both kinds the score is the share
-of label 1, or one half without any. Labels are read by id alone; extra columns are ignored.
+of label 1, or one half without any. Labels are read by id alone, the largest of several of an id; of several rows of an
+id that of the least statistics is learned from; equal texts of unlike labels are examples each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,11 +156,17 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     ids = marked.orderBy(F.xxhash64("id"), "id").limit(max_rows).select(F.col("id").alias("label_id"), F.col("label").alias("label_value"))
     texts = docs.select(id_col, text_col)
     sample = texts.join(F.broadcast(ids), texts[id_col] == F.col("label_id"))
-    rows = described(sample, [id_col, "label_value"], text_col).orderBy(F.xxhash64(id_col), *NAMES).collect()
+    # one row a label, however many rows have its id
+    one = described(sample, [id_col, "label_value"], text_col).groupBy(id_col, "label_value").agg(F.min(F.struct(*NAMES)).alias("row"))
+    rows = one.orderBy(F.xxhash64(id_col)).select("label_value", "row.*").collect()
     return fit(np.array([[float(r[n]) for n in NAMES] for r in rows]).reshape(-1, len(NAMES)), np.array([float(r["label_value"]) for r in rows]))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its score, learned from labels whose crc32(doc_id) mod 4 is not 2; null texts count as empty.
+
+    A null doc_id is of remainder 0 and has no label; rows of one id are scored each by its own text.
+    """
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     part = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(0)) % 4
     learn = labels.where(part("doc_id") != 2).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))

@@ -402,12 +402,14 @@ def fit_logistic(rows: list[list[int]], y: np.ndarray, size: int, ridge: float =
 def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS, significant: float = SIGNIFICANT) -> ToxicModel:
     """A model of ``labels`` (id, label): features are those that tell the labels apart beyond chance.
 
-    Equal texts are one example, of the largest of their labels. What reaches the driver is bounded by ``max_rows``.
+    Equal texts are one example, of the largest of their labels; of several texts of an id one is learned from. What
+    reaches the driver is bounded by ``max_rows``.
     """
     marked = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     ids = marked.orderBy(F.xxhash64(F.col("id")), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(ids), "id").groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.max("label").cast("int").alias("label"))
+    one = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min(F.struct(F.md5("text").alias("key"), "text")).alias("row"), F.max("label").alias("label"))
+    sample = one.groupBy("row.key").agg(F.first("row.text").alias("text"), F.max("label").cast("int").alias("label"))
     three = docs.sparkSession.sparkContext.broadcast(chars.three)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
