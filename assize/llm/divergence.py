@@ -7,8 +7,9 @@ p = 1 + floor(10^9 (n + 1) / (N + V)), and f = floor((p - q)^2 / q) measures p a
 kept terms, with q from another source of the language; part ``term`` lists the terms that a source uses and whose p is
 above the q of the whole language, best first, ``top`` of them.
 
-Every task counts its own documents first, so a source or a term that holds most rows reaches the shuffle as a row a
-task. Terms are dealt to blocks by hash, as many as the counts ask for. A block of a language is one dense tile of
+Every task counts its own documents first, so a source or a term that holds most rows reaches the shuffle as an entry a
+task; entries travel packed, a row for each group and block of terms. Terms are dealt to blocks by hash, as many as the
+texts' bytes ask for. A block of a language is one dense tile of
 int64, groups by terms: all pairs of groups are compared by broadcasting, a bounded number of cells at a time. Blocks
 give partial matrices of pairs, which are summed, and the best terms of every group, which are merged. All arithmetic is
 exact: products stay below 2^63 as long as no term occurs 9 x 10^15 times. A language's groups stand together in a tile,
@@ -22,6 +23,7 @@ an empty table gives an empty table; extra columns are ignored. Texts are read w
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,13 +36,14 @@ from pyspark.sql import functions as F
 from assize.session import cut
 
 LEAST_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
-#: Distinct (group, term) that a task counts before it hands them on; rows of a block on average; cells compared at once.
-HELD, BLOCK_ROWS, CELLS = 300_000, 20_000, 1 << 20
+#: Distinct (group, term) that a task counts before it hands them on; bytes of text a block stands for; cells compared at once.
+HELD, BLOCK_BYTES, CELLS = 500_000, 8_000_000, 1 << 20
 
 #: ASCII letters in lower case and all bytes beyond ASCII stay; any other byte parts terms.
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-_COUNTS = "lang string, source string, term string, n long, docs long"
+_COUNTS = "lang string, block int, source string, terms binary, numbers binary"
+_TILE = "lang string, block int, sources array<string>, totals array<long>, kept long, terms binary, counts binary"
 _OUT = "lang string, source string, part string, item string, value long"
 _OUT_SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
@@ -50,32 +53,42 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERM_BYTES).split()
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of batches of (lang, source, text), summed within the task."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def flushed() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            listed = list(n)
-            for k in range(0, len(listed), 50_000):
-                part = listed[k : k + 50_000]
-                columns = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([n[t] for t in part], pa.int64()), pa.array([docs[t] for t in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
-        held.clear()
-
-    size = 0
-    for batch in batches:
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            before = len(n)
-            found = Counter(terms(text.as_buffer().to_pybytes()))
-            n.update(found)
-            docs.update(found.keys())
-            size += len(n) - before
-            if size > HELD:
-                yield from flushed()
-                size = 0
-    yield from flushed()
+def _counted(blocks: int):
+    """(lang, block, source, terms, numbers) of batches of (lang, source, text), summed within the task; numbers are occurrences, then documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), counts in held.items():
+                at = np.array([zlib.crc32(t) for t in counts], np.int64) % blocks
+                order = np.argsort(at, kind="stable")
+                listed, packed = list(counts), np.array(list(counts.values()), np.int64)
+                ends = np.flatnonzero(np.diff(at[order], append=-1)) + 1
+                rows = []
+                for x, y in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    some = order[x:y]
+                    numbers = np.concatenate([packed[some] >> 31, packed[some] & 0x7FFFFFFF])
+                    rows.append((int(at[some[0]]), zlib.compress(b" ".join([listed[k] for k in some.tolist()]), 1), zlib.compress(numbers.tobytes(), 1)))
+                columns = [pa.array([lang] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([source] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "block", "source", "terms", "numbers"])
+            held.clear()
+
+        size = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                counts = held.setdefault((lang, source), {})
+                before = len(counts)
+                # occurrences and documents in one number
+                for term, n in Counter(terms(text.as_buffer().to_pybytes())).items():
+                    counts[term] = counts.get(term, 0) + (n << 31) + 1
+                size += len(counts) - before
+                if size > HELD:
+                    yield from flushed()
+                    size = 0
+        yield from flushed()
+
+    return run
 
 
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -104,57 +117,78 @@ def pair_sums(p: np.ndarray) -> np.ndarray:
     return sums
 
 
-def _tile(least_docs: int, top: int):
-    """Drops a block's rare terms; the first row of each kept term is marked."""
+def _tile(least_docs: int):
+    """Entries of a block as one dense tile of the terms that are kept."""
 
     def run(group: pa.Table) -> pa.Table:
-        term, docs = group.column("term").combine_chunks().dictionary_encode(), group.column("docs").to_numpy()
-        code = term.indices.to_numpy()
-        kept = np.bincount(code, docs, len(term.dictionary)) >= least_docs
-        at = np.flatnonzero(kept[code])
-        first = np.zeros(len(at), bool)
-        first[np.unique(code[at], return_index=True)[1]] = True
-        return group.select(["lang", "block", "source", "term", "n"]).take(pa.array(at)).append_column("first", pa.array(first))
-
-    def compare(rows: pa.Table, groups: pa.Table) -> pa.Table:
-        lang, kept_terms = groups.column("lang")[0], groups.column("kept")[0].as_py()
+        names, place = group.column("source").combine_chunks().dictionary_encode(), {}
+        parts = []
+        for source, raw, numbers in zip(names.indices.to_pylist(), group.column("terms"), group.column("numbers")):
+            listed = zlib.decompress(raw.as_buffer()).split(b" ")
+            at = np.array([place.setdefault(t, len(place)) for t in listed])
+            parts.append((source, at, np.frombuffer(zlib.decompress(numbers.as_buffer()), np.int64).reshape(2, -1)))
+        counts, docs = np.zeros((len(names.dictionary), len(place)), np.int64), np.zeros(len(place), np.int64)
+        for source, at, numbers in parts:
+            counts[source, at] += numbers[0]
+            docs[at] += numbers[1]
+        kept = docs >= least_docs
+        counts = counts[:, kept]
+        listed = b" ".join([t for t, k in zip(place, kept.tolist()) if k])
+        row = {"lang": group.column("lang")[0].as_py(), "block": group.column("block")[0].as_py(), "sources": names.dictionary.to_pylist(), "totals": counts.sum(axis=1).tolist(), "kept": counts.shape[1], "terms": zlib.compress(listed, 1), "counts": zlib.compress(counts.tobytes(), 1)}
+        return pa.Table.from_pylist([row], _TILE_SCHEMA)
+
+    return run
+
+
+_TILE_SCHEMA = pa.schema([("lang", pa.string()), ("block", pa.int32()), ("sources", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("kept", pa.int64()), ("terms", pa.binary()), ("counts", pa.binary())])
+
+
+def _compared(top: int):
+    """A tile's partial sums of pairs, and the best terms of its groups; a language without a tile there gives zeros."""
+
+    def run(tiles: pa.Table, groups: pa.Table) -> pa.Table:
+        lang, kept_terms = groups.column("at_lang")[0].as_py(), groups.column("all_kept")[0].as_py()
         sources = [g["source"] for g in groups.column("groups")[0].as_py()]
         totals = np.array([g["total"] for g in groups.column("groups")[0].as_py()], np.int64)
-        term = rows.column("term").combine_chunks().dictionary_encode()
-        place = {s: k for k, s in enumerate(sources)}
-        counts = np.zeros((len(sources), len(term.dictionary)), np.int64)
-        counts[[place[s] for s in rows.column("source").to_pylist()], term.indices.to_numpy()] = rows.column("n").to_numpy()
+        names, size = [], 0
+        if tiles.num_rows:
+            names, size = zlib.decompress(tiles.column("terms")[0].as_buffer()).split(), tiles.column("kept")[0].as_py()
+        counts = np.zeros((len(sources), size), np.int64)
+        if size:
+            place = {s: k for k, s in enumerate(sources)}
+            rows = [place[s] for s in tiles.column("sources")[0].as_py()]
+            counts[rows] = np.frombuffer(zlib.decompress(tiles.column("counts")[0].as_buffer()), np.int64).reshape(len(rows), size)
         p, q = shares(counts, totals[:, None] + kept_terms), shares(counts.sum(axis=0), totals.sum() + kept_terms)
-        out: list[tuple] = []
         sums = pair_sums(p)
-        out += [(s, "pair", t, int(sums[g, h])) for g, s in enumerate(sources) for h, t in enumerate(sources) if g != h]
-        names = [t.encode() for t in term.dictionary.to_pylist()]
+        out: list[tuple] = [(s, "pair", t, int(sums[g, h])) for g, s in enumerate(sources) for h, t in enumerate(sources) if g != h]
         for g, s in enumerate(sources):
             at = np.flatnonzero((counts[g] > 0) & (p[g] > q))
-            best = heapq.nsmallest(top, zip((-_measured(p[g, at], q[at])).tolist(), (names[k] for k in at)))
-            out += [(s, "term", t.decode(), -f) for f, t in best]
+            f = _measured(p[g, at], q[at])
+            if len(at) > top:  # what is below the last value that can be among the first goes
+                strong = f >= np.partition(f, len(f) - top)[len(f) - top]
+                at, f = at[strong], f[strong]
+            best = heapq.nsmallest(top, zip((-f).tolist(), (names[k] for k in at)))
+            out += [(s, "term", t.decode(), -v) for v, t in best]
         columns = list(zip(*out)) or [[], [], [], []]
-        return pa.Table.from_arrays([pa.array([lang.as_py()] * len(out), pa.string()), *(pa.array(c, _OUT_SCHEMA.field(k + 1).type) for k, c in enumerate(columns))], schema=_OUT_SCHEMA)
+        return pa.Table.from_arrays([pa.array([lang] * len(out), pa.string()), *(pa.array(c, _OUT_SCHEMA.field(k + 1).type) for k, c in enumerate(columns))], schema=_OUT_SCHEMA)
 
-    return run, compare
+    return run
 
 
-def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, source, part, item, value, rank) of every group of ``docs``; see the module."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    counted = cut(rows.mapInArrow(_counted, _COUNTS))
-    blocks = max(1, -(-counted.count() // block_rows))
-    keep, compare = _tile(least_docs, top)
-    dealt = counted.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")).repartition("lang", "block")
-    summed = dealt.groupBy("lang", "block", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    kept = cut(summed.groupBy("lang", "block").applyInArrow(keep, "lang string, block int, source string, term string, n long, first boolean"))
-    every = rows.select("lang", "source").distinct().withColumns({"n": F.lit(0).cast("long"), "first": F.lit(False)})
-    totals = kept.select("lang", "source", "n", "first").union(every).groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("first").alias("kept"))
-    by_lang = totals.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("groups"), F.sum("kept").alias("kept"))
-    spread = by_lang.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = kept.groupBy("lang", "block").cogroup(spread.groupBy("lang", "block")).applyInArrow(compare, _OUT)
-    parts = cut(found)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    tiles = cut(rows.mapInArrow(_counted(blocks), _COUNTS).groupBy("lang", "block").applyInArrow(_tile(least_docs), _TILE))
+    found = tiles.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("g")).select("lang", "g.sources", "g.totals")
+    every = rows.select("lang", F.col("source").alias("sources")).distinct().withColumn("totals", F.lit(0).cast("long"))
+    totals = found.union(every).groupBy("lang", F.col("sources").alias("source")).agg(F.sum("totals").alias("total"))
+    kept = tiles.groupBy("lang").agg(F.sum("kept").alias("kept"))
+    by_lang = totals.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("groups")).join(kept, "lang", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    spread = by_lang.select(F.col("lang").alias("at_lang"), "groups", F.col("kept").alias("all_kept"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("at_block"))
+    parts = cut(tiles.groupBy("lang", "block").cogroup(spread.groupBy("at_lang", "at_block")).applyInArrow(_compared(top), _OUT))
     pairs = parts.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     ranked = W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     return pairs.withColumn("rank", F.row_number().over(ranked)).union(parts.where("part = 'term'").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top))
