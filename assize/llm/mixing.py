@@ -42,7 +42,7 @@ BIN_ROWS = 20_000
 FILLS = 4
 SEED = "mix"
 #: Cells a doubling of the key in which the share of keys is drawn as a line, and the powers of two between which keys lie.
-CELLS, LOWEST, HIGHEST = 32, -50, 24
+CELLS, LOWEST, HIGHEST = 16, -50, 24
 
 
 def _kind(size: Column, n_chars: Column) -> Column:
@@ -76,7 +76,8 @@ def _bin(masses: list[tuple[float, int]], bins: int) -> Column:
     edges = [2.0 ** (k / CELLS) for k in range(LOWEST * CELLS, HIGHEST * CELLS + 1)]
     below = [sum(n * (1 - exp(-w * x)) for w, n in masses) / total for x in edges] if total else [0.0] * len(edges)
     cell = F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), F.floor(F.log2("key") * CELLS) - LOWEST * CELLS)).cast("int")
-    at = lambda values, k: F.element_at(F.lit(values), cell + k)
+    table = lambda values: F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")  # noqa: E731  one literal, not one a value
+    at = lambda values, k: F.element_at(table(values), cell + k)
     low, high = at(below, 1), at(below, 2)
     share = low + (high - low) * (F.col("key") - at(edges, 1)) / (at(edges, 2) - at(edges, 1))
     return F.floor(F.greatest(low, F.least(high, share)) * F.lit(bins - 1e-6))

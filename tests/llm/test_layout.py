@@ -180,3 +180,17 @@ def test_stages_keep_clashing_columns(spark, odd, folder):
         out = stage(spark, docs, folder).cache()
         assert set(docs.columns) - {"text"} <= set(out.columns), name
         assert out.count() and all(r[n] == n for r in out.select(*names).collect() for n in names), name
+
+
+def test_bins_of_keys_are_even(spark):
+    """With weights a hundred times apart no bin of keys holds much more than others, the last ones least of all."""
+    from math import exp
+
+    weights = [0.02, 0.05, 0.5, 0.9, 0.9, 2.0]
+    u = (F.rand(3) * 0.999999 + 5e-7).alias("u")
+    rows = spark.range(60_000).select(u, F.element_at(F.lit(weights), (F.col("id") % len(weights) + 1).cast("int")).alias("weight")).withColumn("key", -F.log("u") / F.col("weight"))
+    masses = [(r["weight"], r["n"]) for r in rows.groupBy("weight").agg(F.count("*").alias("n")).collect()]
+    counted = rows.groupBy(mixing._bin(masses, 300).alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).orderBy("bin").collect()
+    assert len(counted) > 290 and max(r["n"] for r in counted) < 2 * 200
+    assert all(x["b"] < y["a"] for x, y in zip(counted, counted[1:]))
+    assert exp(-counted[-1]["a"] * 0.02) < 0.1

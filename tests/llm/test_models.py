@@ -1,5 +1,6 @@
 """Toxicity, quality and pieces: held-out accuracy, restored words, exact round trips."""
 
+import math
 import random
 from collections import Counter
 
@@ -166,3 +167,37 @@ def test_samples_follow_weights():
     for key, weight in weights.items():
         share = weight / total
         assert abs(seen[key] / 20_000 - share) < 5 * np.sqrt(share * (1 - share) / 20_000) + 1e-4
+
+
+def test_statistics_and_scores_by_hand(spark):
+    """Statistics, rules and scores of texts against plain Python."""
+    texts = ["", "One two two three.\nOne two two three.", "LOUD!!! <b>9 9</b>", "a b c d e f g", None]
+    rows = quality.described(table(spark, list(enumerate(texts))), ["doc_id"]).collect()
+    model = quality.RuleModel(-0.25, (((("upper", True, 0.1),), 1.5), ((("log_words", False, 1.2), ("digits", True, 0.05)), -2.0)))
+    scores = {r["doc_id"]: r["score"] for r in quality.described(table(spark, list(enumerate(texts))), ["doc_id"]).select("doc_id", model.column().alias("score")).collect()}
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        words, lines, n = text.split(), text.split("\n"), max(len(text), 1)
+        want = {
+            "log_words": math.log1p(len(words)), "chars_per_word": len(text) / max(len(words), 1), "distinct_words": len(set(words)) / max(len(words), 1),
+            "repeated_words": sum(a == b for a, b in zip(words, words[1:])) / max(len(words), 1), "upper": sum(c.isupper() for c in text) / n, "signs": sum(c in "#$%&*+/<=>@\\^_`|~" for c in text) / n,
+            "shouts": sum(c in "!?" for c in text) / n, "stops": sum(c in ".,;:" for c in text) / n, "digits": sum(c in "0123456789" for c in text) / n, "distinct_lines": len(set(lines)) / len(lines), "words_per_line": len(words) / len(lines),
+        }
+        for name, value in want.items():
+            assert r[name] == pytest.approx(value), (name, text)
+        z = model.intercept + sum(w for rule, w in model.rules if all((want[c] > t) == above for c, above, t in rule))
+        assert scores[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_one_row_a_label(spark):
+    """However many rows have an id, one of them is learned from."""
+    docs = table(spark, [(1, f"text number {k}") for k in range(500)] + [(2, "another"), (3, "another")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "id long, label int")
+    seen = []
+    kept = quality.fit
+    try:
+        quality.fit = lambda x, y: seen.append((x.shape, sorted(y.tolist()))) or kept(x, y)
+        quality.trained(docs, labels)
+    finally:
+        quality.fit = kept
+    assert seen == [((3, len(quality.NAMES)), [0.0, 1.0, 1.0])]
