@@ -62,10 +62,13 @@ def institutional(df: DataFrame, name: str, structural: DataFrame, prefixes: tup
 
 
 def co_members(links: DataFrame, case: list[str], member: str) -> DataFrame:
-    """Per member: how many cases and other members it shares them with. A side of a case is small; pairs are distinct."""
-    rows = links.select(*case, member).distinct()
-    other = rows.withColumnRenamed(member, "_other")
-    pairs = rows.join(other, case).where(F.col(member) != F.col("_other"))
+    """Per member: how many sides of cases it is on, and how many other members it shares one with. A side that is not known is a side of its own."""
+    rows = links.where(F.col(member).isNotNull()).select(*case, member).distinct()
+    other = rows.toDF(*[f"_{c}" for c in case], "_other")
+    same = F.col(member) != F.col("_other")
+    for c in case:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    pairs = rows.join(other, same)
     with_ = pairs.groupBy(member).agg(F.count_distinct("_other").alias("others"))
     return rows.groupBy(member).agg(F.count("*").alias("cases")).join(with_, member, "left").select(member, "cases", F.coalesce("others", F.lit(0)).alias("others"))
 

@@ -16,15 +16,17 @@ def distribution(df: DataFrame, by: list[str], value: str, n: str | None = None,
 def edge_activity(edges: DataFrame, events: DataFrame, edge: str, case: str, side: str, member: str, kind: str, date: str) -> DataFrame:
     """Per edge: events, their kinds, first and last day and the days between, and how many other edges stand on its side of the case.
 
-    An edge without a member is no companion, but has all members of its side for companions. They are the side's members less the edge's own: two counts,
-    no pairs, so a crowded side is no larger than its rows.
+    An edge without a member is no companion, but has all members of its side for companions; a side that is not known is a side of its own.
+    Companions are the side's members less the edge's own: two counts, no pairs, so a crowded side is no larger than its rows.
     """
     seen = events.groupBy(edge).agg(F.count("*").alias("events"), F.min(date).alias("first_day"), F.max(date).alias("last_day"))
     kinds = distribution(events, [edge], kind, name="kinds")
-    known = edges.where(F.col(member).isNotNull())
-    own = known.groupBy(case, side, member).agg(F.count("*").alias("_own"))
-    every = own.groupBy(case, side).agg(F.sum("_own").alias("_every"))
-    out = edges.join(seen, edge, "left").join(kinds, edge, "left").join(every, [case, side], "left").join(own, [case, side, member], "left")
+    known = edges.where(F.col(member).isNotNull()).select(F.col(case).alias("_case"), F.col(side).alias("_side"), F.col(member).alias("_member"))
+    own = known.groupBy("_case", "_side", "_member").agg(F.count("*").alias("_own"))
+    every = own.groupBy("_case", "_side").agg(F.sum("_own").alias("_every"))
+    here = lambda t: (F.col(case) == F.col(f"{t}._case")) & F.col(side).eqNullSafe(F.col(f"{t}._side"))
+    out = edges.join(seen, edge, "left").join(kinds, edge, "left")
+    out = out.join(every.alias("e"), here("e"), "left").join(own.alias("o"), here("o") & (F.col(member) == F.col("o._member")), "left")
     return out.select(
         edge, member, F.coalesce("events", F.lit(0)).alias("events"), "kinds", "first_day", "last_day",
         F.coalesce(F.datediff("last_day", "first_day"), F.lit(0)).alias("span_days"), (F.coalesce("_every", F.lit(0)) - F.coalesce("_own", F.lit(0))).alias("companions"),

@@ -18,9 +18,10 @@ def rarity(
     A value's rarity is one less its share of the group; where the group has two members and ``loo_rows`` rows,
     the row's own member's rows are left out of it, and with them its distributions. The dimension ``by_stratum``
     is held against the rows of the same ``stratum`` if these are ``least_stratum``, else against the group; the
-    pair of both counts as a dimension of its own. Dimensions that a rule of procedure explains (``suppressed``:
-    a condition each) are left out, as are shares of ``noise`` or more unless all are. A few rows behind a score,
-    or a single dimension, make it inconclusive.
+    pair of both counts as a dimension of its own. Shares of ``noise`` or more are left out first, unless all are;
+    then dimensions that a rule of procedure explains (``suppressed``: a condition each, under ``pair`` that of the pair).
+    Where none is left all dimensions count, noise too. Few rows behind a score, a single dimension, or any that was
+    suppressed make it inconclusive.
 
     Rows are counted by their combination of values; all shares come from these counts, and one join hands the
     scores back.
@@ -40,18 +41,21 @@ def rarity(
     sets = {d: [d] for d in dims} | ({"_stratum": [stratum], "_pair": [stratum, by_stratum]} if stratum else {})
     for name, by in sets.items():
         cells = cells.withColumns({f"all_{name}": total(*group, *by), f"own_{name}": total(*group, member, *by)})
-    shown = [F.when(F.col(d).isNotNull() & ~F.col(f"no_{d}") if d in rules else F.col(d).isNotNull(), rest(f"all_{d}", f"own_{d}") / F.col("base_n")) for d in dims if d != by_stratum]
+    part = lambda d, known, share: F.when(known, F.struct(share.alias("p"), (F.col(f"no_{d}") if d in rules else F.lit(False)).alias("explained")))
+    shown = [part(d, F.col(d).isNotNull(), rest(f"all_{d}", f"own_{d}") / F.col("base_n")) for d in dims if d != by_stratum]
     if stratum:
         enough = rest("all__stratum", "own__stratum") >= least_stratum
         share = F.when(enough, rest("all__pair", "own__pair") / rest("all__stratum", "own__stratum")).otherwise(rest(f"all_{by_stratum}", f"own_{by_stratum}") / F.col("base_n"))
-        known = F.col(by_stratum).isNotNull() & (~F.col(f"no_{by_stratum}") if by_stratum in rules else F.lit(True))
-        shown += [F.when(known, share), F.when(known & F.col(stratum).isNotNull(), share)]
+        known = F.col(by_stratum).isNotNull()
+        shown += [part(by_stratum, known, share), part("pair", known & F.col(stratum).isNotNull(), share)]
     cells = cells.withColumn("shares", F.array_compact(F.array(*shown)))
-    sharp = F.filter("shares", lambda p: p < noise)
-    used = F.when(F.size(sharp) > 0, sharp).otherwise(F.col("shares"))
-    score = 1 - F.aggregate(used, F.lit(0.0), lambda s, p: s + p) / F.size(used)
-    kind = F.when((F.col("base_n") < conclusive) | (F.size(used) < 2), "inconclusive").otherwise("atypical")
-    scored = cells.where(F.size("shares") > 0).select(*[F.col(c).alias(f"c_{c}") for c in kinds], "group_n", "base_n", F.size(used).alias("dims_used"), F.bround(score, 6).alias("score"), kind.alias("kind"))
+    sharp = F.filter("shares", lambda x: x["p"] < noise)
+    cells = cells.withColumn("kept", F.when(F.size(sharp) > 0, sharp).otherwise(F.col("shares")))
+    left = F.filter("kept", lambda x: ~x["explained"])
+    cells = cells.withColumns({"used": F.when(F.size(left) > 0, left).otherwise(F.col("shares")), "noted": F.size(left) < F.size("kept")})
+    score = 1 - F.aggregate("used", F.lit(0.0), lambda s, x: s + x["p"]) / F.size("used")
+    kind = F.when((F.col("base_n") < conclusive) | (F.size("used") < 2) | F.col("noted"), "inconclusive").otherwise("atypical")
+    scored = cells.where(F.size("shares") > 0).select(*[F.col(c).alias(f"c_{c}") for c in kinds], "group_n", "base_n", F.size("used").alias("dims_used"), F.bround(score, 6).alias("score"), kind.alias("kind"))
     same = F.lit(True)
     for c in kinds:
         same = same & F.col(c).eqNullSafe(F.col(f"c_{c}"))

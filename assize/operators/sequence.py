@@ -108,27 +108,39 @@ def changes(df: DataFrame, by: list[str], order: list[str], member: str) -> Data
     return rows.where(F.col(member).isNotNull() & F.col("previous").isNotNull() & (F.col(member) != F.col("previous")))
 
 
-def after_change(df: DataFrame, by: list[str], order: list[str], member: str, value: str, least: int = 3, flag_delta: float = 0.15) -> DataFrame:
-    """For each change of member: rows and rate of the new member from there to the key's end, against all it decides anywhere.
+def after_change(df: DataFrame, by: list[str], order: list[str], member: str, value: str, outcome: str, least: int = 3, flag_delta: float = 0.15) -> DataFrame:
+    """For each change of member: outcomes and rate of the new member from there to the key's end, against all it decides anywhere.
+
+    All rows with an ``outcome`` count, and for the flag's ``least``; the rate is that of the rows with a ``value``.
 
     Counts run from the back of each (key, member), so nothing is joined with its own history.
     """
     rows = df.withColumn("seq", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
     back = W.partitionBy(*by, member).orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
-    summed = rows.withColumns({"_n": F.count(value).over(back), "_s": F.sum(value).over(back)})
+    summed = rows.withColumns({"_n": F.count(outcome).over(back), "_v": F.count(value).over(back), "_s": F.sum(value).over(back)})
     turned = changes(summed, by, order, member)
     base = df.where(F.col(value).isNotNull()).groupBy(F.col(member).alias("new_member")).agg(F.avg(value).alias("_base"))
-    out = turned.select(*by, F.col("seq").alias("from_seq"), F.col(member).alias("new_member"), "previous", F.col("_n").alias("n"), (F.col("_s") / F.when(F.col("_n") > 0, F.col("_n"))).alias("_rate")).join(base, "new_member", "left")
+    out = turned.select(*by, F.col("seq").alias("from_seq"), F.col(member).alias("new_member"), "previous", F.col("_n").alias("n"), (F.col("_s") / F.when(F.col("_v") > 0, F.col("_v"))).alias("_rate")).join(base, "new_member", "left")
     delta = F.bround(F.col("_rate") - F.col("_base"), 6)
     flag = F.coalesce((delta > flag_delta) & (F.col("n") >= least), F.lit(False))
     return out.select(*by, "from_seq", "new_member", "previous", "n", F.bround("_rate", 6).alias("rate"), delta.alias("delta"), flag.alias("red_flag"))
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, points: list[float], least: int = 10) -> DataFrame:
-    """Exact interpolated percentiles per key, in columns p5, p50 and so on."""
-    names = [f"p{p * 100:g}" for p in points]
-    out = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, F.array(*[F.lit(p) for p in points])).alias("ps"))
-    return out.where(F.col("n") >= least).select(*by, "n", *[F.col("ps")[k].alias(name) for k, name in enumerate(names)])
+    """Exact interpolated percentiles per key, in columns p5, p50 and so on.
+
+    Equal values are counted before they are shuffled, and running counts tell where a percentile lies, so no buffer holds a key's values.
+    """
+    order, key = W.partitionBy(*by).orderBy("_x").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    placed = counted.withColumns({"_upto": F.sum("_n").over(order), "_all": F.sum("_n").over(key)}).where(F.col("_all") >= least)
+    out = [F.sum("_n").alias("n")]
+    for p in points:
+        at = F.lit(p) * (F.col("_all") - 1)
+        low, high = (F.min(F.when(F.col("_upto") > part, F.col("_x"))) for part in (F.floor(at), F.ceil(at)))
+        share = F.max(at - F.floor(at))
+        out.append((low + (high - low) * share).alias(f"p{p * 100:g}"))
+    return placed.groupBy(*by).agg(*out)
 
 
 def percentile_flags(df: DataFrame, by: list[str], value: str, low: float = 0.05, high: float = 0.95, least: int = 10) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assize.functions import rules, stats, text
@@ -80,8 +79,8 @@ SELECT member, cls, y, n, round_even(r - p0, 6)::DOUBLE AS delta, round_even(pow
 def red_flag_power(spark, folder):
     """Rates of members by class and year against the overall rate, and how surely so many rows would show a rise of 0.15."""
     rows = decisions(spark, folder).where("fav is not null")
-    every = W.partitionBy(F.lit(0))  # a row a group
-    out = rows.groupBy("member", "cls", "y").agg(F.count("*").alias("n"), F.sum("fav").alias("f")).withColumn("p0", F.sum("f").over(every) / F.sum("n").over(every))
+    overall = rows.agg(F.avg("fav").alias("p0"))
+    out = rows.groupBy("member", "cls", "y").agg(F.count("*").alias("n"), F.sum("fav").alias("f")).join(F.broadcast(overall))
     out = out.withColumn("exact", stats.proportion_power(F.col("n"), F.col("p0"))).withColumn("delta", F.bround(F.col("f") / F.col("n") - F.col("p0"), 6))
     return out.select("member", "cls", "y", "n", "delta", F.bround("exact", 4).alias("power"), stats.power_label(F.col("exact")).alias("confidence"), ((F.col("delta") > 0.15) & (F.col("n") >= 3)).alias("red_flag"))
 

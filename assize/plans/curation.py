@@ -42,10 +42,12 @@ def institutional_names(spark, folder):
     return curation.institutional(rows, "s_name", rows.where("s_acctbal > 5000").select(F.lower("s_name").alias("name")), ("SUPPLIER#00000001", "SUPPLIER_1")).select("s_suppkey", "basis")
 
 
-@R.add("""WITH l AS (SELECT DISTINCT l_orderkey, l_returnflag, l_suppkey FROM lineitem), p AS (SELECT a.l_suppkey, count(DISTINCT b.l_suppkey) AS others FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.l_suppkey <> b.l_suppkey GROUP BY ALL)
+@R.add("""WITH l AS (SELECT DISTINCT l_orderkey, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS l_returnflag, l_suppkey FROM lineitem), p AS (SELECT a.l_suppkey, count(DISTINCT b.l_suppkey) AS others FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag IS NOT DISTINCT FROM b.l_returnflag AND a.l_suppkey <> b.l_suppkey GROUP BY ALL)
 SELECT l_suppkey, count(*) AS cases, coalesce(any_value(others), 0) AS others FROM l LEFT JOIN p USING (l_suppkey) GROUP BY l_suppkey""")
 def co_members(spark, folder):
-    return curation.co_members(read_table(spark, folder, "lineitem"), ["l_orderkey", "l_returnflag"], "l_suppkey")
+    """Suppliers on a side of an order, of which one is not known."""
+    side = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    return curation.co_members(read_table(spark, folder, "lineitem").withColumn("l_returnflag", side), ["l_orderkey", "l_returnflag"], "l_suppkey")
 
 
 @R.add("""WITH y AS (SELECT l_suppkey, year(l_shipdate)::INT AS y, count(*) AS n, sum(l_extendedprice) AS p FROM lineitem GROUP BY ALL)

@@ -44,16 +44,18 @@ _RARITY = f"""WITH {DECISIONS}, dh AS (SELECT *, month(d) <= 6 AS half FROM dec)
   count(*) OVER (PARTITION BY theme, y, cls) AS ac, count(*) OVER (PARTITION BY theme, y, member, cls) AS oc, count(*) OVER (PARTITION BY theme, y, cls, outcome) AS ap, count(*) OVER (PARTITION BY theme, y, member, cls, outcome) AS op FROM dh),
 m AS (SELECT theme, y, count(DISTINCT member) AS members FROM dec GROUP BY ALL), b AS (SELECT w.*, (members >= 2 AND group_n >= 10) AS wo FROM w JOIN m USING (theme, y) WHERE group_n BETWEEN 5 AND 5000),
 s AS (SELECT *, CASE WHEN wo THEN group_n - own_n ELSE group_n END AS base_n, CASE WHEN wo THEN ac - oc ELSE ac END AS cn FROM b),
-p AS (SELECT *, CASE WHEN NOT (cls = '1-URGENT') THEN (CASE WHEN wo THEN ah - oh ELSE ah END) / base_n END AS p1, CASE WHEN cn >= 5 THEN (CASE WHEN wo THEN ap - op ELSE ap END) / cn ELSE (CASE WHEN wo THEN ao - oo ELSE ao END) / base_n END AS p2 FROM s),
-l AS (SELECT *, list_filter([p1, p2, p2], lambda x: x IS NOT NULL) AS every FROM p), q AS (SELECT *, CASE WHEN len(list_filter(every, lambda x: x < 0.4)) > 0 THEN list_filter(every, lambda x: x < 0.4) ELSE every END AS used FROM l)
-SELECT event_id, theme, y, member, group_n::BIGINT AS group_n, base_n::BIGINT AS base_n, len(used)::INT AS dims_used, round_even(1 - list_sum(used) / len(used), 6)::DOUBLE AS score, CASE WHEN base_n < 10 OR len(used) < 2 THEN 'inconclusive' ELSE 'atypical' END AS kind FROM q"""
+p AS (SELECT *, (CASE WHEN wo THEN ah - oh ELSE ah END) / base_n AS p1, CASE WHEN cn >= 5 THEN (CASE WHEN wo THEN ap - op ELSE ap END) / cn ELSE (CASE WHEN wo THEN ao - oo ELSE ao END) / base_n END AS p2 FROM s),
+l AS (SELECT *, [{{'p': p1, 's': cls = '1-URGENT'}}, {{'p': p2, 's': theme = 'BUILDING' AND cls = '1-URGENT'}}, {{'p': p2, 's': theme = 'BUILDING' AND cls = '1-URGENT'}}] AS every FROM p), k AS (SELECT *, CASE WHEN len(list_filter(every, lambda x: x.p < 0.4)) > 0 THEN list_filter(every, lambda x: x.p < 0.4) ELSE every END AS kept FROM l),
+f AS (SELECT *, list_filter(kept, lambda x: NOT x.s) AS rest FROM k), q AS (SELECT *, list_transform(CASE WHEN len(rest) > 0 THEN rest ELSE every END, lambda x: x.p) AS used, len(rest) < len(kept) AS noted FROM f)
+SELECT event_id, theme, y, member, group_n::BIGINT AS group_n, base_n::BIGINT AS base_n, len(used)::INT AS dims_used, round_even(1 - list_sum(used) / len(used), 6)::DOUBLE AS score, CASE WHEN base_n < 10 OR len(used) < 2 OR noted THEN 'inconclusive' ELSE 'atypical' END AS kind FROM q"""
 
 
 @R.add(_RARITY)
 def rarity_scores(spark, folder):
-    """Outcomes against those of their class in the group, and the half of the year, which a rule explains for urgent cases."""
+    """Outcomes against those of their class in the group, and the half of the year, which a rule explains for urgent cases; one theme's urgent outcomes are explained too."""
     rows = decisions(spark, folder).withColumn("half", F.month("d") <= 6)
-    return risk.rarity(rows, "event_id", ["theme", "y"], "member", ["half", "outcome"], "cls", "outcome", {"half": F.col("cls") == "1-URGENT"})
+    urgent, known = F.col("cls") == "1-URGENT", F.col("theme") == "BUILDING"
+    return risk.rarity(rows, "event_id", ["theme", "y"], "member", ["half", "outcome"], "cls", "outcome", {"half": urgent, "outcome": urgent & known, "pair": urgent & known})
 
 
 @R.add(f"SELECT * FROM ({_RARITY}) WHERE score >= 0.75")

@@ -11,13 +11,14 @@ from assize.session import read_table
 R = Registry()
 
 
-@R.add("""WITH e AS (SELECT DISTINCT l_orderkey, l_returnflag, l_suppkey, l_orderkey || ':' || l_returnflag || ':' || l_suppkey AS edge_id FROM lineitem),
+@R.add("""WITH e AS (SELECT DISTINCT l_orderkey, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS l_returnflag, l_suppkey, l_orderkey || ':' || l_returnflag || ':' || l_suppkey AS edge_id FROM lineitem),
 v AS (SELECT l_orderkey || ':' || l_returnflag || ':' || l_suppkey AS edge_id, l_linenumber, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_linestatus = 'F'),
 k AS (SELECT edge_id, string_agg(l_linenumber || '=' || n, ',' ORDER BY l_linenumber || '=' || n) AS kinds FROM (SELECT edge_id, l_linenumber, count(*) AS n FROM v GROUP BY ALL) GROUP BY edge_id), s AS (SELECT edge_id, count(*) AS events, min(d) AS a, max(d) AS b FROM v GROUP BY ALL)
-SELECT e.edge_id, e.l_suppkey, coalesce(events, 0) AS events, kinds, a AS first_day, b AS last_day, coalesce(date_diff('day', a, b), 0)::INT AS span_days, (SELECT count(*) FROM e o WHERE o.l_orderkey = e.l_orderkey AND o.l_returnflag = e.l_returnflag AND o.l_suppkey <> e.l_suppkey) AS companions FROM e LEFT JOIN s USING (edge_id) LEFT JOIN k USING (edge_id)""")
+SELECT e.edge_id, e.l_suppkey, coalesce(events, 0) AS events, kinds, a AS first_day, b AS last_day, coalesce(date_diff('day', a, b), 0)::INT AS span_days, (SELECT count(*) FROM e o WHERE o.l_orderkey = e.l_orderkey AND o.l_returnflag IS NOT DISTINCT FROM e.l_returnflag AND o.l_suppkey <> e.l_suppkey) AS companions FROM e LEFT JOIN s USING (edge_id) LEFT JOIN k USING (edge_id)""")
 def representation_edges(spark, folder):
     lines = read_table(spark, folder, "lineitem").withColumn("edge_id", F.concat_ws(":", "l_orderkey", "l_returnflag", "l_suppkey")).withColumn("d", F.to_date("l_shipdate"))
-    edges = lines.select("edge_id", "l_orderkey", "l_returnflag", "l_suppkey").distinct()
+    side = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("l_returnflag")
+    edges = lines.select("edge_id", "l_orderkey", side, "l_suppkey").distinct()
     return representation.edge_activity(edges, lines.where("l_linestatus = 'F'"), "edge_id", "l_orderkey", "l_returnflag", "l_suppkey", "l_linenumber", "d")
 
 

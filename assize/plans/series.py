@@ -84,13 +84,13 @@ def peer_percentile_flags(spark, folder):
     return sequence.percentile_flags(velocities(spark, folder), ["cls", "y"], "days").select("cls", "y", "line_id", "days", "peers", "flag", "distance")
 
 
-FIRST = f"""{DECISIONS}, f AS (SELECT l_orderkey, arg_min(l_suppkey, struct_pack(n := l_linenumber, s := l_suppkey)) AS s FROM lineitem WHERE l_linenumber < 5 GROUP BY ALL), x AS (SELECT case_id, d, event_id, fav, s AS holder FROM dec LEFT JOIN f ON l_orderkey = event_id),
+FIRST = f"""{DECISIONS}, f AS (SELECT l_orderkey, arg_min(l_suppkey, struct_pack(n := l_linenumber, s := l_suppkey)) AS s FROM lineitem WHERE l_linenumber < 5 GROUP BY ALL), x AS (SELECT case_id, d, event_id, fav, outcome, s AS holder FROM dec LEFT JOIN f ON l_orderkey = event_id),
 ch AS (SELECT *, row_number() OVER w AS seq, last_value(holder IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY d, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM x WINDOW w AS (PARTITION BY case_id ORDER BY d, event_id))"""
 
 
 def _holders(spark, folder):
     first = read_table(spark, folder, "lineitem").where("l_linenumber < 5").groupBy("l_orderkey").agg(F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("holder"))
-    return decisions(spark, folder).join(first, F.expr("event_id = l_orderkey"), "left").select("case_id", "d", "event_id", "fav", "holder")
+    return decisions(spark, folder).join(first, F.expr("event_id = l_orderkey"), "left").select("case_id", "d", "event_id", "fav", "outcome", "holder")
 
 
 @R.add(f"WITH {FIRST} SELECT case_id, d, event_id, holder, previous FROM ch WHERE holder IS NOT NULL AND previous IS NOT NULL AND holder <> previous")
@@ -100,10 +100,10 @@ def member_change_detection(spark, folder):
 
 @R.add(f"""WITH {FIRST}, t AS (SELECT case_id, seq AS from_seq, holder AS new_member, previous FROM ch WHERE holder IS NOT NULL AND previous IS NOT NULL AND holder <> previous)
 , bs AS (SELECT holder AS new_member, avg(fav) AS base FROM x WHERE fav IS NOT NULL GROUP BY ALL),
-g AS (SELECT t.case_id, from_seq::INT AS from_seq, new_member, t.previous, count(fav) AS n, avg(fav) AS r FROM t JOIN ch ON ch.case_id = t.case_id AND ch.seq >= t.from_seq AND ch.holder = t.new_member GROUP BY ALL)
+g AS (SELECT t.case_id, from_seq::INT AS from_seq, new_member, t.previous, count(outcome) AS n, avg(fav) AS r FROM t JOIN ch ON ch.case_id = t.case_id AND ch.seq >= t.from_seq AND ch.holder = t.new_member GROUP BY ALL)
 SELECT case_id, from_seq, new_member, previous, n, round_even(r, 6)::DOUBLE AS rate, round_even(r - base, 6)::DOUBLE AS delta, coalesce(round_even(r - base, 6) > 0.15 AND n >= 3, false) AS red_flag FROM g LEFT JOIN bs USING (new_member)""")
 def rate_after_change(spark, folder):
-    return sequence.after_change(_holders(spark, folder), ["case_id"], ["d", "event_id"], "holder", "fav")
+    return sequence.after_change(_holders(spark, folder), ["case_id"], ["d", "event_id"], "holder", "fav", "outcome")
 
 
 @R.add("""WITH e AS (SELECT user_id, event_id, ts, event_type, min(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_other FROM events)
