@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assize.llm.memory import returning
 from assize.session import cut
 
 # Characters and the letters they are used for.
@@ -355,7 +356,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     yield flush()
         yield flush()
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(returning(count), "word string, n long")
     plain = F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "")
     return found.withColumn("word", plain).where(r"word rlike '^[\\p{L}]{2,}$'").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -421,7 +422,7 @@ def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "doc
                 names = [sorted(restorer.features(x.as_py())) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.list_(pa.string()))], names=["key", "label", "names"])
 
-    found = cut(sample.select("key", "label", "text").mapInArrow(describe, "key string, label int, names array<string>"))
+    found = cut(sample.select("key", "label", "text").mapInArrow(returning(describe), "key string, label int, names array<string>"))
     rows, ones = found.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not rows or not ones or ones == rows:
         return ToxicModel(chars, {}, -40.0 if not ones else 40.0)
@@ -452,7 +453,7 @@ def scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
             out = [1 / (1 + math.exp(-max(-40.0, min(40.0, intercept + sum(value[k] for k in restorer.features(x.as_py())))))) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(returning(score), f"id {kind}, score double")
 
 
 def _remainder(column: str, by: int) -> F.Column:
@@ -487,4 +488,4 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_
             clean = [intercept + sum(value[k] for k in restorer.features(x.as_py())) < bar for x in batch.column(place)]
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(returning(keep), docs.schema)
