@@ -143,9 +143,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
     for penalty in PENALTIES:
         w, b = _lasso(z[~test], y[~test], penalty)
         p = 1 / (1 + np.exp(-np.clip(z[test] @ w + b, -40, 40)))
-        loss[penalty] = -float(np.mean(np.log(np.where(y[test] == 1, p, 1 - p) + 1e-9)))
+        # too few rows to hold any out leave the strongest penalty
+        loss[penalty] = -float(np.mean(np.log(np.where(y[test] == 1, p, 1 - p) + 1e-9))) if test.any() else 0.0
     # the strongest penalty whose loss is near the best
-    chosen = max(p for p in PENALTIES if loss[p] <= 1.02 * min(loss.values()))
+    chosen = max((p for p in PENALTIES if loss[p] <= 1.02 * min(loss.values())), default=max(PENALTIES))
     w, b = _lasso(z, y, chosen)
     return RuleModel(b, tuple((listed[k], float(w[k])) for k in np.nonzero(w)[0]))
 
