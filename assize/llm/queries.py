@@ -26,7 +26,5 @@ QUERIES: dict[str, Callable] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.OP7_SQL,
-    "op11_alignment": alignment.op11_alignment,
-    "op12_lm": lm.op12_lm,
     "op13_divergence": divergence.OP13_SQL,
 }

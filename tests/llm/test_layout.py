@@ -194,3 +194,7 @@ def test_bins_of_keys_are_even(spark):
     assert len(counted) > 290 and max(r["n"] for r in counted) < 2 * 200
     assert all(x["b"] < y["a"] for x, y in zip(counted, counted[1:]))
     assert exp(-counted[-1]["a"] * 0.02) < 0.1
+
+
+def test_sql_is_text_of_known_queries():
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and all(isinstance(v, str) for v in queries.ORACLE_SQL.values())
