@@ -104,3 +104,16 @@ def test_percentiles_interpolate(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 2, 4)] + [("a", None), ("b", 1.0)], "k string, v double")
     (row,) = sequence.percentiles(df, ["k"], "v", [0.0, 0.5, 0.9, 1.0], least=2).collect()
     assert tuple(row) == ("a", 4, 1.0, 2.0, pytest.approx(3.4), 4.0)
+
+
+def test_session_events_of_one_movement(spark):
+    """Rows of one case, day, kind and movement: which stays does not hang on the order they are read in."""
+    day = datetime.date(2020, 1, 2)
+    rows = [(1, 11, day, "Pedido de vista", m) for m in ("B", None, "A", "", "C")] + [(1, 12, None, f"Julgado em sessão da {t} Turma", "D") for t in ("Segunda", "Primeira")]
+    movements = "case long, movement long, date date, description string, member string"
+    virtual, decided = spark.createDataFrame([], "case long, entry long, date date, member string"), spark.createDataFrame([(1, 1, day, "Z")], "case long, decision long, date date, member string")
+    for listed in (rows, rows[::-1], sorted(rows, key=lambda r: str(r[4]))):
+        got = sessions.session_events(spark.createDataFrame(listed, movements).coalesce(1), virtual, decided)
+        assert sorted((r.movement, r.session or "", r.event, r.member) for r in got.collect()) == [("11", "", "pedido_de_vista", "A"), ("12", "turma_1", "julgamento", "D")]
+    numbered = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)][::-1], movements + ", place int")
+    assert sorted(r.member for r in sessions.session_events(numbered, virtual, decided, ("place",)).collect()) == ["B", "D"]
