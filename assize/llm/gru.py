@@ -11,7 +11,7 @@ from __future__ import annotations
 import ctypes
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -218,20 +218,26 @@ def scored(weights: Weights, sequences: list[np.ndarray], width: int = 512, wind
     return running[at + np.array([len(s) for s in sequences]), lane] - running[at, lane]
 
 
-def trained(weights: Weights, sequences: list[np.ndarray], width: int = 96, window: int = WINDOW) -> tuple[Weights, int]:
-    """``weights`` after one pass over ``sequences`` by AdaGrad, and the number of tokens learned from."""
-    weights = {k: v.copy() for k, v in weights.items()}
-    x, keep, y, _ = lanes(sequences, width)
+def trained(weights: Weights, slices: Iterable[list[np.ndarray]], width: int = 256, window: int = WINDOW) -> tuple[Weights, int]:
+    """``weights`` after one pass over whole sequences by AdaGrad, and the number of tokens learned from; the state goes on from window to window to a sequence's end."""
+    weights, learned = {k: v.copy() for k, v in weights.items()}, 0
     seen = {k: np.full_like(v, 1e-2) for k, v in weights.items()}
-    h = np.zeros((x.shape[1], HIDDEN), np.float32)
-    for k in range(0, len(x), window):
-        part = slice(k, k + window)
-        grown, met, h, _ = gradients(weights, x[part], keep[part], y[part], h)
-        size = np.sqrt(sum(float((g * g).sum()) for g in grown.values()))
-        scale = min(1.0, CLIP * x.shape[1] / size) / x.shape[1] ** 0.5 if size else 0.0
-        for name, g in grown.items():
-            rows = met if name == "E" else slice(None)
-            g = g * np.float32(scale)
-            seen[name][rows] += g * g
-            weights[name][rows] -= np.float32(RATE) * g / np.sqrt(seen[name][rows])
-    return weights, int((y >= 0).sum())
+    for sequences in slices:
+        total = sum(map(len, sequences))
+        # lanes beside a sequence far longer than the others would stand empty
+        x, keep, y, _ = lanes(sequences, min(width, max(1, 8 * total // max(map(len, sequences)))))
+        busy = (y >= 0).sum(axis=0)
+        h = np.zeros((x.shape[1], HIDDEN), np.float32)
+        for k in range(0, len(x), window):
+            open_ = int((busy > k).sum())
+            part = slice(k, k + window)
+            grown, met, h, _ = gradients(weights, x[part, :open_], keep[part, :open_], y[part, :open_], h[:open_])
+            size = np.sqrt(sum(float((g * g).sum()) for g in grown.values()))
+            scale = min(1.0, CLIP * open_ / size) / open_**0.5 if size else 0.0
+            for name, g in grown.items():
+                rows = met if name == "E" else slice(None)
+                g = g * np.float32(scale)
+                seen[name][rows] += g * g
+                weights[name][rows] -= np.float32(RATE) * g / np.sqrt(seen[name][rows])
+        learned += total
+    return weights, learned

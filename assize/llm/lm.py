@@ -6,10 +6,11 @@ words are classes by their number of bytes, and a word's share of its class is t
 the discounts of a class leave is the share of words not seen, as one. So all counts of the corpus are part of the model,
 whatever its size, and probabilities add up to one over the words seen and one unseen of each class.
 
-It learns from a window of ``SEGMENT`` tokens of every training text, at a place drawn by hash, by truncated
-backpropagation: trainers of ``TRAINER_ROWS`` texts each go on from the same weights for a share of their texts, their
-weights are averaged by the tokens they learned from, and the next of ``ROUNDS`` rounds goes on from there. Only weights,
-whose number is fixed, and the most frequent words reach the driver.
+It learns from every token of every training text, by truncated backpropagation that carries the state from a text's first
+token to its last: trainers of ``TRAINER_ROWS`` texts each go on from the same weights for a share of their texts, their
+weights are averaged by the tokens they learned from, and the next of ``ROUNDS`` rounds goes on from there, with other texts;
+after all rounds each text was learned from once. Only weights, whose number is fixed, and the most frequent words reach the
+driver.
 
 Scoring carries the state from the first token of a text to its last; the texts of a task run side by side in lanes.
 What counts of rarer words add is looked up by batch: a batch asks once for each of its distinct words.
@@ -28,7 +29,6 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from assize.llm import gru
 from assize.session import cut, ensure_checkpoint_dir
 
-#: Tokens learned from of every training text; rounds of averaging; texts a trainer takes, on average; tasks whose weights are averaged at once.
-SEGMENT, ROUNDS, TRAINER_ROWS, FAN = 48, 4, 8_000, 256
-#: Words that a task counts before it hands them on; tokens scored side by side; weights in a row of the averaging.
-HELD, SLICE_TOKENS, CHUNK = 500_000, 2_000_000, 1 << 14
+#: Rounds of averaging; texts a trainer takes, on average; tasks whose weights are averaged at once.
+ROUNDS, TRAINER_ROWS, FAN = 4, 8_000, 256
+#: Words that a task counts before it hands them on; tokens scored and learned from side by side; weights in a row of the averaging.
+HELD, SLICE_TOKENS, TRAINED_TOKENS, CHUNK = 500_000, 2_000_000, 1_000_000, 1 << 14
 END = b""
 #: What is taken off the counts of rarer words for those not seen.
 DISCOUNT = 0.75
@@ -57,34 +57,43 @@ def _kind(word: bytes) -> int:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (word, n) of a task's texts, and (segment) of every text."""
+    """Counts (word, n) of a task's texts."""
     held: Counter = Counter()
 
-    def rows(words: list, n: list, segments: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(segments, _WORDS)], names=["word", "n", "segment"])
-
     def flushed() -> Iterator[pa.RecordBatch]:
         listed = list(held.items())
         for k in range(0, len(listed), 50_000):
             part = listed[k : k + 50_000]
-            yield rows([w for w, _ in part], [n for _, n in part], [None] * len(part))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
         held.clear()
 
     for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            segments = []
-            for text in batch.column(0).slice(k, 1000):
-                raw = text.as_buffer().to_pybytes()
-                words = tokens(raw)
-                held.update(words)
-                at = xxhash.xxh64_intdigest(raw, 7) % max(1, len(words) - SEGMENT + 1)
-                segments.append(words[at : at + SEGMENT])
-            yield rows([None] * len(segments), [None] * len(segments), segments)
+        for text in batch.column(0):
+            held.update(tokens(text.as_buffer().to_pybytes()))
             if len(held) > HELD:
                 yield from flushed()
     yield from flushed()
 
 
+def _numbered(texts: pa.Array, ids: dict[bytes, int], most: int) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
+    """Texts of ``most`` tokens or a little more at a time, as numbers of their words: those in ``ids``, and after them those of the other words as they come, which are listed."""
+    k = 0
+    while k < len(texts):
+        table, found, held = dict(ids), [], 0
+        number_of = table.setdefault
+        while k < len(texts) and held < most:
+            words = tokens(texts[k].as_buffer().to_pybytes())
+            found.append(np.array([number_of(w, len(table)) for w in words], np.int32))
+            held += len(words)
+            k += 1
+        yield found, list(table)[len(ids) :]
+
+
+def _kinds(ids: dict[bytes, int], rare: list[bytes]) -> np.ndarray:
+    """The model's tokens by number."""
+    return np.concatenate([np.arange(len(ids)), [_kind(w) for w in rare]]).astype(np.int32)
+
+
 def _averaged(weights: DataFrame) -> np.ndarray:
     """The mean, by tokens, of weights (task, chunk, tokens, values); at most ``FAN`` rows of a chunk meet in a task at first."""
 
@@ -101,24 +110,22 @@ def _averaged(weights: DataFrame) -> np.ndarray:
     return np.concatenate([np.array(r["values"], np.float32) for r in rows])
 
 
-def train(segments: DataFrame, ids: dict[bytes, int], counts: np.ndarray, rounds: int = ROUNDS, trainer_rows: int = TRAINER_ROWS) -> gru.Weights:
-    """The model of (segment) rows; ``counts`` are those of the head's and the kinds' tokens."""
+def train(texts: DataFrame, total: int, ids: dict[bytes, int], counts: np.ndarray, rounds: int = ROUNDS, trainer_rows: int = TRAINER_ROWS) -> gru.Weights:
+    """The model of ``total`` rows (text), all of whose tokens are learned from once; ``counts`` are those of the head's and the kinds' tokens."""
     weights = gru.started(counts)
-    total = segments.count()
     if not total:
         return weights
-    dealt = segments.coalesce(max(1, min(segments.rdd.getNumPartitions(), total // trainer_rows)))
+    # a row's place in its file, so that rounds share no text and leave none out
+    dealt = texts.withColumn("turn", F.pmod(F.monotonically_increasing_id(), F.lit(rounds)))
+    trainers = max(1, min(texts.rdd.getNumPartitions(), total // trainer_rows))
 
-    def learn(start: gru.Weights, turn: int):
+    def learn(start: gru.Weights):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gru.one_thread()
-            sequences, seen = [], 0
-            for batch in batches:
-                for words in batch.column(0).take(pa.array(range((turn - seen) % rounds, batch.num_rows, rounds), pa.int64())).to_pylist():
-                    sequences.append(np.array([ids[w] if w in ids else _kind(w) for w in words], np.int32))
-                seen += batch.num_rows
-            if sequences:
-                found, seen = gru.trained(start, sequences)
+            numbered = (x for batch in batches for x in _numbered(batch.column(0), ids, TRAINED_TOKENS))
+            slices = ([kinds[f] for f in found] for found, kinds in ((found, _kinds(ids, rare)) for found, rare in numbered))
+            found, seen = gru.trained(start, slices)
+            if seen:
                 values = gru.flat(found)
                 parts = [values[k : k + CHUNK] for k in range(0, len(values), CHUNK)]
                 task = TaskContext.get().partitionId()
@@ -127,7 +134,7 @@ def train(segments: DataFrame, ids: dict[bytes, int], counts: np.ndarray, rounds
         return run
 
     for turn in range(rounds):
-        found = dealt.mapInArrow(learn(weights, turn), "task long, chunk int, tokens long, values array<float>")
+        found = dealt.where(F.col("turn") == turn).select("text").coalesce(trainers).mapInArrow(learn(weights), "task long, chunk int, tokens long, values array<float>")
         if values := _mean_or_none(found):
             weights = gru.shaped(values[0], weights)
     return weights
@@ -156,17 +163,9 @@ def _scores(weights: gru.Weights, ids: dict[bytes, int], head: np.ndarray, rest:
         gru.one_thread()
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            keys, texts, k = batch.column(0).to_pylist(), batch.column(1), 0
-            while k < len(keys):
-                # words of the head have their numbers; others are numbered after them as they come
-                table, found, held = dict(ids), [], 0
-                number_of, first = table.setdefault, len(table)
-                while k + len(found) < len(keys) and held < SLICE_TOKENS:
-                    words = tokens(texts[k + len(found)].as_buffer().to_pybytes())
-                    found.append(np.array([number_of(w, len(table)) for w in words], np.int32))
-                    held += len(words)
-                rare = list(table)[first:]
-                kinds = np.concatenate([np.arange(first), [_kind(w) for w in rare]]).astype(np.int32)
+            k = 0
+            for found, rare in _numbered(batch.column(1), ids, SLICE_TOKENS):
+                first, kinds = len(ids), _kinds(ids, rare)
                 sequences = [kinds[f] for f in found]
                 others = [f[f >= first] - first for f in found]
                 place, ends = np.concatenate(others).astype(np.int32), np.cumsum([len(o) for o in others]).astype(np.int32)
@@ -174,7 +173,7 @@ def _scores(weights: gru.Weights, ids: dict[bytes, int], head: np.ndarray, rest:
                 every = np.concatenate(sequences)
                 starts = np.cumsum([0, *(len(s) for s in sequences[:-1])])
                 sums = [np.add.reduceat(x[every], starts) for x in (known.astype(np.int64), logs, shares)]
-                row = {"batch": number, "ids": keys[k : k + len(sequences)], "sizes": [len(s) for s in sequences], "known": sums[0], "base": sums[1], "model": model - sums[2], "place": place, "ends": ends, "words": rare}
+                row = {"batch": number, "ids": batch.column(0).slice(k, len(sequences)).to_pylist(), "sizes": [len(s) for s in sequences], "known": sums[0], "base": sums[1], "model": model - sums[2], "place": place, "ends": ends, "words": rare}
                 yield pa.RecordBatch.from_pylist([row], _PART_SCHEMA)
                 number, k = number + 1, k + len(sequences)
 
@@ -209,8 +208,8 @@ def score(docs: DataFrame, learned: DataFrame, id_col: str = "doc_id", text_col:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/lm-{uuid.uuid4().hex}"
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    gathered = cut(learned.select(text).mapInArrow(_gathered, "word binary, n long, segment array<binary>"))
-    counts = cut(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
+    texts = learned.select(text)
+    counts = cut(texts.mapInArrow(_gathered, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = [r["c"] for r in counts.where(F.col("word") == F.lit(END)).collect()]
     frequent = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(gru.HEAD - 1).collect()
@@ -223,7 +222,7 @@ def score(docs: DataFrame, learned: DataFrame, id_col: str = "doc_id", text_col:
     for r in frequent:
         mass[_kind(bytes(r["word"])) - gru.HEAD] -= r["c"]
         types[_kind(bytes(r["word"])) - gru.HEAD] -= 1
-    weights = train(gathered.where("segment is not null").select("segment"), ids, np.concatenate([head, mass]))
+    weights = train(texts, sum(ends), ids, np.concatenate([head, mass]))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text)
     rows.mapInArrow(_scores(weights, ids, head, np.log10(np.maximum(mass, 1))), _PART).write.parquet(folder)
     parts = spark.read.parquet(folder)

@@ -118,3 +118,35 @@ def test_averages_by_tokens(spark):
     mean = lm._averaged(spark.createDataFrame(rows, "task long, chunk int, tokens long, values array<float>"))
     expected = sum(t * (1 + t) for t in range(600)) / sum(1 + t for t in range(600))
     assert mean.tolist() == pytest.approx([expected, 2.0, expected, 2.0], rel=1e-5)
+
+
+def test_learns_from_every_token(spark, monkeypatch):
+    """A word's place within a long text does not matter: trainers meet every token of every text once, in order."""
+    texts = [" ".join(f"w{(k * 7 + j) % 300}" for j in range(size)) for k, size in enumerate((1, 3, 60, 400, 2500, 90, 200, 33))] + ["", None]
+    rows = table(spark, list(enumerate(texts, 1))).repartition(2)
+    ids = {lm.END: gru.END} | {b"w%d" % k: k + 1 for k in range(300)}
+    kept = lm.F.coalesce("text", lm.F.lit("")).alias("text")
+    real = []
+    monkeypatch.setattr(lm, "_mean_or_none", lambda found: real.append({(r["task"], r["tokens"]) for r in found.collect()}))
+    monkeypatch.setattr(lm, "TRAINED_TOKENS", 500)
+    lm.train(rows.select(kept), len(texts), ids, np.ones(gru.HEAD + gru.KINDS), rounds=3, trainer_rows=4)
+    assert sum(n for found in real for _, n in found) == sum(len((t or "").split()) + 1 for t in texts)
+
+
+def test_state_goes_on_while_learning():
+    """What follows far into a text is learned with what came before it in other windows, and lanes beside a long text do not fill memory."""
+    rng = np.random.default_rng(5)
+    w = gru.started(rng.integers(1, 50, gru.HEAD + gru.KINDS).astype(float))
+    sequences = [rng.integers(0, 40, n).astype(np.int32) for n in (3000, 5, 5, 5, 5, 5, 5, 5, 5)]
+    found, seen = gru.trained(w, [sequences[:1], sequences[1:]])
+    assert seen == sum(map(len, sequences))
+    assert gru.scored(found, sequences[:1])[0] > gru.scored(w, sequences[:1])[0]
+    met = []
+    kept = gru.gradients
+    try:
+        gru.gradients = lambda weights, x, keep, y, h: (met.append((y.shape, bool(keep[0, 0]), float(np.abs(h).sum()))), kept(weights, x, keep, y, h))[1]
+        gru.trained(w, [sequences])
+    finally:
+        gru.gradients = kept
+    assert sum(shape[0] * shape[1] for shape, *_ in met) < 2 * seen
+    assert not met[0][1] and all(going and state > 0 for _, going, state in met[1:])
