@@ -400,6 +400,11 @@ def fit_logistic(rows: list[list[int]], y: np.ndarray, size: int, ridge: float =
     return w, float(b)
 
 
+def _held(every: DataFrame, strong: DataFrame) -> DataFrame:
+    """(key, names): the ``strong`` names of every text. These reach the driver anyway, so they go to where the many rows of ``every`` lie."""
+    return every.join(F.broadcast(strong), "name").groupBy("key").agg(F.sort_array(F.collect_set("name")).alias("names"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS, significant: float = SIGNIFICANT) -> ToxicModel:
     """A model of ``labels`` (id, label): features are those that tell the labels apart beyond chance.
 
@@ -433,7 +438,7 @@ def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "doc
     strong = cut(each.where((F.col("a") > 2 * expected) & (2 * gain >= significant)).select("name"))
     names = sorted(r["name"] for r in strong.collect())
     known = {name: k for k, name in enumerate(names)}
-    held = every.join(strong, "name").groupBy("key").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    held = _held(every, strong)
     kept = sorted((r["key"], r["label"], r["names"] or []) for r in found.select("key", "label").join(held, "key", "left").collect())
     weights, intercept = fit_logistic([[known[x] for x in names_] for _, _, names_ in kept], np.array([label for _, label, _ in kept], float), len(names))
     return ToxicModel(chars, dict(zip(names, weights.tolist())), intercept)

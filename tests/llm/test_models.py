@@ -201,3 +201,14 @@ def test_one_row_a_label(spark):
     finally:
         quality.fit = kept
     assert seen == [((3, len(quality.NAMES)), [0.0, 1.0, 1.0])]
+
+
+def test_features_stay_where_they_lie(spark, capsys):
+    """All names of all texts are not shuffled to meet the few that tell labels apart."""
+    every = spark.createDataFrame([("x", 1, "a"), ("x", 1, "b"), ("y", 0, "c")], "key string, label int, name string")
+    strong = toxicity.cut(every.where("name <> 'b'").select("name"))
+    held = toxicity._held(every, strong)
+    assert {(r["key"], tuple(r["names"])) for r in held.collect()} == {("x", ("a",)), ("y", ("c",))}
+    held.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
