@@ -1,7 +1,9 @@
 """Near-duplicate documents by the Jaccard similarity of their sets of five-word shingles.
 
-Every set is dealt to 504 bins by hash and each bin keeps its least value (one-permutation MinHash, empty bins
-filled by a fixed order of other bins). Candidates meet under one of 36 bands of seven bins each. A sketch of one
+Every set has a 64-bit SimHash fingerprint; those that differ in at most three bits make their sets candidates. Sets of a
+similarity of 0.8 mostly differ in more bits, so MinHash adds what fingerprints do not meet, and all candidates are
+verified. Every set is dealt to 504 bins by hash and each bin keeps its least value (one-permutation MinHash, empty bins
+filled by a fixed order of other bins). Further candidates meet under one of 36 bands of seven bins each. A sketch of one
 bit a bin estimates the similarity of candidates where they meet, so that only pairs near the bound or above it
 are verified on the whole sets. A pair of similarity 0.8 shares no band with a chance of 2 in 10,000.
 
@@ -24,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assize.llm import simhash
 from assize.llm.memory import returning
 from assize.llm.simhash import keep_first, named
 from assize.operators.components import TASK_ROWS, connected_components
@@ -103,7 +106,7 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 
 
 def sketches(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(row, node, size, bits, bands) of (row, text): the hash of the text's set, its size, its sketch and its keys."""
+    """(row, node, size, fp, bits, bands) of (row, text): the hash of the text's set, its size, its fingerprint, its sketch and its keys."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +114,10 @@ def sketches(rows: DataFrame, width: int = WIDTH) -> DataFrame:
                 part = batch.slice(k, BATCH)
                 sets = [shingles(x.as_py(), width) for x in part.column(1)]
                 keys, bits = sketch(sets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), _lists(bits), _lists(keys)], names=["row", "node", "size", "bits", "bands"])
+                prints = pa.array(np.array([simhash.of_hashes(x) for x in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), prints, _lists(bits), _lists(keys)], names=["row", "node", "size", "fp", "bits", "bands"])
 
-    return rows.mapInArrow(returning(described), f"row {rows.schema['row'].dataType.simpleString()}, node long, size int, bits array<long>, bands array<long>")
+    return rows.mapInArrow(returning(described), f"row {rows.schema['row'].dataType.simpleString()}, node long, size int, fp long, bits array<long>, bands array<long>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -244,10 +248,23 @@ def _across(many: DataFrame, edges: DataFrame, nodes: DataFrame, sets: DataFrame
     return _few(dealt.groupBy("key", "low", "high").applyInArrow(linked, "a long, b long").distinct())[0]
 
 
+def _by_fingerprint(nodes: DataFrame, least: float, total: int) -> DataFrame:
+    """Candidates (a, b) that connect the ``nodes`` whose fingerprints differ in at most three bits."""
+    first = F.min(F.struct("node", "size")).alias("first")
+    firsts = cut(nodes.groupBy("fp").agg(first, F.count("*").alias("n")))
+    ends = lambda c, name: firsts.select(F.col("fp").alias(c), F.col("first").alias(name))
+    near = simhash.links(firsts.select("fp")).join(ends("a", "x"), "a").join(ends("b", "y"), "b").select("x", "y")
+    shared = firsts.where("n > 1")
+    equal = meet(nodes.select("fp", "node", "size"), shared.select("fp", "first"), "fp", shared.select("fp", "n"), total).select(F.struct("node", "size").alias("x"), F.col("first").alias("y"))
+    fit = near.union(equal).where((F.col("x.node") != F.col("y.node")) & _fits("x.size", "y.size", least))
+    return fit.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
 def links(rows: DataFrame, sketched: DataFrame, least: float = LEAST, width: int = WIDTH, limit: int = PAIR_LIMIT) -> DataFrame:
     """Edges (a, b) that connect the nodes of ``sketched`` as all pairs of similarity ``least`` or more do."""
-    nodes = cut(sketched.dropDuplicates(["node"]).select("node", "size", "bits", "bands"))
-    total = nodes.count() * BANDS
+    nodes = cut(sketched.dropDuplicates(["node"]).select("node", "size", "fp", "bits", "bands"))
+    count = nodes.count()
+    total = count * BANDS
     keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
     counted = cut(nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = cut(meet(keyed, counted, "key", counted, total))
@@ -259,7 +276,7 @@ def links(rows: DataFrame, sketched: DataFrame, least: float = LEAST, width: int
     hubs = cut(ranked.select("key", "n", F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("hubs")))
     starred = meet(many.drop("n"), hubs.select("key", "hubs"), "key", hubs.select("key", "n"), total)
     stars = starred.select("node", "size", F.explode("hubs").alias("hub")).select("node", "size", "hub.*").where((F.col("node") != F.col("node2")) & _fits("size", "size2", least))
-    pairs = close.union(stars.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).distinct()
+    pairs = close.union(stars.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))).union(_by_fingerprint(nodes, least, count)).distinct()
     bits = nodes.select("node", "bits")
     alike = _alike("x", "y").cast("int")
     pairs = cut(pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b").select("a", "b", alike.alias("alike")).where(_likely(least, F.col("alike"))))

@@ -41,6 +41,18 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _COLUMN = np.arange(8, dtype=np.int64) * 256
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    cells = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + _COLUMN
+    return (np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingles' hashes."""
+    ones = sum((_ones(hashes[k : k + BLOCK]) for k in range(0, len(hashes), BLOCK)), np.zeros(64, np.int64))
+    return int(sum(1 << int(k) for k in np.nonzero(ones * 2 > len(hashes))[0]))
+
+
 def fingerprint(text: bytes | None, width: int = WORDS_PER_SHINGLE) -> int:
     """The 64-bit SimHash of UTF-8 ``text`` over its word shingles, repeats included."""
     words = (text or b"").lower().split()
@@ -57,8 +69,7 @@ def fingerprint(text: bytes | None, width: int = WORDS_PER_SHINGLE) -> int:
     ones = np.zeros(64, np.int64)
     for k in range(0, count, BLOCK):
         hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[k : k + BLOCK], stops[k : k + BLOCK])], np.uint64)
-        cells = hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + _COLUMN
-        ones += (np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+        ones += _ones(hashes)
     return int(sum(1 << int(k) for k in np.nonzero(ones * 2 > count)[0]))
 
 

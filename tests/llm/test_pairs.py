@@ -235,3 +235,19 @@ def test_registered_vectors(spark, folder):
 
 def test_extra_columns(spark):
     assert simhash.components(table(spark, [(1, "a b c d"), (2, "a b c d")])).columns == ["id", "fp", "component_id"]
+
+
+def test_fingerprints_make_candidates(spark):
+    """Where no band meets, sets whose SimHash fingerprints differ in at most three bits are candidates, and are verified."""
+    words = [f"w{k}" for k in range(400)]
+    texts = {1: " ".join(words), 2: " ".join(words[:-1]), 3: " ".join(words[1:]), 4: " ".join(words[::-1]), 5: "", 6: None, 7: " ".join(words[:200])}
+    prints = {k: simhash.of_hashes(shingles.shingles(t)) for k, t in texts.items()}
+    assert all((prints[1] ^ prints[k]).bit_count() <= 3 for k in (2, 3))
+    rows = simhash.named(table(spark, list(texts.items())))
+    found = shingles.cut(shingles.sketches(rows)).withColumn("bands", shingles.F.array(shingles.F.xxhash64("node")))
+    edges = {(r["a"], r["b"]) for r in shingles.links(rows, found).collect()}
+    node = {k: shingles._node(shingles.shingles(t)) for k, t in texts.items()}
+    joined = classes([node[k] for k in texts], lambda a, b: (min(a, b), max(a, b)) in edges or a == b)
+    groups = dict(zip(texts, joined))
+    assert groups[1] == groups[2] == groups[3] and groups[5] == groups[6]
+    assert len({groups[k] for k in (1, 4, 5, 7)}) == 4
