@@ -20,24 +20,26 @@ are ignored by ``encode`` and kept by ``with_pieces``, but for those of its own
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assize.llm.memory import give_back, returning
 from assize.llm.names import free
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.3
 SHIFT = 100.0
-#: Nodes of lattices kept at most; characters sampled at once.
-KEPT_NODES, CHARS = 2_500_000, 1_000_000
+#: Nodes of lattices kept at most; characters sampled at once; characters of new units learned at once. They bound a worker's memory and change no result.
+KEPT_NODES, CHARS, LEARNED = 1_500_000, 250_000, 50_000
 #: The log weight of a character spelled in bytes.
 UNKNOWN = -10.0
 
@@ -203,7 +205,9 @@ class Sampler:
         every = list(chain.from_iterable(split))
         ends = list(map(self.end.get, every))
         if None in ends:
-            self.learn(list(dict.fromkeys(unit for unit, at in zip(every, ends) if at is None)))
+            new = list(dict.fromkeys(unit for unit, at in zip(every, ends) if at is None))
+            for start, stop in _parts(map(len, new), LEARNED):
+                self.learn(new[start:stop])
             ends = list(map(self.end.__getitem__, every))
         row = np.repeat(np.arange(len(texts)), counts)
         at = np.array(ends, np.int64)
@@ -255,13 +259,16 @@ def load(path: str = MODEL) -> bytes:
         return file.read()
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= CHARS or k + 1 == len(texts):
-            yield start, k + 1
-            start, size = k + 1, 0
+def _parts(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a list whose members have ``sizes``, each ended by the member that makes it ``most`` or more."""
+    start = stop = held = 0
+    for stop, size in enumerate(sizes, 1):
+        held += size
+        if held >= most:
+            yield start, stop
+            start, held = stop, 0
+    if stop > start:
+        yield start, stop
 
 
 def with_pieces(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: bytes | None = None, alpha: float = ALPHA) -> DataFrame:
@@ -279,10 +286,10 @@ def with_pieces(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text"
         vocabulary = Vocabulary(shipped.value, alpha)
         sampler = Sampler(vocabulary)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = batch.column(place)
             seeds = np.asarray(batch.column(seed_name)).view(np.uint64)
-            for start, stop in _parts(texts):
-                some = texts[start:stop]
+            for start, stop in _parts(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), CHARS):
+                some = texts.slice(start, stop - start).to_pylist()
                 ids, sizes = sampler.sample([x or "" for x in some], seeds[start:stop])
                 ends = np.cumsum(sizes)
                 listed = ids.tolist()
@@ -293,8 +300,9 @@ def with_pieces(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(start, stop - start)
                 columns = [part.column(k) for k, name in enumerate(part.schema.names) if name != seed_name]
                 yield pa.RecordBatch.from_arrays([*columns, pieces, pa.array(same, pa.bool_())], names=schema.names)
+                give_back()
 
-    return seeded.mapInArrow(run, schema)
+    return seeded.mapInArrow(returning(run), schema)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: bytes | None = None, alpha: float = ALPHA) -> DataFrame:

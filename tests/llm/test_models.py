@@ -212,3 +212,17 @@ def test_features_stay_where_they_lie(spark, capsys):
     held.explain()
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_new_units_are_learned_in_bounded_parts(monkeypatch):
+    """What a worker holds while it learns is bounded, and no bound changes a piece."""
+    texts = [" ".join(f"unit{k}x{j}" for j in range(50)) for k in range(40)]
+    seeds = np.arange(len(texts), dtype=np.uint64)
+    vocabulary = pieces.Vocabulary(pieces.load())
+    whole = pieces.Sampler(vocabulary).sample(texts, seeds)
+    sizes, learn = [], pieces.Sampler.learn
+    monkeypatch.setattr(pieces, "LEARNED", 1_000, raising=False)
+    monkeypatch.setattr(pieces.Sampler, "learn", lambda self, units: (sizes.append(sum(map(len, units))), learn(self, units))[1])
+    parts = pieces.Sampler(vocabulary).sample(texts, seeds)
+    assert max(sizes) < 1_100 and len(sizes) > 10
+    assert all((a == b).all() for a, b in zip(whole, parts))
