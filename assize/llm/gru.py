@@ -21,6 +21,8 @@ HIDDEN = 24
 #: Steps that are propagated back through; steps whose outputs are computed at once.
 WINDOW = 32
 RATE, CLIP, SEED = 0.1, 5.0, 12
+#: Freed memory that a worker keeps.
+KEPT_BYTES = 128 << 20
 #: The token that ends a text, which also stands before it.
 END = 0
 
@@ -28,7 +30,7 @@ Weights = dict[str, np.ndarray]
 
 
 def one_thread() -> None:
-    """Keep numpy's BLAS to the thread it is called from: a task has a core, and matrices here are too small to share."""
+    """Keep numpy's BLAS to the thread it is called from, as a task has a core and matrices here are too small to share, and what a window frees for the next one."""
     try:
         with open("/proc/self/maps") as maps:
             libraries = {m for m in re.findall(r"\S*openblas\S*\.so\S*", maps.read())}
@@ -39,6 +41,12 @@ def one_thread() -> None:
         for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
             if hasattr(loaded, name):
                 getattr(loaded, name)(1)
+    try:  # else every window's arrays are mapped anew; 1: blocks below are kept, 3: mapped above
+        system = ctypes.CDLL("libc.so.6")
+        system.mallopt(-1, KEPT_BYTES)
+        system.mallopt(-3, KEPT_BYTES // 4)
+    except (OSError, AttributeError):
+        return
 
 
 def started(counts: np.ndarray) -> Weights:
@@ -70,58 +78,81 @@ def shaped(values: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def steps(weights: Weights, x: np.ndarray, keep: np.ndarray, h: np.ndarray, kept: list | None = None) -> np.ndarray:
-    """The states after each of ``x`` (steps by lanes), beginning with ``h``; where ``keep`` is 0 a lane begins anew."""
-    e, u = weights["E"], weights["U"]
-    out = np.empty((len(x), *h.shape), np.float32)
+    """The states after each of ``x`` (steps by lanes), beginning with ``h``; where ``keep`` is 0 a lane begins anew.
+
+    Within, lanes lie side by side, so that what a gate takes is in one piece; ``kept`` gets it so.
+    """
+    e, u = weights["E"], weights["U"].T.copy()
+    out = np.empty((len(x), *h.shape), np.result_type(h, u))
+    h = h.T.copy()
     for t in range(len(x)):
-        before = h * keep[t, :, None]
-        g, a = before @ u, e[x[t]]
-        zr = _sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        h = n + z * (before - n)
-        out[t] = h
+        before = h if keep[t].all() else h * keep[t]
+        g, a = u @ before, e[x[t]].T
+        zr = g[: 2 * HIDDEN] + a[: 2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, g = zr[:HIDDEN], zr[HIDDEN:], g[2 * HIDDEN :]
+        n = r * g
+        n += a[2 * HIDDEN :]
+        np.tanh(n, out=n)
+        apart = before - n
+        h = z * apart
+        h += n
+        out[t] = h.T
         if kept is not None:
-            kept.append((before, z, r, n, g[:, 2 * HIDDEN :]))
+            kept.append((before, z, r, n, g, apart))
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def _class_of(y: np.ndarray) -> np.ndarray:
     return np.where(y < HEAD, y // CLASS, y - HEAD + CLASSES)
 
 
-def _by_class(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, places) of the tokens of the head in ``y``."""
-    head = np.flatnonzero(y < HEAD)
-    order = head[np.argsort(y[head] // CLASS, kind="stable")]
-    of = y[order] // CLASS
-    starts = np.flatnonzero(np.diff(of, prepend=-1))
-    yield from zip(of[starts].tolist(), np.split(order, starts[1:]) if len(starts) else [])
+def _by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice, slice]]]:
+    """An order of tokens ``y`` by class, in which the head's come first, and (class, its part of that order, its tokens) of the head's."""
+    of = _class_of(y).astype(np.uint8)
+    ends = np.cumsum(np.bincount(of, minlength=CLASSES)[:CLASSES]).tolist()
+    return np.argsort(of, kind="stable"), [(k, slice(a, b), slice(k * CLASS, (k + 1) * CLASS)) for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+
+
+def _within(weights: Weights, states: np.ndarray, classes: list[tuple[int, slice, slice]]) -> np.ndarray:
+    """What ``states`` of the head's tokens, in order of class, say of each token of their class."""
+    x = np.empty((classes[-1][1].stop if classes else 0, CLASS), np.result_type(states, weights["W"]))
+    for _, rows, part in classes:
+        np.matmul(states[rows], weights["W"][part].T, out=x[rows])
+        x[rows] += weights["w"][part]
+    return x
 
 
 def log_probabilities(weights: Weights, states: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural logs of the probabilities of tokens ``y``, given the states before them; of a kind, that of its class alone."""
-    out = _chosen(states @ weights["C"] + weights["c"], _class_of(y))
-    for k, at in _by_class(y):
-        out[at] += _chosen(states[at] @ weights["W"][k * CLASS : (k + 1) * CLASS].T + weights["w"][k * CLASS : (k + 1) * CLASS], y[at] - k * CLASS)
+    order, classes = _by_class(y)
+    states, y = states[order], y[order]
+    logs = _chosen(states @ weights["C"] + weights["c"], _class_of(y))[0]
+    x = _within(weights, states, classes)
+    logs[: len(x)] += _chosen(x, y[: len(x)] % CLASS)[0]
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
-def _chosen(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The log of the softmax of every row of ``x`` at place ``of``."""
+def _chosen(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log of the softmax of every row of ``x`` at place ``of``, and the sums of the exponentials, which ``x`` becomes."""
     np.clip(x, -80, 80, out=x)
     named = x[np.arange(len(of)), of]
-    return named - np.log(np.exp(x, out=x).sum(axis=1))
+    sums = np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype)
+    return named - np.log(sums), sums
+
+
+def _loss(x: np.ndarray, of: np.ndarray) -> float:
+    """The loss of the softmax of every row of ``x`` at place ``of``; ``x`` becomes its gradient."""
+    logs, sums = _chosen(x, of)
+    x *= np.reciprocal(sums)[:, None]
+    x[np.arange(len(of)), of] -= 1
+    return -float(logs.sum())
 
 
 def gradients(weights: Weights, x: np.ndarray, keep: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[Weights, np.ndarray, np.ndarray, float]:
@@ -130,40 +161,49 @@ def gradients(weights: Weights, x: np.ndarray, keep: np.ndarray, y: np.ndarray,
     states = steps(weights, x, keep, h, kept)
     s, target = states.reshape(-1, HIDDEN), y.ravel()
     real = np.flatnonzero(target >= 0)
+    order, classes = _by_class(target[real])
+    real = real[order]
     some, t = s[real], target[real]
     grown = {"W": np.zeros_like(weights["W"]), "w": np.zeros_like(weights["w"])}
-    p = _log_softmax(some @ weights["C"] + weights["c"])
-    rows, of = np.arange(len(t)), _class_of(t)
-    loss = -float(p[rows, of].sum())
-    d = np.exp(p)
-    d[rows, of] -= 1
-    grown["C"], grown["c"] = some.T @ d, d.sum(axis=0)
+    d = some @ weights["C"] + weights["c"]
+    loss = _loss(d, _class_of(t))
+    grown["C"], grown["c"] = some.T @ d, np.ones(len(d), d.dtype) @ d
     ds = d @ weights["C"].T
-    for k, at in _by_class(t):
-        part = slice(k * CLASS, (k + 1) * CLASS)
-        p = _log_softmax(some[at] @ weights["W"][part].T + weights["w"][part])
-        rows, of = np.arange(len(at)), t[at] - k * CLASS
-        loss -= float(p[rows, of].sum())
-        d = np.exp(p)
-        d[rows, of] -= 1
-        grown["W"][part], grown["w"][part] = d.T @ some[at], d.sum(axis=0)
-        ds[at] += d @ weights["W"][part]
+    d = _within(weights, some, classes)
+    loss += _loss(d, t[: len(d)] % CLASS)
+    ones = np.ones(len(d), d.dtype)
+    for _, rows, part in classes:
+        np.matmul(d[rows].T, some[rows], out=grown["W"][part])
+        np.matmul(ones[rows], d[rows], out=grown["w"][part])
+        ds[rows] += d[rows] @ weights["W"][part]
     full = np.zeros_like(s)
     full[real] = ds
     full = full.reshape(states.shape)
-    de = np.empty((*x.shape, 3 * HIDDEN), np.float32)
-    du, back = np.zeros_like(weights["U"]), np.zeros_like(h)
+    # de is of the sums in E, dg of those in U
+    de = np.empty((*x.shape, 3 * HIDDEN), s.dtype)
+    dg = np.empty((3 * HIDDEN, x.shape[1]), s.dtype)
+    du, back, u = np.zeros_like(weights["U"]), np.zeros_like(kept[0][0]), weights["U"]
     for k in range(len(x) - 1, -1, -1):
-        before, z, r, n, g = kept[k]
-        dh = full[k] + back
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * g * r * (1 - r)
-        dg = np.concatenate([dz, dr, dn * r], axis=1)
-        de[k] = np.concatenate([dz, dr, dn], axis=1)
-        du += before.T @ dg
-        back = (dh * z + dg @ weights["U"].T) * keep[k, :, None]
-    order = np.argsort(x, axis=None, kind="stable")
+        before, z, r, n, g, apart = kept[k]
+        dh = back
+        dh += full[k].T
+        dn = (1 - z) * dh
+        n *= n
+        dn *= np.subtract(1, n, out=n)
+        apart *= dh
+        dh *= z
+        np.multiply(apart, z - z * z, out=dg[:HIDDEN])
+        g *= dn
+        np.multiply(g, r - r * r, out=dg[HIDDEN : 2 * HIDDEN])
+        de[k, :, 2 * HIDDEN :] = dn.T
+        np.multiply(dn, r, out=dg[2 * HIDDEN :])
+        de[k, :, : 2 * HIDDEN] = dg[: 2 * HIDDEN].T
+        du += before @ dg.T
+        back = u @ dg
+        back += dh
+        if not keep[k].all():
+            back *= keep[k]
+    order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
     met = x.ravel()[order]
     starts = np.flatnonzero(np.diff(met, prepend=-1))
     grown["E"] = np.add.reduceat(de.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
@@ -195,7 +235,7 @@ def lanes(sequences: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarr
     return x.T.copy(), keep.T.copy(), y.T.copy(), placed
 
 
-def scored(weights: Weights, sequences: list[np.ndarray], width: int = 512, window: int = 2 * WINDOW) -> np.ndarray:
+def scored(weights: Weights, sequences: list[np.ndarray], width: int = 512, window: int = WINDOW // 2) -> np.ndarray:
     """The natural log of every sequence's probability; the state goes on from window to window to a sequence's end."""
     if not sequences:
         return np.zeros(0)

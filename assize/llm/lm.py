@@ -23,12 +23,12 @@ columns are ignored. Texts are scored whole.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +38,9 @@ from assize.session import cut, ensure_checkpoint_dir
 
 #: Rounds of averaging; texts a trainer takes, on average; tasks whose weights are averaged at once.
 ROUNDS, TRAINER_ROWS, FAN = 4, 8_000, 256
-#: Words that a task counts before it hands them on; tokens scored and learned from side by side; weights in a row of the averaging.
+#: Words that a task counts before it hands them on; tokens scored and learned from side by side, at ``WORD_BYTES`` each; weights in a row of the averaging.
 HELD, SLICE_TOKENS, TRAINED_TOKENS, CHUNK = 500_000, 2_000_000, 1_000_000, 1 << 14
+WORD_BYTES = 5
 END = b""
 #: What is taken off the counts of rarer words for those not seen.
 DISCOUNT = 0.75
@@ -47,51 +48,76 @@ DISCOUNT = 0.75
 _LONGS, _INTS, _WORDS = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """The words of UTF-8 ``text`` in lower case, and the end."""
-    return [*text.lower().split(), END]
-
-
 def _kind(word: bytes) -> int:
     return gru.HEAD + min(len(word), gru.KINDS) - 1
 
 
+def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all ``texts`` in lower case, A-Z alone, one text after another, and the number of words of each."""
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string()))))
+    words = split.flatten()
+    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = pc.equal(pc.binary_length(words), 0)
+    if pc.any(blank).as_py():  # a text without words splits into an empty one
+        sizes[np.repeat(np.arange(len(sizes)), sizes)[blank.to_numpy(zero_copy_only=False)]] = 0
+        words = words.filter(pc.invert(blank))
+    return words.dictionary_encode(), sizes
+
+
+def _slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """``texts`` of some ``most`` tokens at a time, each a copy: Arrow's kernels for ASCII go wrong on arrays with an offset."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) // WORD_BYTES + 1)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(texts)]
+    return (texts.take(pa.array(np.arange(a, b))) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts (word, n) of a task's texts."""
-    held: Counter = Counter()
+    held, size = [], 0
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        listed = list(held.items())
-        for k in range(0, len(listed), 50_000):
-            part = listed[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
+        merged = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
         held.clear()
+        yield from merged.to_batches(50_000)
 
     for batch in batches:
-        for text in batch.column(0):
-            held.update(tokens(text.as_buffer().to_pybytes()))
-            if len(held) > HELD:
+        for texts in _slices(batch.column(0), SLICE_TOKENS):
+            words, _ = _words(texts)
+            n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            held.append(pa.table({"word": pa.concat_arrays([_binary(words.dictionary), pa.array([END], pa.binary())]), "n": pa.array(np.append(n, len(texts)), pa.int64())}))
+            size += len(n)
+            if size > HELD:
                 yield from flushed()
-    yield from flushed()
+                size = 0
+    if held:
+        yield from flushed()
+
+
+def _binary(words: pa.Array) -> pa.Array:
+    return words.cast(pa.large_binary()).cast(pa.binary())
 
 
-def _numbered(texts: pa.Array, ids: dict[bytes, int], most: int) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
-    """Texts of ``most`` tokens or a little more at a time, as numbers of their words: those in ``ids``, and after them those of the other words as they come, which are listed."""
-    k = 0
-    while k < len(texts):
-        table, found, held = dict(ids), [], 0
-        number_of = table.setdefault
-        while k < len(texts) and held < most:
-            words = tokens(texts[k].as_buffer().to_pybytes())
-            found.append(np.array([number_of(w, len(table)) for w in words], np.int32))
-            held += len(words)
-            k += 1
-        yield found, list(table)[len(ids) :]
+def _numbered(texts: pa.Array, ids: dict[bytes, int], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Slices of some ``most`` tokens of ``texts`` as numbers of their tokens, one text after another, and the number of tokens of each: words in ``ids`` and after them the other words as they come, which are listed."""
+    head = pa.array(list(ids), pa.binary())
+    for some in _slices(texts, most):
+        words, sizes = _words(some)
+        listed = _binary(words.dictionary)
+        number = pc.index_in(listed, head).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        rare = number < 0
+        number[rare] = len(ids) + np.arange(rare.sum())
+        ends = np.cumsum(sizes + 1)
+        out = np.full(ends[-1], ids[END], np.int32)
+        inner = np.ones(len(out), bool)
+        inner[ends - 1] = False
+        out[inner] = number[words.indices.to_numpy()]
+        yield out, sizes + 1, listed.filter(pa.array(rare))
 
 
-def _kinds(ids: dict[bytes, int], rare: list[bytes]) -> np.ndarray:
+def _kinds(ids: dict[bytes, int], rare: pa.Array) -> np.ndarray:
     """The model's tokens by number."""
-    return np.concatenate([np.arange(len(ids)), [_kind(w) for w in rare]]).astype(np.int32)
+    sizes = pc.binary_length(rare).to_numpy(zero_copy_only=False)
+    return np.concatenate([np.arange(len(ids)), gru.HEAD + np.minimum(sizes, gru.KINDS) - 1]).astype(np.int32)
 
 
 def _averaged(weights: DataFrame) -> np.ndarray:
@@ -123,7 +149,7 @@ def train(texts: DataFrame, total: int, ids: dict[bytes, int], counts: np.ndarra
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gru.one_thread()
             numbered = (x for batch in batches for x in _numbered(batch.column(0), ids, TRAINED_TOKENS))
-            slices = ([kinds[f] for f in found] for found, kinds in ((found, _kinds(ids, rare)) for found, rare in numbered))
+            slices = (np.split(_kinds(ids, rare)[found], np.cumsum(sizes)[:-1]) for found, sizes, rare in numbered)
             found, seen = gru.trained(start, slices)
             if seen:
                 values = gru.flat(found)
@@ -164,18 +190,16 @@ def _scores(weights: gru.Weights, ids: dict[bytes, int], head: np.ndarray, rest:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             k = 0
-            for found, rare in _numbered(batch.column(1), ids, SLICE_TOKENS):
-                first, kinds = len(ids), _kinds(ids, rare)
-                sequences = [kinds[f] for f in found]
-                others = [f[f >= first] - first for f in found]
-                place, ends = np.concatenate(others).astype(np.int32), np.cumsum([len(o) for o in others]).astype(np.int32)
-                model = gru.scored(weights, sequences) / log(10)
-                every = np.concatenate(sequences)
-                starts = np.cumsum([0, *(len(s) for s in sequences[:-1])])
+            for found, sizes, rare in _numbered(batch.column(1), ids, SLICE_TOKENS):
+                first, every = len(ids), _kinds(ids, rare)[found]
+                starts = np.cumsum(sizes) - sizes
+                ends = np.cumsum(np.add.reduceat((found >= first).astype(np.int32), starts), dtype=np.int32)
+                model = gru.scored(weights, np.split(every, starts[1:])) / log(10)
                 sums = [np.add.reduceat(x[every], starts) for x in (known.astype(np.int64), logs, shares)]
-                row = {"batch": number, "ids": batch.column(0).slice(k, len(sequences)).to_pylist(), "sizes": [len(s) for s in sequences], "known": sums[0], "base": sums[1], "model": model - sums[2], "place": place, "ends": ends, "words": rare}
-                yield pa.RecordBatch.from_pylist([row], _PART_SCHEMA)
-                number, k = number + 1, k + len(sequences)
+                listed = [(batch.column(0).slice(k, len(sizes)), _LONGS), (sizes, _LONGS), (sums[0], _LONGS), (sums[1], _DOUBLES), (model - sums[2], _DOUBLES), (found[found >= first] - first, _INTS), (ends, _INTS), (rare, _WORDS)]
+                columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, of.value_type)).cast(of) for x, of in listed]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], schema=_PART_SCHEMA)
+                number, k = number + 1, k + len(sizes)
 
     return run
 

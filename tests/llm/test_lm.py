@@ -150,3 +150,20 @@ def test_state_goes_on_while_learning():
         gru.gradients = kept
     assert sum(shape[0] * shape[1] for shape, *_ in met) < 2 * seen
     assert not met[0][1] and all(going and state > 0 for _, going, state in met[1:])
+
+
+def test_words_are_numbered_whole():
+    """Slices of any texts, cut or with an offset, have the tokens that plain Python splits them into, and the same counts."""
+    texts = ["", " \t", "One two\x0btwo\x1cthree ONE", "é É x \x00y\n", "a b c", *(f"w{k} W{k % 7} w1" for k in range(40))]
+    ids = {lm.END: gru.END, b"one": 1, b"w1": 2}
+    column = lm.pa.array(["left out", *texts], lm.pa.string()).slice(1)
+    found = []
+    for numbers, sizes, rare in lm._numbered(column, ids, 20):
+        listed = [*ids, *rare.to_pylist()]
+        assert len(set(listed)) == len(listed)
+        found += [[listed[n] for n in part] for part in np.split(numbers, np.cumsum(sizes)[:-1])]
+    assert found == [[*t.encode().lower().split(), lm.END] for t in texts]
+    counts = Counter()
+    for batch in lm._gathered(iter([lm.pa.RecordBatch.from_arrays([column], names=["text"])] * 2)):
+        counts.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+    assert counts == Counter(w for words in found * 2 for w in words)
