@@ -32,8 +32,15 @@ def expand_with_breaker(seeds: DataFrame, bridge: DataFrame, groups: DataFrame,
 
     ``seeds`` (seed, key), ``bridge`` (key, unit), ``groups`` (unit, group), ``members`` (unit, entity). If the
     groups that a seed meets hold more than ``limit`` units together, it is not expanded and says so.
+
+    Seeds whose only key is the same reach the same, so the least of them is expanded and the others take what it finds.
     """
-    direct = seeds.join(bridge, "key").select("seed", "unit").distinct()
+    keys = seeds.where("seed is not null and key is not null").select("seed", "key").distinct()
+    lone = keys.groupBy("seed").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    leads = lone.where("n = 1").groupBy("key").agg(F.min("seed").alias("lead"))
+    led = cut(lone.withColumn("key", F.when(F.col("n") == 1, F.col("key"))).join(leads, "key", "left").select("seed", F.coalesce("lead", "seed").alias("lead")))
+    asked = keys.join(led.where("seed = lead").select("seed"), "seed")
+    direct = asked.join(bridge, "key").select("seed", "unit").distinct()
     met = direct.join(groups, "unit").select("seed", "group").distinct()
     sizes = groups.groupBy("group").agg(F.count_distinct("unit").alias("size"))
     gate = met.join(sizes, "group").groupBy("seed").agg(F.sum("size").alias("reach"))
@@ -41,7 +48,8 @@ def expand_with_breaker(seeds: DataFrame, bridge: DataFrame, groups: DataFrame,
     wide = met.join(open_, "seed").join(groups, "group").select("seed", "unit").distinct()
     reach = direct.withColumn("degree", F.lit(1)).unionByName(wide.join(direct, ["seed", "unit"], "left_anti").withColumn("degree", F.lit(2)))
     found = reach.join(members, "unit").groupBy("seed", "entity").agg(F.min("degree").alias("degree"))
-    return found.join(gate, "seed", "left").select("seed", "entity", "degree", F.coalesce(F.col("reach") > limit, F.lit(False)).alias("truncated"))
+    told = found.join(gate, "seed", "left").select(F.col("seed").alias("lead"), "entity", "degree", F.coalesce(F.col("reach") > limit, F.lit(False)).alias("truncated"))
+    return led.join(told, "lead").select("seed", "entity", "degree", "truncated")
 
 
 def component_rollup(members: DataFrame, facts: DataFrame, node: str, component: str, amount: str) -> DataFrame:

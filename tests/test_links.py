@@ -117,3 +117,33 @@ def test_session_events_of_one_movement(spark):
         assert sorted((r.movement, r.session or "", r.event, r.member) for r in got.collect()) == [("11", "", "pedido_de_vista", "A"), ("12", "turma_1", "julgamento", "D")]
     numbered = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)][::-1], movements + ", place int")
     assert sorted(r.member for r in sessions.session_events(numbered, virtual, decided, ("place",)).collect()) == ["B", "D"]
+
+
+def test_expansion_of_seeds_that_share_a_key(spark):
+    from assize.operators import graph
+
+    seeds = [(1, "a"), (2, "a"), (2, "a"), (3, "a"), (3, "b"), (4, "b"), (5, "z"), (6, None), (7, "b")]
+    bridge, groups = [("a", 10), ("a", 11), ("b", 20)], [(10, 0), (11, 1), (12, 1), (20, 2), (21, 2), (22, 2), (23, 2)]
+    members = [(10, "x"), (12, "y"), (20, "x"), (21, "z")]
+    frame = spark.createDataFrame
+    args = frame(seeds, "seed long, key string"), frame(bridge, "key string, unit long"), frame(groups, "unit long, `group` long"), frame(members, "unit long, entity string")
+    got = {tuple(r) for r in graph.expand_with_breaker(*args, limit=4).collect()}
+    one = {("x", 1, False), ("y", 2, False)}
+    other = {("x", 1, False), ("z", 2, False)}
+    assert got == {(s, *r) for s in (1, 2) for r in one} | {(s, *r) for s in (4, 7) for r in other} | {(3, "x", 1, True)}
+
+
+def test_seeds_of_one_key_are_expanded_once(spark):
+    import time
+
+    from assize.operators import graph
+
+    # 100,000 seeds of one key and 4,000 units: each seed by itself would make 400 million rows
+    seeds = spark.range(100_000).select(F.col("id").alias("seed"), F.lit(1).alias("key"))
+    units = spark.range(4_000)
+    bridge = units.select(F.lit(1).alias("key"), F.col("id").alias("unit"))
+    groups = units.select(F.col("id").alias("unit"), (F.col("id") % 7).alias("group"))
+    members = units.select(F.col("id").alias("unit"), (F.col("id") % 3).alias("entity"))
+    start = time.perf_counter()
+    assert graph.expand_with_breaker(seeds, bridge, groups, members).count() == 300_000
+    assert time.perf_counter() - start < 60
