@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assize.functions.stats import erfc
+from assize.operators.resampling import drawn_counts
 
 #: Ranges of a value that are put in order each by itself.
 RANGES = 1024
@@ -82,33 +83,13 @@ def signed_ranks(df: DataFrame, first: str, second: str, least: int = 10) -> Dat
     return sums.select("n", F.when(enough, F.bround("w", 6)).otherwise(0.0).alias("w_plus"), *[F.when(enough, F.bround(p(v), 6)).otherwise(1.0).alias(name) for name, v in (("p", spread), ("p_tied", spread - F.col("ties") / 48))])
 
 
-def uniform(key: Column, turn: Column) -> Column:
-    """A number in [0, 1) from the first 48 bits of a digest of row and turn."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), turn.cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-
-
-def poisson_weight(u: Column) -> Column:
-    """How often a row is drawn in a turn of resampling: Poisson of mean 1, by a uniform number."""
-    total, term, out = 0.0, math.exp(-1), F.lit(0)
-    for k in range(1, 9):
-        total += term
-        term /= k
-        out = out + (u >= total).cast("int")
-    return out
-
-
 def area_interval(df: DataFrame, score: str, label: str, key: str, turns: int = 200) -> DataFrame:
     """(area, low, high): the area and the bounds of its middle 95 % over ``turns`` resamplings of the rows.
 
     A row's weights hang on its key alone, so resampling needs no pass of its own a turn and runs agree whatever the partitions.
-    Each turn's weights are counted by score where the rows lie.
+    Each turn's weights are worked out for many rows at once and counted by score where the rows lie.
     """
-    x = F.col(score).cast("double").alias("x")
-    is_pos = (F.coalesce(F.col(label), F.lit(0)) == 1).alias("is_pos")
-    drawn = df.select(x, is_pos, F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(turns))).alias("turn"))
-    # turn 0 is the rows as they are
-    weighed = drawn.withColumn("u", uniform(F.col("k"), F.col("turn"))).withColumn("w", F.when(F.col("turn") == 0, 1).otherwise(poisson_weight(F.col("u")))).where("w > 0")
-    counted = weighed.groupBy("turn", "x").agg(F.sum(F.when(F.col("is_pos"), F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("is_pos"), 0).otherwise(F.col("w"))).alias("neg"))
+    counted = drawn_counts(df, F.col(score), F.coalesce(F.col(label), F.lit(0)) == 1, F.col(key), turns)
     areas = running(counted, "x", ["pos", "neg"], ["turn"]).groupBy("turn").agg(_area().alias("area"))
     sorted_ = F.array_sort(F.collect_list(F.when(F.col("turn") > 0, F.col("area"))))
     at = lambda share: F.get(sorted_, F.lit(min(turns - 1, int(share * turns))))

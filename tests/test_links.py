@@ -147,3 +147,29 @@ def test_seeds_of_one_key_are_expanded_once(spark):
     start = time.perf_counter()
     assert graph.expand_with_breaker(seeds, bridge, groups, members).count() == 300_000
     assert time.perf_counter() - start < 60
+
+
+def test_resampled_weights_are_those_of_the_digests():
+    import hashlib
+
+    from assize.operators import evaluation, resampling
+
+    keys = [f"{k}:".encode() for k in [*range(0, 3000, 7), *(10**e for e in range(18))]] + [b"", "é:".encode(), *(b"x" * n for n in (52, 53, 54, 55, 56, 200))]
+    found = resampling.weights(keys, 101)
+    assert evaluation.drawn_counts is resampling.drawn_counts
+    for turn in (1, 9, 10, 55, 99, 100, 101):
+        u = [int(hashlib.md5(k + str(turn).encode()).hexdigest()[:12], 16) / 2**48 for k in keys]
+        bars = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+        assert found[turn - 1].tolist() == [sum(x >= bar for bar in bars) for x in u]
+
+
+def test_resampled_areas_of_many_rows(spark):
+    import time
+
+    from assize.operators import evaluation
+
+    rows = spark.range(0, 200_000, 1, 4).select(F.col("id").alias("k"), F.when(F.col("id") % 50 > 0, (F.col("id") % 11) / 10).alias("score"), F.when(F.col("id") % 7 > 0, (F.col("id") % 3 == 0).cast("int")).alias("label"))
+    start = time.perf_counter()
+    area, low, high = evaluation.area_interval(rows, "score", "label", "k", turns=100).collect()[0]
+    assert low < area < high and high - low < 0.02
+    assert time.perf_counter() - start < 60
