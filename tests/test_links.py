@@ -173,3 +173,40 @@ def test_resampled_areas_of_many_rows(spark):
     area, low, high = evaluation.area_interval(rows, "score", "label", "k", turns=100).collect()[0]
     assert low < area < high and high - low < 0.02
     assert time.perf_counter() - start < 60
+
+
+def test_reconciled_hints_meet_every_name_that_fits(spark):
+    """Against every pair of a case, with short and long names, initials, doubled words and slips of the pen."""
+    from assize.functions import text
+
+    rng = random.Random(4)
+    words = ["ANA", "LIMA", "B", "BRITO", "A", "COSTA", "DIAS", "J", "JOSE"]
+    made = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 4, 5, 9, 10, 11])))
+    names = [(k % 3, "party", k, made()) for k in range(150)]
+
+    def slip(name):
+        letters, kind = list(name), rng.random()
+        for _ in range(rng.choice([1, 2, 3])):
+            at = rng.randrange(len(letters))
+            letters[at : at + 1] = rng.choice([[], [letters[at], "X"], ["Z"]])
+            letters = letters or ["Q"]
+        parts = name.split()
+        rng.shuffle(parts)
+        return "".join(letters) if kind < 0.5 else " ".join(parts[rng.choice([0, 1]) :] + rng.choice([[], ["NETO"]])) or "W"
+
+    asked = [(k, k % 3, slip(rng.choice(names)[3])) for k in range(300)]
+    found = reconcile.reconciled(spark.createDataFrame(asked, "occurrence int, case int, hint string"), spark.createDataFrame(names, "case int, kind string, entity int, name string")).collect()
+    df = spark.createDataFrame([(o, e, h, n) for o, c, h in asked for d, _, e, n in names if c == d and h.strip()], "o int, e int, h string, n string")
+    c, d, h, n = text.canonical_name(F.col("h")), text.canonical_name(F.col("n")), text.entity_name(F.col("h")), text.entity_name(F.col("n"))
+    alike, edits = text.greedy_jaccard(text.tokens(F.col("h")), text.tokens(F.col("n"))), F.levenshtein(c, d)
+    score = F.when(h == n, F.struct(F.lit(4), F.lit(1.0))).when(c == d, F.struct(F.lit(3), F.lit(1.0))).when(alike >= 0.8, F.struct(F.lit(2), alike)).when(edits <= 2, F.struct(F.lit(1), 1 / (1 + edits)))
+    best = {}
+    for r in df.select("o", "e", score.alias("s")).where("s is not null").collect():
+        best.setdefault(r.o, {}).setdefault(tuple(r.s), set()).add(r.e)
+    levels = {4: "exact", 3: "canonical_name", 2: "jaccard", 1: "levenshtein"}
+    for r in found:
+        top = max(best.get(r.occurrence, {(0, 0.0): set()}).items())
+        assert r.candidates == len(top[1]), r
+        if len(top[1]) == 1:
+            assert (r.strategy, r.entity) == (levels[top[0][0]], *top[1])
+    assert len(found) == 300 and {r.strategy for r in found} >= {"jaccard", "levenshtein"}
