@@ -100,31 +100,65 @@ def signal_edges(rows: DataFrame, member: Column, entity: Column, signals: Colum
     return typed_edges(rows, "case_has_compound_signal", node_id("case", member), node_id("party", entity), key, "composite", BROAD, weight=weight, cost=F.when(weight > 0, 1.0 / weight).otherwise(1.0))
 
 
+#: Tables of no more rows than this meet others through a broadcast.
+SMALL = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table that is cut already, marked for broadcast if it is counted small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def cheapest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int = 4, most_cost: float = 6.0, policy: str = BROAD) -> DataFrame:
     """Paths from ``starts`` (node) to ``ends`` (node), cheapest first: (start, end, rank, cost, hops, kinds, truncated, path).
 
     Edges are walked either way; under the strict policy only those that allow it and are whole. A state is (start, node, hops);
     of its paths the cheapest stays, the first in order of text where costs are equal, and it is dropped where fewer hops
     cost no more. Costs are above zero, so a path that meets a node twice is dropped by that rule. Every round joins the
-    states that are new, and states are aggregated as they are made, so their number is bounded by starts x nodes a round.
+    states that are new, and states are aggregated as they are made.
+
+    Starts whose only way out is the same step share one search, that of the least of them. The last step leads to an end and
+    the one before to an end or to where one step more leads to one within the cost; other states lead nowhere and are not made.
     """
     allowed = edges.where("cost > 0") if policy == BROAD else edges.where((F.col("policy") == STRICT) & ~F.col("truncated") & (F.col("cost") > 0))
     step = F.struct("cost", "edge_id", "kind", "truncated").alias("step")
-    both = allowed.select(F.col("src").alias("node"), F.col("dst").alias("next"), step).union(allowed.select(F.col("dst").alias("node"), F.col("src").alias("next"), step))
-    steps = cut(both.where("node <> next").groupBy("node", "next").agg(F.min("step").alias("step")))
-    frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.col("node").alias("path"), F.lit("").alias("kinds"), F.lit(False).alias("truncated")).distinct()
-    known = frontier = cut(frontier)
+    both = allowed.select(F.col("src").alias("node"), F.col("dst").alias("next"), step).union(allowed.select(F.col("dst").alias("node"), F.col("src").alias("next"), step)).where("node <> next")
+    goals = cut(ends.select("node").distinct())
+    last = both.join(_small(goals.withColumnRenamed("node", "next")), "next").select("node", "next", "step")
+    nearest = last.groupBy("node").agg(F.min("step.cost").alias("rest")).union(goals.withColumn("rest", F.lit(0.0)))
+    near = _small(cut(nearest.groupBy(F.col("node").alias("next")).agg(F.min("rest").alias("rest"))))
+    out = ["start", "node", "cost", "hops", "path", "kinds", "truncated"]
+    frontier = starts.where("node is not null").select(F.col("node").alias("start"), "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.col("node").alias("path"), F.lit("").alias("kinds"), F.lit(False).alias("truncated")).distinct()
+    frontier = cut(frontier)
+    known = led = None
     for hop in range(1, hops + 1):
         cost, kind = F.col("cost") + F.col("step.cost"), F.concat_ws(",", F.when(F.col("kinds") != "", F.col("kinds")), F.col("step.kind"))
-        made = frontier.join(steps, "node").where(cost <= most_cost).select("start", F.col("next").alias("node"), cost.alias("cost"), F.concat("path", F.lit(" > "), "next").alias("path"), kind.alias("kinds"), (F.col("truncated") | F.col("step.truncated")).alias("truncated"))
-        best = made.groupBy("start", "node").agg(F.min(F.struct("cost", "path", "kinds", "truncated")).alias("b"))
-        before = known.groupBy("start", "node").agg(F.min("cost").alias("least"))
-        kept = best.join(before, ["start", "node"], "left").where("least is null or b.cost < least")
-        frontier = cut(kept.select("start", "node", "b.cost", F.lit(hop).alias("hops"), "b.path", "b.kinds", "b.truncated"))
+        ways = last if hop == hops else both.join(near, "next") if hop == hops - 1 else both
+        # a bound by what is left may differ by rounding from the sum along the path
+        within = (cost <= most_cost) & (cost + F.col("rest") <= most_cost + 1e-6) if hop == hops - 1 else cost <= most_cost
+        made = _small(frontier).join(ways, "node").where(within).select("start", F.col("next").alias("node"), cost.alias("cost"), F.concat("path", F.lit(" > "), "next").alias("path"), "step", kind.alias("kinds"), (F.col("truncated") | F.col("step.truncated")).alias("truncated"))
+        # of edges between the same nodes the first by cost and id counts
+        best = made.groupBy("start", "node").agg(F.min(F.struct("cost", "path", "step", "kinds", "truncated")).alias("b"))
+        if hop > 1:
+            before = known.groupBy("start", "node").agg(F.min("cost").alias("least"))
+            best = best.join(before, ["start", "node"], "left").where("least is null or b.cost < least")
+        frontier = best.select("start", "node", "b.cost", F.lit(hop).alias("hops"), "b.path", "b.kinds", "b.truncated")
+        if hop == 1:
+            first = cut(frontier)
+            way = F.struct("node", "cost", "kinds", "truncated")
+            lone = first.groupBy("start").agg(F.count("*").alias("n"), F.min(way).alias("way"))
+            leads = lone.where("n = 1").groupBy("way").agg(F.min("start").alias("lead"))
+            led = cut(lone.withColumn("way", F.when(F.col("n") == 1, F.col("way"))).join(leads, "way", "left").select("start", F.coalesce("lead", "start").alias("lead")))
+            frontier = first.join(led.where("start = lead").select("start"), "start").select(out)
+        frontier = cut(frontier)
         if not frontier.take(1):
             break
-        known = known.union(frontier)
-    found = known.where("hops > 0").join(ends.select("node").distinct(), "node")
+        known = frontier if known is None else known.union(frontier)
+    if known is None:
+        known = frontier
+    reached = known.join(_small(goals), "node").withColumnRenamed("start", "lead")
+    # a path back to its start costs more than none
+    found = led.join(reached, "lead").where("start <> node").withColumn("path", F.concat("start", F.expr("substring(path, length(lead) + 1)"))).select(out)
     rank = F.row_number().over(W.partitionBy("start", "node").orderBy("cost", "hops", "path"))
     return found.select("start", F.col("node").alias("end"), rank.alias("rank"), F.bround("cost", 6).alias("cost"), "hops", "kinds", "truncated", "path")
 

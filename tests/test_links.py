@@ -210,3 +210,39 @@ def test_reconciled_hints_meet_every_name_that_fits(spark):
         if len(top[1]) == 1:
             assert (r.strategy, r.entity) == (levels[top[0][0]], *top[1])
     assert len(found) == 300 and {r.strategy for r in found} >= {"jaccard", "levenshtein"}
+
+
+def test_cheapest_paths_share_searches(spark, monkeypatch):
+    """Starts with one way out reach what each reaches by itself, a start that is an end too, and few states are made."""
+    sizes = []
+    monkeypatch.setattr(routes, "cut", lambda df, cut=routes.cut: [out := cut(df), sizes.append(out.count())][0])
+    edge = lambda k, a, b, cost: (f"e{k}", a, b, f"k{k % 3}", "deterministic", routes.STRICT, k % 4 == 0, 1.0, cost)
+    pairs = [(f"s{k:03}", "hub", 1.0) for k in range(100)] + [("s000", "two", 0.5), ("two", "hub", 0.25)]
+    pairs += [("hub", f"m{k}", 1.0 + k % 2) for k in range(40)] + [(f"m{k}", f"goal{k % 3}", 1.0) for k in range(0, 40, 4)] + [("hub", "goal0", 4.0), ("hub", "goal0", 4.0)]
+    edges = spark.createDataFrame([edge(k, *p) for k, p in enumerate(pairs)], "edge_id string, src string, dst string, kind string, strength string, policy string, truncated boolean, weight double, cost double")
+    node = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
+    starts, ends = [f"s{k:03}" for k in range(100)], ["goal0", "goal1", "goal2", "s005"]
+    found = {tuple(r) for r in routes.cheapest_paths(edges, node(starts), node(ends)).collect()}
+    assert sum(sizes) < 1_500
+    near = {}
+    for eid, a, b, kind, _, _, broken, _, cost in sorted((edge(k, *p) for k, p in enumerate(pairs)), key=lambda e: (e[8], e[0])):
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {}).setdefault(y, (cost, kind, broken))
+    want = set()
+    for s in starts:
+        known, frontier = {s: 0.0}, {s: (0.0, s, "", False)}
+        told = {}
+        for hop in range(1, 5):
+            made = {}
+            for n, (c, path, kinds, broken) in frontier.items():
+                for m, (more, kind, also) in near.get(n, {}).items():
+                    if c + more <= 6:
+                        state = (c + more, f"{path} > {m}", f"{kinds},{kind}" if kinds else kind, broken or also)
+                        made[m] = min(made.get(m, state), state)
+            frontier = {m: v for m, v in made.items() if m not in known or v[0] < known[m]}
+            known |= {m: v[0] for m, v in frontier.items()}
+            for m in set(frontier) & set(ends):
+                told.setdefault(m, []).append((frontier[m][0], hop, frontier[m][1], *frontier[m][2:]))
+        for m, states in told.items():
+            want |= {(s, m, rank, round(c, 6), hop, kinds, broken, path) for rank, (c, hop, path, kinds, broken) in enumerate(sorted(states), 1)}
+    assert found == want
